@@ -40,8 +40,10 @@ MESSAGE_SCHEMA = (
 )
 
 # One JSON object per log line; `ts` and `text` are polymorphic and stay raw text here.
+# `seq` is written by producers that land events in many files.
 LOG_LINE_SCHEMA = T.StructType(
     [
+        T.StructField("seq", T.LongType()),
         T.StructField("ts", T.StringType()),
         T.StructField("type", T.StringType()),
         T.StructField("sessionId", T.StringType()),

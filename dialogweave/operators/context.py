@@ -35,14 +35,16 @@ def chat_context(
     frame: int = FRAME_MESSAGES,
     turns: int = CONTEXT_TURNS,
     bits: int = BLOCK_BITS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per patient chat turn: the earlier chat turns a responder gets to see.
 
     Of the last ``frame`` messages, chat turns are kept except patient texts equal to the
-    current one (after stripping), and of those the last ``turns``.
+    current one (after stripping), and of those the last ``turns``. Columns named in
+    ``keep`` are passed through.
     """
     framed = with_last_rows(
-        messages.select("conversation_id", "seq", "role", "content", "mode"),
+        messages.select("conversation_id", "seq", "role", "content", "mode", *keep),
         frame,
         ["role", "content", "mode"],
         bits=bits,
@@ -57,6 +59,7 @@ def chat_context(
     return asked.withColumn("_text", text).select(
         "conversation_id",
         "seq",
+        *keep,
         F.col("content").alias("user_text"),
         F.transform(
             last_of(kept, turns),
