@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, functions as F
 
 from dialogweave.functions.scalars import py_strip
@@ -12,7 +14,10 @@ def extract_json_block(raw: Column) -> Column:
 
     Two position lookups keep the cost linear in the text, also for text full of braces.
     """
-    text = py_strip(raw)
+    return bind(py_strip(raw), _outer_braces)
+
+
+def _outer_braces(text: Column) -> Column:
     first = F.instr(text, "{")
     last = F.length(text) - F.instr(F.reverse(text), "}") + 1
     return F.when(
@@ -28,6 +33,10 @@ def parse_json_strict(text: Column) -> Column:
     parsing the text once as the only element of an array and once as the only entry of
     an object. NaN and repeated keys are rejected on purpose.
     """
+    return bind(text, _parse_single)
+
+
+def _parse_single(text: Column) -> Column:
     as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     as_entry = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     single = (F.size(as_item.cast("array<variant>")) == 1) & (
@@ -36,25 +45,33 @@ def parse_json_strict(text: Column) -> Column:
     return F.when(single, F.try_parse_json(text))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kind_of(value: Column) -> Column:
     """JSON kind of a VARIANT: null, boolean, integer, number, string, array or object.
 
     25 and 25.0 are integers, as is a DOUBLE equal to its floor; 25.5 is a number.
     """
-    name = F.schema_of_variant(value)
-    as_double = F.try_variant_get(value, "$", "double")
-    return (
-        F.when(value.isNull(), F.lit(None))
-        .when(name == "VOID", "null")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "BIGINT", "integer")
-        .when(name.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
-        .when(name.startswith("DECIMAL"), _whole(as_double))
-        .when(name.isin("DOUBLE", "FLOAT"), _whole(as_double))
-        .when(name == "STRING", "string")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name.startswith("OBJECT"), "object")
-    )
+
+    def named(v: Column, name: Column) -> Column:
+        return (
+            F.when(name == "STRING", "string")
+            .when(name.startswith("OBJECT"), "object")
+            .when(name.startswith("ARRAY"), "array")
+            .when(name == "BIGINT", "integer")
+            .when(name.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
+            .when(
+                name.startswith("DECIMAL") | name.isin("DOUBLE", "FLOAT"),
+                bind(F.try_variant_get(v, "$", "double"), _whole),
+            )
+            .when(name == "BOOLEAN", "boolean")
+            .when(name == "VOID", "null")
+        )
+
+    return bind(value, lambda v: bind(F.schema_of_variant(v), lambda name: named(v, name)))
 
 
 def _whole(number: Column) -> Column:
@@ -68,15 +85,18 @@ def _whole(number: Column) -> Column:
 
 def is_truthy(value: Column) -> Column:
     """Drops null, empty text, empty array, empty object, zero and false."""
-    kind = kind_of(value)
-    return F.coalesce(
-        F.when(kind == "string", F.try_variant_get(value, "$", "string") != "")
-        .when(kind == "boolean", F.try_variant_get(value, "$", "boolean"))
-        .when(kind.isin("integer", "number"), F.try_variant_get(value, "$", "double") != 0)
-        .when(kind == "array", F.size(F.try_variant_get(value, "$", "array<variant>")) > 0)
-        .when(kind == "object", F.size(F.try_variant_get(value, "$", "map<string,variant>")) > 0),
-        F.lit(False),
-    )
+
+    def filled(v: Column, kind: Column) -> Column:
+        return (
+            F.when(kind == "string", F.try_variant_get(v, "$", "string") != "")
+            .when(kind == "boolean", F.try_variant_get(v, "$", "boolean"))
+            .when(kind.isin("integer", "number"), F.try_variant_get(v, "$", "double") != 0)
+            .when(kind == "array", F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
+            .when(kind == "object", F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0)
+        )
+
+    known = bind(value, lambda v: bind(kind_of(v), lambda kind: filled(v, kind)))
+    return F.coalesce(known, F.lit(False))
 
 
 def key_path(key: str) -> str:
@@ -93,6 +113,10 @@ def object_field(value: Column, key: str) -> Column:
 
 def field_text(value: Column) -> Column:
     """Text of a slot value: strings as they are, other kinds as JSON, JSON null as NULL."""
-    return F.when(
-        kind_of(value) == "string", F.try_variant_get(value, "$", "string")
-    ).when(kind_of(value) != "null", F.to_json(value))
+
+    def text(v: Column, kind: Column) -> Column:
+        return F.when(kind == "string", F.try_variant_get(v, "$", "string")).when(
+            kind != "null", F.to_json(v)
+        )
+
+    return bind(value, lambda v: bind(kind_of(v), lambda kind: text(v, kind)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dialogweave.fixed_values import MAX_RETRIES
 from dialogweave.functions.jsontext import (
+    bind,
     extract_json_block,
     kind_of,
     object_field,
@@ -146,7 +147,12 @@ def violations(value: Column, shape: dict, path: Optional[Column] = None) -> Col
     if unknown:
         raise ValueError(f"unsupported shape keywords: {sorted(unknown)}")
     path = F.lit("$") if path is None else path
-    kind = kind_of(value)
+    return bind(
+        value, lambda v: bind(kind_of(v), lambda kind: _violations(v, kind, shape, path))
+    )
+
+
+def _violations(value: Column, kind: Column, shape: dict, path: Column) -> Column:
     parts = []
     wanted = shape.get("type")
     if wanted == "number":
@@ -165,10 +171,10 @@ def violations(value: Column, shape: dict, path: Optional[Column] = None) -> Col
         )
     for key, inner in shape.get("properties", {}).items():
         if set(inner) - _IGNORED:
-            field = object_field(value, key)
-            nested = violations(field, inner, F.concat(path, F.lit(f".{key}")))
             parts.append(
-                F.when(is_object & field.isNotNull(), nested).otherwise(F.array()).cast(VIOLATIONS)
+                F.when(is_object, _field_violations(value, key, inner, path))
+                .otherwise(F.array())
+                .cast(VIOLATIONS)
             )
     extra = shape.get("additionalProperties", True)
     if isinstance(extra, dict):
@@ -197,6 +203,16 @@ def violations(value: Column, shape: dict, path: Optional[Column] = None) -> Col
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def _field_violations(value: Column, key: str, shape: dict, path: Column) -> Column:
+    inner_path = F.concat(path, F.lit(f".{key}"))
+    return bind(
+        object_field(value, key),
+        lambda field: F.when(field.isNotNull(), violations(field, shape, inner_path)).otherwise(
+            F.array().cast(VIOLATIONS)
+        ),
+    )
+
+
 def validate_documents(docs: DataFrame, shape: dict, raw: str = "raw") -> DataFrame:
     """Adds ``document`` (the JSON text found), ``valid``, ``violations`` and ``error``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dialogweave.fixed_values import SLOT_BANK, Slot
 from dialogweave.functions.jsontext import (
+    bind,
     field_text,
     is_truthy,
     kind_of,
@@ -28,17 +29,19 @@ def project_known_slots(
         F.col("_doc").isNotNull()
     )
     names = [s.slot for s in slots]
-    entries = F.array(
-        *[
-            F.struct(
+
+    def entry(name: str) -> Column:
+        return bind(
+            object_field(F.col("_doc"), name),
+            lambda field: F.struct(
                 F.lit(name).alias("slot"),
-                field_text(object_field(F.col("_doc"), name)).alias("value"),
-                is_truthy(object_field(F.col("_doc"), name)).alias("truthy"),
+                field_text(field).alias("value"),
+                is_truthy(field).alias("truthy"),
                 F.lit(None).cast("string").alias("error"),
-            )
-            for name in names
-        ]
-    )
+            ),
+        )
+
+    entries = F.array(*[entry(name) for name in names])
     failed = F.array(
         F.struct(
             F.lit(None).cast("string").alias("slot"),

@@ -86,9 +86,7 @@ def stream_sessions(events: DataFrame) -> DataFrame:
     Each row replaces the session's earlier ones; the highest ``last_seq`` is current. An
     event at or below the last applied ``seq`` is a replay and is skipped.
     """
-    narrow = events.where(
-        F.col("type").isin("standard_question_shown", "standard_answer_given", *TERMINAL)
-    ).select(
+    narrow = events.select(
         F.col("session_id").cast("string").alias("session_id"),
         "seq", "ts", "type", "question_id", "text", "reason",
     )
