@@ -61,12 +61,8 @@ def kind_of(value: Column) -> Column:
             F.when(name == "STRING", "string")
             .when(name.startswith("OBJECT"), "object")
             .when(name.startswith("ARRAY"), "array")
-            .when(name == "BIGINT", "integer")
-            .when(name.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
-            .when(
-                name.startswith("DECIMAL") | name.isin("DOUBLE", "FLOAT"),
-                bind(F.try_variant_get(v, "$", "double"), _whole),
-            )
+            .when(is_integer(v, name), "integer")
+            .when(is_number(name), "number")
             .when(name == "BOOLEAN", "boolean")
             .when(name == "VOID", "null")
         )
@@ -74,29 +70,40 @@ def kind_of(value: Column) -> Column:
     return bind(value, lambda v: bind(F.schema_of_variant(v), lambda name: named(v, name)))
 
 
+def is_number(name: Column) -> Column:
+    """Whether a VARIANT's type name is one of a number."""
+    return name.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+
+
+def is_integer(value: Column, name: Column) -> Column:
+    """Whether a VARIANT of the given type name is a whole number."""
+    fraction = F.when(is_number(name), bind(F.try_variant_get(value, "$", "double"), _whole))
+    return name.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$") | F.coalesce(fraction, F.lit(False))
+
+
 def _whole(number: Column) -> Column:
     # A DOUBLE of 2**53 or more has no fraction, and may not fit the BIGINT of floor().
     large = F.abs(number) >= F.lit(float(2**53))
-    small_part = F.when(~large, number)
-    return F.when(
-        large | (small_part == F.floor(small_part).cast("double")), "integer"
-    ).otherwise("number")
+    return large | F.when(~large, number % 1 == 0)
 
 
 def is_truthy(value: Column) -> Column:
     """Drops null, empty text, empty array, empty object, zero and false."""
+    return F.coalesce(
+        bind(value, lambda v: bind(kind_of(v), lambda kind: truthy_of(v, kind))), F.lit(False)
+    )
 
-    def filled(v: Column, kind: Column) -> Column:
-        return (
-            F.when(kind == "string", F.try_variant_get(v, "$", "string") != "")
-            .when(kind == "boolean", F.try_variant_get(v, "$", "boolean"))
-            .when(kind.isin("integer", "number"), F.try_variant_get(v, "$", "double") != 0)
-            .when(kind == "array", F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
-            .when(kind == "object", F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0)
-        )
 
-    known = bind(value, lambda v: bind(kind_of(v), lambda kind: filled(v, kind)))
-    return F.coalesce(known, F.lit(False))
+def truthy_of(value: Column, kind: Column) -> Column:
+    """``is_truthy`` of a VARIANT whose kind is known; NULL without a value."""
+    filled = (
+        F.when(kind == "string", F.try_variant_get(value, "$", "string") != "")
+        .when(kind == "boolean", F.try_variant_get(value, "$", "boolean"))
+        .when(kind.isin("integer", "number"), F.try_variant_get(value, "$", "double") != 0)
+        .when(kind == "array", F.size(F.try_variant_get(value, "$", "array<variant>")) > 0)
+        .when(kind == "object", F.size(F.try_variant_get(value, "$", "map<string,variant>")) > 0)
+    )
+    return F.coalesce(filled, F.lit(False))
 
 
 def key_path(key: str) -> str:
@@ -113,10 +120,11 @@ def object_field(value: Column, key: str) -> Column:
 
 def field_text(value: Column) -> Column:
     """Text of a slot value: strings as they are, other kinds as JSON, JSON null as NULL."""
+    return bind(value, lambda v: bind(kind_of(v), lambda kind: text_of(v, kind)))
 
-    def text(v: Column, kind: Column) -> Column:
-        return F.when(kind == "string", F.try_variant_get(v, "$", "string")).when(
-            kind != "null", F.to_json(v)
-        )
 
-    return bind(value, lambda v: bind(kind_of(v), lambda kind: text(v, kind)))
+def text_of(value: Column, kind: Column) -> Column:
+    """``field_text`` of a VARIANT whose kind is known."""
+    return F.when(kind == "string", F.try_variant_get(value, "$", "string")).when(
+        kind != "null", F.to_json(value)
+    )

@@ -11,7 +11,8 @@ from dialogweave.fixed_values import MAX_RETRIES
 from dialogweave.functions.jsontext import (
     bind,
     extract_json_block,
-    kind_of,
+    is_integer,
+    is_number,
     object_field,
     parse_json_strict,
 )
@@ -121,24 +122,42 @@ def struct_type(shape: dict) -> T.DataType:
     return T.VariantType()
 
 
-def _rule(broken: Column, path: Column, rule: Column | str) -> Column:
-    text = rule if isinstance(rule, Column) else F.lit(rule)
-    found = F.array(F.struct(path.alias("path"), text.alias("rule")))
-    return F.when(broken, found).otherwise(F.array()).cast(VIOLATIONS)
-
-
-def _equals(value: Column, kind: Column, allowed: Any) -> Column:
-    if allowed is None:
-        return kind == "null"
-    if isinstance(allowed, bool):
-        return (kind == "boolean") & (F.try_variant_get(value, "$", "boolean") == allowed)
-    if isinstance(allowed, (int, float)):
-        return kind.isin("integer", "number") & (
-            F.try_variant_get(value, "$", "double") == float(allowed)
-        )
-    if isinstance(allowed, str):
-        return (kind == "string") & (F.try_variant_get(value, "$", "string") == allowed)
-    raise ValueError(f"enum entry is no scalar: {allowed!r}")
+def _rules(*tests: tuple[Column, str], path: Column) -> Column:
+    """The rules whose test holds."""
+    found = F.array(
+        *[F.when(broken, F.struct(path.alias("path"), F.lit(rule).alias("rule"))) for broken, rule in tests]
+    )
+    return F.array_compact(found).cast(VIOLATIONS)
+
+
+def _is_kind(value: Column, name: Column, kind: str) -> Column:
+    """Whether a VARIANT of type ``name`` is of a JSON kind."""
+    if kind == "integer":
+        return is_integer(value, name)
+    if kind == "number":
+        return is_number(name)
+    if kind in ("object", "array"):
+        return name.startswith(kind.upper())
+    return name == {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[kind]
+
+
+def _is_one_of(value: Column, name: Column, allowed: list) -> Column:
+    """Whether a VARIANT equals one of the listed scalars, kind by kind."""
+    texts = [a for a in allowed if isinstance(a, str)]
+    truths = [a for a in allowed if isinstance(a, bool)]
+    numbers = [float(a) for a in allowed if isinstance(a, (int, float)) and not isinstance(a, bool)]
+    if len(texts) + len(truths) + len(numbers) + allowed.count(None) != len(allowed):
+        raise ValueError("enum entries must be scalars")
+    hit = F.lit(False)
+    if texts:
+        hit = hit | ((name == "STRING") & F.try_variant_get(value, "$", "string").isin(*texts))
+    if truths:
+        hit = hit | ((name == "BOOLEAN") & F.try_variant_get(value, "$", "boolean").isin(*truths))
+    if numbers:
+        hit = hit | (is_number(name) & F.try_variant_get(value, "$", "double").isin(*numbers))
+    if None in allowed:
+        hit = hit | (name == "VOID")
+    return F.coalesce(hit, F.lit(False))
 
 
 def violations(value: Column, shape: dict, path: Optional[Column] = None) -> Column:
@@ -148,34 +167,28 @@ def violations(value: Column, shape: dict, path: Optional[Column] = None) -> Col
         raise ValueError(f"unsupported shape keywords: {sorted(unknown)}")
     path = F.lit("$") if path is None else path
     return bind(
-        value, lambda v: bind(kind_of(v), lambda kind: _violations(v, kind, shape, path))
+        value,
+        lambda v: bind(F.schema_of_variant(v), lambda name: _violations(v, name, shape, path)),
     )
 
 
-def _violations(value: Column, kind: Column, shape: dict, path: Column) -> Column:
-    parts = []
-    wanted = shape.get("type")
-    if wanted == "number":
-        parts.append(_rule(~kind.isin("integer", "number"), path, "type number"))
-    elif wanted is not None:
-        parts.append(_rule(kind != wanted, path, f"type {wanted}"))
+def _violations(value: Column, name: Column, shape: dict, path: Column) -> Column:
+    empty = F.array().cast(VIOLATIONS)
+    tests, parts = [], []
+    if "type" in shape:
+        tests.append((~_is_kind(value, name, shape["type"]), f"type {shape['type']}"))
     if "enum" in shape:
-        hit = F.lit(False)
-        for allowed in shape["enum"]:
-            hit = hit | F.coalesce(_equals(value, kind, allowed), F.lit(False))
-        parts.append(_rule(~hit, path, "enum"))
-    is_object = kind == "object"
+        tests.append((~_is_one_of(value, name, shape["enum"]), "enum"))
+    is_object = _is_kind(value, name, "object")
     for key in shape.get("required", []):
-        parts.append(
-            _rule(is_object & object_field(value, key).isNull(), path, f"required {key}")
-        )
-    for key, inner in shape.get("properties", {}).items():
-        if set(inner) - _IGNORED:
-            parts.append(
-                F.when(is_object, _field_violations(value, key, inner, path))
-                .otherwise(F.array())
-                .cast(VIOLATIONS)
-            )
+        tests.append((is_object & object_field(value, key).isNull(), f"required {key}"))
+    if tests:
+        parts.append(_rules(*tests, path=path))
+    inner = [
+        _field_violations(value, key, field_shape, path)
+        for key, field_shape in shape.get("properties", {}).items()
+        if set(field_shape) - _IGNORED
+    ]
     extra = shape.get("additionalProperties", True)
     if isinstance(extra, dict):
         raise ValueError("additionalProperties must be true or false")
@@ -186,21 +199,20 @@ def _violations(value: Column, kind: Column, shape: dict, path: Column) -> Colum
             F.array_sort(F.array_except(keys, known)),
             lambda k: F.struct(path.alias("path"), F.concat(F.lit("unknown key "), k).alias("rule")),
         )
-        parts.append(F.when(is_object, surplus).otherwise(F.array()).cast(VIOLATIONS))
+        inner.append(surplus.cast(VIOLATIONS))
+    if inner:
+        parts.append(F.when(is_object, F.concat(*inner)).otherwise(empty))
     if set(shape.get("items", {})) - _IGNORED:
-        items = F.try_variant_get(value, "$", "array<variant>")
         nested = F.flatten(
             F.transform(
-                items,
+                F.try_variant_get(value, "$", "array<variant>"),
                 lambda x, i: violations(
                     x, shape["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
                 ),
             )
         )
-        parts.append(F.when(kind == "array", nested).otherwise(F.array()).cast(VIOLATIONS))
-    if not parts:
-        return F.array().cast(VIOLATIONS)
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+        parts.append(F.when(_is_kind(value, name, "array"), nested).otherwise(empty))
+    return F.concat(*parts) if parts else empty
 
 
 def _field_violations(value: Column, key: str, shape: dict, path: Column) -> Column:

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dialogweave.fixed_values import SLOT_BANK, Slot
 from dialogweave.functions.jsontext import (
     bind,
-    field_text,
-    is_truthy,
     kind_of,
     object_field,
     parse_json_strict,
+    text_of,
+    truthy_of,
 )
 
 
@@ -25,36 +25,35 @@ def project_known_slots(
     Text that is no JSON gives no rows; JSON that is no object gives one row with
     ``error`` set. Unknown keys are ignored and missing ones become NULL.
     """
-    parsed = updates.withColumn("_doc", parse_json_strict(F.col("raw"))).where(
-        F.col("_doc").isNotNull()
-    )
-    names = [s.slot for s in slots]
+    row = "array<struct<slot:string,value:string,truthy:boolean,error:string>>"
+    nothing = F.lit(None)
+
+    def entry(doc: Column, name: str) -> Column:
+        def filled(field: Column, kind: Column) -> Column:
+            return F.struct(
+                F.lit(name), text_of(field, kind), truthy_of(field, kind), nothing
+            )
 
-    def entry(name: str) -> Column:
         return bind(
-            object_field(F.col("_doc"), name),
-            lambda field: F.struct(
-                F.lit(name).alias("slot"),
-                field_text(field).alias("value"),
-                is_truthy(field).alias("truthy"),
-                F.lit(None).cast("string").alias("error"),
-            ),
+            object_field(doc, name),
+            lambda field: bind(kind_of(field), lambda kind: filled(field, kind)),
         )
 
-    entries = F.array(*[entry(name) for name in names])
-    failed = F.array(
-        F.struct(
-            F.lit(None).cast("string").alias("slot"),
-            F.lit(None).cast("string").alias("value"),
-            F.lit(False).alias("truthy"),
-            F.concat(F.lit("not an object: "), kind_of(F.col("_doc"))).alias("error"),
+    def entries(doc: Column, kind: Column) -> Column:
+        failed = F.struct(nothing, nothing, F.lit(False), F.concat(F.lit("not an object: "), kind))
+        return (
+            F.when(kind == "object", F.array(*[entry(doc, s.slot) for s in slots]).cast(row))
+            .when(kind.isNotNull(), F.array(failed).cast(row))
+            .otherwise(F.array().cast(row))
         )
+
+    found = bind(
+        parse_json_strict(F.col("raw")),
+        lambda doc: bind(kind_of(doc), lambda kind: entries(doc, kind)),
+    )
+    return updates.select("conversation_id", "seq", F.explode(found).alias("_e")).select(
+        "conversation_id", "seq", "_e.*"
     )
-    return parsed.select(
-        "conversation_id",
-        "seq",
-        F.explode(F.when(kind_of(F.col("_doc")) == "object", entries).otherwise(failed)).alias("_e"),
-    ).select("conversation_id", "seq", "_e.*")
 
 
 def _slot_state(updates: DataFrame, slots: Sequence[Slot], truthy: Optional[Column]) -> DataFrame:

@@ -6,27 +6,47 @@ from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from dialogweave.fixed_values import MAX_RETRIES
 from dialogweave.operators.answers import latest_answers, patient_questions, questionnaire_answers
-from dialogweave.operators.documents import assemble_summary, first_valid_attempt, summary_shape
+from dialogweave.operators.documents import (
+    assemble_summary,
+    first_valid_attempt,
+    repair_queue,
+    summary_shape,
+)
 from dialogweave.operators.flow import expand_transcript, flow_answers, question_progress
 from dialogweave.operators.responses import BatchResponder, respond_to_table
 from dialogweave.plans.prompts import summary_prompts
 
 
-def summaries_from_attempts(
-    inputs: DataFrame,
-    questions: DataFrame,
-    messages: DataFrame,
-    attempts: DataFrame,
-    shape: Optional[dict] = None,
+def collect_attempts(
+    spark: SparkSession,
+    prompts: DataFrame,
+    shape: dict,
+    summarizer: BatchResponder,
+    folder: str,
+    max_retries: int = MAX_RETRIES,
 ) -> DataFrame:
-    """Summary documents of conversations whose model output has a valid attempt."""
-    shape = shape or summary_shape()
-    documents = first_valid_attempt(attempts, shape).where("ok")
-    answers = latest_answers(flow_answers(question_progress(inputs, questions)))
-    return assemble_summary(
-        documents, questionnaire_answers(answers, questions), patient_questions(messages), shape
-    )
+    """Model outputs (conversation_id = request id, attempt, raw), asked in rounds.
+
+    A first round asks every prompt, each further one only what has no valid output yet.
+    The number of rounds is fixed by the retry limit; every round is a written table.
+    """
+    attempts = None
+    for attempt in range(max_retries + 1):
+        if attempt:
+            queue = repair_queue(attempts, shape, max_retries=max_retries)
+            prompts = queue.where(F.col("attempt") == attempt).select(
+                F.col("conversation_id").alias("request_id"), "messages"
+            )
+        replies = respond_to_table(spark, prompts, summarizer, f"{folder}/round{attempt}")
+        latest = replies.select(
+            F.col("request_id").alias("conversation_id"),
+            F.lit(attempt).alias("attempt"),
+            F.col("content").alias("raw"),
+        )
+        attempts = latest if attempts is None else attempts.unionByName(latest)
+    return attempts
 
 
 def run_interviews(
@@ -36,18 +56,32 @@ def run_interviews(
     replies: Optional[DataFrame],
     summarizer: BatchResponder,
     folder: str,
+    shape: Optional[dict] = None,
 ) -> DataFrame:
-    """Inputs to summaries: expand, prompt, ask once per conversation, assemble.
+    """Inputs to summaries: expand, prompt, ask with retries, assemble.
 
     Messages and model outputs are written below ``folder`` before they are used again.
+    A transcript of several parts is asked part by part, and its first valid document
+    gives the model's share of the summary.
     """
+    shape = shape or summary_shape()
     messages_path = f"{folder}/messages"
     expand_transcript(inputs, questions, replies).write.mode("overwrite").parquet(messages_path)
     messages = spark.read.parquet(messages_path)
-    prompts = summary_prompts(messages, summary_shape())
-    outputs = respond_to_table(spark, prompts, summarizer, f"{folder}/responses")
-    keyed = prompts.select("request_id", "conversation_id", "part")
-    attempts = outputs.where(F.col("error").isNull()).join(keyed, "request_id").select(
-        "conversation_id", F.col("part").alias("attempt"), F.col("content").alias("raw")
+    prompts = summary_prompts(messages, shape)
+    attempts = collect_attempts(spark, prompts, shape, summarizer, folder)
+    valid = (
+        first_valid_attempt(attempts, shape)
+        .where("ok")
+        .select(F.col("conversation_id").alias("request_id"), "document")
+    )
+    documents = (
+        prompts.select("request_id", "conversation_id", "part")
+        .join(valid, "request_id")
+        .groupBy("conversation_id")
+        .agg(F.min_by("document", "part").alias("document"))
+    )
+    answers = latest_answers(flow_answers(question_progress(inputs, questions)))
+    return assemble_summary(
+        documents, questionnaire_answers(answers, questions), patient_questions(messages), shape
     )
-    return summaries_from_attempts(inputs, questions, messages, attempts)
