@@ -30,19 +30,19 @@ def parse_json_strict(text: Column) -> Column:
     """VARIANT of the text, or NULL when it is not exactly one JSON value.
 
     ``try_parse_json`` stops at the end of the first value, so text behind it is found by
-    parsing the text once as the only element of an array and once as the only entry of
-    an object. NaN and repeated keys are rejected on purpose.
+    wrapping. In ``[text]`` a closing bracket inside the text hides what follows it, but
+    then ``{"v":text}`` does not parse; otherwise the array must hold exactly one item.
+    NaN and repeated keys are rejected on purpose.
     """
-    return bind(text, _parse_single)
 
-
-def _parse_single(text: Column) -> Column:
-    as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    as_entry = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    single = (F.size(as_item.cast("array<variant>")) == 1) & (
-        F.size(as_entry.cast("map<string,variant>")) == 1
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    entry = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(
+        wrapped.isNotNull()
+        & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+        & entry.isNotNull(),
+        F.try_variant_get(wrapped, "$[0]", "variant"),
     )
-    return F.when(single, F.try_parse_json(text))
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -43,7 +43,7 @@ def block_directory(blocked: DataFrame, key: str, totals: dict[str, Column] | No
     )
     order = across_blocks(key)
     before = order.rowsBetween(*_BEFORE)
-    several = F.count(F.lit(1)).over(Window.partitionBy(key)) > 1
+    several = F.lag(BLOCK).over(order).isNotNull() | F.lead(BLOCK).over(order).isNotNull()
     return (
         per_block.select(
             key,

@@ -39,20 +39,21 @@ def project_known_slots(
             lambda field: bind(kind_of(field), lambda kind: filled(field, kind)),
         )
 
-    def entries(doc: Column, kind: Column) -> Column:
-        failed = F.struct(nothing, nothing, F.lit(False), F.concat(F.lit("not an object: "), kind))
-        return (
-            F.when(kind == "object", F.array(*[entry(doc, s.slot) for s in slots]).cast(row))
-            .when(kind.isNotNull(), F.array(failed).cast(row))
-            .otherwise(F.array().cast(row))
+    # A column of its own: parsed once and outside the interpreted lambdas.
+    doc = F.col("_doc")
+    failed = F.struct(nothing, nothing, F.lit(False), F.concat(F.lit("not an object: "), kind_of(doc)))
+    found = (
+        F.when(
+            F.schema_of_variant(doc).startswith("OBJECT"),
+            F.array(*[entry(doc, s.slot) for s in slots]).cast(row),
         )
-
-    found = bind(
-        parse_json_strict(F.col("raw")),
-        lambda doc: bind(kind_of(doc), lambda kind: entries(doc, kind)),
+        .when(doc.isNotNull(), F.array(failed).cast(row))
+        .otherwise(F.array().cast(row))
     )
-    return updates.select("conversation_id", "seq", F.explode(found).alias("_e")).select(
-        "conversation_id", "seq", "_e.*"
+    return (
+        updates.select("conversation_id", "seq", parse_json_strict(F.col("raw")).alias("_doc"))
+        .select("conversation_id", "seq", F.explode(found).alias("_e"))
+        .select("conversation_id", "seq", "_e.*")
     )
 
 
