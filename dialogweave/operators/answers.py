@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from dialogweave.fixed_values import NONE_ANSWERED_TEXT
 from dialogweave.functions.scalars import is_chat_turn
-from dialogweave.model import ASSISTANT, CHAT, PATIENT
-from dialogweave.operators.flow import flow_answers
-from dialogweave.operators.ordered import BLOCK_BITS, with_next
+from dialogweave.model import ANSWER, ASSISTANT, CHAT, PATIENT
+from dialogweave.operators.ordered import BLOCK_BITS, with_earlier, with_next
 
 
 def latest_answers(answers: DataFrame) -> DataFrame:
@@ -42,44 +41,41 @@ def questionnaire_documents(answers: DataFrame) -> DataFrame:
 
 
 def answered_so_far(
-    progress: DataFrame, questions: DataFrame, none_text: str = NONE_ANSWERED_TEXT
+    progress: DataFrame,
+    questions: DataFrame,
+    none_text: str = NONE_ANSWERED_TEXT,
+    bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Per chat turn: one ``- question -> answer`` line per question answered before it.
 
-    The flow stores at most one answer per position, so the per-conversation array is
-    bounded by the flow; each chat turn keeps the part with smaller ``seq``.
+    The flow stores at most one answer per position, so the answers carried along a
+    conversation are bounded by the flow. An id that occurs at several positions answers
+    all of them.
     """
-    flow = questions.select(
-        F.col("id").alias("question_id"), F.col("pos").alias("_pos"), F.col("text").alias("question")
+    places = questions.groupBy(F.col("id").alias("active_question_id")).agg(
+        F.collect_list(F.struct(F.col("pos").alias("p"), F.col("text").alias("q"))).alias("_places")
     )
-    entries = (
-        flow_answers(progress)
-        .join(flow, "question_id")
-        .groupBy("conversation_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.col("_pos").alias("p"), F.col("seq").alias("s"), "question", "text"))
-            ).alias("_answers")
-        )
+    answered = F.when(
+        F.col("mode") == ANSWER,
+        F.transform(
+            "_places", lambda x: F.struct(x["p"], F.col("seq").alias("s"), x["q"], F.col("text").alias("a"))
+        ),
     )
-    chats = progress.where(F.col("mode") == CHAT)
-    earlier = F.filter("_answers", lambda e: e["s"] < F.col("seq"))
+    rows = with_earlier(
+        progress.join(places, "active_question_id", "left"), answered, bits=bits
+    ).where(F.col("mode") == CHAT)
     # Sorted by (position, seq): the last entry of a position is its current answer.
     current = F.filter(
-        "_earlier",
-        lambda e, i: F.coalesce(F.get(F.col("_earlier"), i + 1)["p"] != e["p"], F.lit(True)),
+        "_sorted",
+        lambda e, i: F.coalesce(F.get(F.col("_sorted"), i + 1)["p"] != e["p"], F.lit(True)),
     )
     lines = F.array_join(
-        F.transform(
-            current, lambda e: F.concat(F.lit("- "), e["question"], F.lit(" -> "), e["text"])
-        ),
-        "\n",
+        F.transform(current, lambda e: F.concat(F.lit("- "), e["q"], F.lit(" -> "), e["a"])), "\n"
     )
     return (
-        chats.join(entries, "conversation_id", "left")
-        .withColumn("_earlier", earlier)
+        rows.withColumn("_sorted", F.array_sort(F.flatten("_earlier")))
         .withColumn("answered", F.coalesce(F.nullif(lines, F.lit("")), F.lit(none_text)))
-        .drop("_answers", "_earlier")
+        .select(*progress.columns, "answered")
     )
 
 

@@ -169,6 +169,51 @@ def with_last_rows(
     )
 
 
+def with_earlier(
+    df: DataFrame,
+    entry: Column,
+    key: str = "conversation_id",
+    order: str = "seq",
+    bits: int = BLOCK_BITS,
+) -> DataFrame:
+    """Adds ``_earlier``: the non-NULL entries of all strictly earlier rows, in order.
+
+    For entries that are few by definition (such as the answers of one flow), as every row
+    gets all of them.
+    """
+    blocked = with_block(df, order, bits)
+    window = in_block(key, order)
+    local = blocked.withColumn("_own", entry).select(
+        "*",
+        F.collect_list("_own").over(window.rowsBetween(*_BEFORE)).alias("_local"),
+        F.lead(order).over(window).isNull().alias("_is_last"),
+    )
+    own = F.array_compact(F.array("_own"))
+    ends = (
+        block_directory(blocked, key)
+        .select(key, BLOCK)
+        .join(
+            local.where("_is_last").select(key, BLOCK, F.concat("_local", own).alias("_all")),
+            [key, BLOCK],
+        )
+        .select(
+            key,
+            BLOCK,
+            F.flatten(
+                F.collect_list("_all").over(across_blocks(key).rowsBetween(*_BEFORE))
+            ).alias("_carried"),
+        )
+    )
+    whole = F.when(F.col("_carried").isNull(), F.col("_local")).otherwise(
+        F.concat("_carried", "_local")
+    )
+    return (
+        local.join(ends, [key, BLOCK], "left")
+        .withColumn("_earlier", whole)
+        .drop("_own", "_local", "_is_last", "_carried", BLOCK)
+    )
+
+
 def last_of(array: Column, n: int) -> Column:
     """Last ``n`` elements; unlike a negative slice start it also works on short arrays."""
     return F.slice(array, F.greatest(F.lit(1), F.size(array) - (n - 1)), n)

@@ -72,10 +72,8 @@ def _run(entries: Column, entry: Column, stop: int) -> Column:
     return F.aggregate(entries, initial.cast(_STATE), step)
 
 
-def topic_progress(
-    messages: DataFrame, rules: Sequence[TopicRule] = TOPIC_RULES, bits: int = BLOCK_BITS
-) -> DataFrame:
-    """Per conversation: next topic, completed topics, and where they were completed.
+def _block_runs(messages: DataFrame, rules: Sequence[TopicRule], bits: int) -> DataFrame:
+    """Per (conversation, block): topics completed at entry, and what the block did.
 
     Only (seq, hit bits) of matching messages are grouped, one bounded block at a time. A
     block acts on the number of completed topics; for conversations of several blocks the
@@ -83,16 +81,13 @@ def topic_progress(
     that can be completed.
     """
     stop = _leading(rules)
-    used = rules[: stop + 1]
+    key = "conversation_id"
     hits = with_block(
-        messages.select("conversation_id", "seq", keyword_hits(F.col("content"), used).alias("h")),
+        messages.select(key, "seq", keyword_hits(F.col("content"), rules[: stop + 1]).alias("h")),
         bits=bits,
     )
     entry_struct = F.when(F.col("h") > 0, F.struct(F.col("seq").alias("s"), F.col("h")))
-    blocks = hits.groupBy("conversation_id", BLOCK).agg(
-        F.array_sort(F.collect_list(entry_struct)).alias("_entries")
-    )
-    key = "conversation_id"
+    blocks = hits.groupBy(key, BLOCK).agg(F.array_sort(F.collect_list(entry_struct)).alias("_entries"))
     entered = (
         blocks.join(block_directory(hits, key).select(key, BLOCK), [key, BLOCK])
         .select(
@@ -106,13 +101,22 @@ def topic_progress(
     )
     before = across_blocks(key).rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(stop):
+        # Completed topics never decrease, so each pass settles at least one more change.
         reached = F.max(F.get(F.col("_exit"), F.col("_entry"))).over(before)
         entered = entered.withColumn("_entry", F.coalesce(reached, F.lit(0)))
+    entry = F.coalesce(F.col("_entry"), F.lit(0))
+    return blocks.join(entered.drop("_exit"), [key, BLOCK], "left").select(
+        key, BLOCK, entry.alias("_entry"), _run(F.col("_entries"), entry, stop).alias("_ran")
+    )
+
+
+def topic_progress(
+    messages: DataFrame, rules: Sequence[TopicRule] = TOPIC_RULES, bits: int = BLOCK_BITS
+) -> DataFrame:
+    """Per conversation: next topic, completed topics, and where they were completed."""
+    key = "conversation_id"
     ran = (
-        blocks.join(entered.drop("_exit"), [key, BLOCK], "left")
-        .withColumn(
-            "_ran", _run(F.col("_entries"), F.coalesce(F.col("_entry"), F.lit(0)), stop)
-        )
+        _block_runs(messages, rules, bits)
         .groupBy(key)
         .agg(
             F.array_sort(
@@ -162,16 +166,22 @@ def topic_answers(
 
 
 def topic_turns(
-    messages: DataFrame, progress: DataFrame, rules: Sequence[TopicRule] = TOPIC_RULES
+    messages: DataFrame, rules: Sequence[TopicRule] = TOPIC_RULES, bits: int = BLOCK_BITS
 ) -> DataFrame:
     """Per message: the open topic on its arrival and after it."""
     topics = F.array(*[F.lit(r.topic) for r in rules])
     seq = F.col("seq")
-    return messages.select("conversation_id", "seq").join(
-        progress.select("conversation_id", "done_at"), "conversation_id"
-    ).select(
-        "conversation_id",
-        "seq",
-        F.get(topics, F.size(F.filter("done_at", lambda s: s < seq))).alias("topic_before"),
-        F.get(topics, F.size(F.filter("done_at", lambda s: s <= seq))).alias("topic_after"),
+    return (
+        with_block(messages.select("conversation_id", "seq"), bits=bits)
+        .join(_block_runs(messages, rules, bits), ["conversation_id", BLOCK])
+        .select(
+            "conversation_id",
+            "seq",
+            _topic_at(topics, F.filter("_ran.at", lambda s: s < seq)).alias("topic_before"),
+            _topic_at(topics, F.filter("_ran.at", lambda s: s <= seq)).alias("topic_after"),
+        )
     )
+
+
+def _topic_at(topics: Column, done_in_block: Column) -> Column:
+    return F.get(topics, F.col("_entry") + F.size(done_in_block))

@@ -326,8 +326,7 @@ def topic_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topic_turns(spark: SparkSession, sf: str) -> DataFrame:
-    messages = v.messages(spark, sf)
-    return topics.topic_turns(messages, topics.topic_progress(messages, v.RULES), v.RULES)
+    return topics.topic_turns(v.messages(spark, sf), v.RULES)
 
 
 # --- sessions -------------------------------------------------------------------------

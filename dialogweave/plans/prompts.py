@@ -77,7 +77,9 @@ def chat_prompts(
             request, "conversation_id", "seq", prompt.cast(CHAT_ENTRY).alias("messages")
         )
     asked = chat_context(messages, frame, turns, bits, keep=("input_seq",))
-    situation = answered_so_far(question_progress(inputs, questions, bits), questions).select(
+    situation = answered_so_far(
+        question_progress(inputs, questions, bits), questions, bits=bits
+    ).select(
         "conversation_id",
         F.col("seq").alias("input_seq"),
         "active_question_id",

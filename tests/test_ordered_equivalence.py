@@ -157,7 +157,7 @@ def test_expand_transcript(spark, bits, number, responder):
     progress = flow.question_progress(inputs, dim, bits=bits)
     so_far = {
         (r.conversation_id, r.seq): r.answered
-        for r in answers.answered_so_far(progress, dim).collect()
+        for r in answers.answered_so_far(progress, dim, bits=bits).collect()
         if r.active_question_id is not None
     }
     rejected = {
@@ -215,7 +215,7 @@ def test_topic_progress(spark, bits, number):
     for r in topics.topic_answers(df, progress, rules).collect():
         kept.setdefault(r.conversation_id, {})[r.topic] = r.answer
     turns = {}
-    for r in topics.topic_turns(df, progress, rules).collect():
+    for r in topics.topic_turns(df, rules, bits).collect():
         turns.setdefault(r.conversation_id, []).append((r.seq, r.topic_before, r.topic_after))
     for c, rows in table.items():
         following, done, stored, path = loops.topics(rows, rules)
