@@ -10,6 +10,7 @@ COMPLETION_TEXT = "Questionnaire complete."
 NO_RESPONDER_TEXT = "Chatbot not available."
 NONE_ANSWERED_TEXT = "None yet."
 ALL_FILLED_TEXT = "All slots filled."
+ASK_ABOUT_TEXT = "Please ask about: "
 
 
 class Slot(NamedTuple):

@@ -33,6 +33,7 @@ def session_questions(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     shown = F.col("type") == "standard_question_shown"
     given = F.col("type") == "standard_answer_given"
     terminal = F.col("type").isin(*TERMINAL)
+    source = F.col("source") if "source" in events.columns else F.lit(None).cast("string")
     return (
         live_events(events, bits)
         .groupBy("session_id", "question_id")
@@ -42,6 +43,8 @@ def session_questions(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
             F.max(F.when(given, F.col("seq"))).alias("answered_at"),
             F.max_by(F.when(given, F.col("text")), F.when(given, F.col("seq"))).alias("answer"),
             F.max(F.when(terminal, F.struct("type", "reason", "ts"))).alias("ending"),
+            F.max(F.when(F.col("type") == "session_started", F.col("meta"))).alias("meta"),
+            F.min(source).alias("source"),
         )
     )
 
@@ -49,7 +52,8 @@ def session_questions(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
 def replay_session(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """One snapshot per session: status, questions in shown order, answers by question id.
 
-    Skipped questions have no answer; a log without terminal event is ``open``.
+    Skipped questions have no answer; a log without terminal event is ``open``. ``meta`` is
+    what the session was started with and ``source`` the log it was read from, if known.
     """
     known = F.col("question_id").isNotNull()
     ending = F.max("ending")
@@ -58,6 +62,8 @@ def replay_session(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
         .groupBy("session_id")
         .agg(
             ending.alias("_end"),
+            F.max("meta").alias("meta"),
+            F.min("source").alias("source"),
             F.array_sort(
                 F.collect_list(
                     F.when(
@@ -87,6 +93,8 @@ def replay_session(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
             F.when(F.col("_end.type") == "session_finished", F.col("_end.ts")).alias("created_at"),
             F.transform("_shown", lambda q: F.struct(q["id"], q["text"])).alias("questions"),
             "answers",
+            "meta",
+            "source",
         )
     )
 

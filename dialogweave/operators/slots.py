@@ -6,7 +6,7 @@ from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialogweave.fixed_values import SLOT_BANK, Slot
+from dialogweave.fixed_values import ASK_ABOUT_TEXT, SLOT_BANK, Slot
 from dialogweave.functions.jsontext import (
     bind,
     kind_of,
@@ -171,5 +171,5 @@ def next_unfilled(
     result = result.withColumn("done", F.col(f"next_{item}").isNull())
     if done_text is None:
         return result
-    prompt = F.coalesce(F.concat(F.lit("Please ask about: "), F.col(f"next_{item}")), F.lit(done_text))
+    prompt = F.coalesce(F.concat(F.lit(ASK_ABOUT_TEXT), F.col(f"next_{item}")), F.lit(done_text))
     return result.withColumn("prompt", prompt)

@@ -17,9 +17,10 @@ def parse_log_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
     e = lines.withColumn("e", F.from_json(line, LOG_LINE_SCHEMA, options))
     order = F.coalesce("e.seq", "seq") if "seq" in lines.columns else F.col("e.seq")
-    return e.select(order.alias("seq"), *event_columns(lambda name: F.col(f"e.{name}"))).select(
-        *SESSION_EVENT_COLUMNS, "corrupt"
-    )
+    source = ["source"] if "source" in lines.columns else []
+    return e.select(
+        order.alias("seq"), *event_columns(lambda name: F.col(f"e.{name}")), *source
+    ).select(*SESSION_EVENT_COLUMNS, "corrupt", *source)
 
 
 def event_columns(field) -> list[Column]:
@@ -61,4 +62,4 @@ def read_session_log(spark: SparkSession, path: str) -> DataFrame:
     numbered = lines.withColumn(
         "seq", (F.col("_start") + F.row_number().over(in_split) - 1).cast("bigint")
     ).where(py_strip(F.col("value")) != "")
-    return parse_log_lines(numbered.select("seq", "value"))
+    return parse_log_lines(numbered.select("seq", "value", F.col("_file").alias("source")))

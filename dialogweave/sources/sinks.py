@@ -56,12 +56,21 @@ def append_session_log(events: DataFrame, path: str, iso: bool = True) -> None:
 
 
 def snapshot_documents(snapshots: DataFrame) -> DataFrame:
-    """Snapshot documents of finished sessions; aborted and open sessions have none."""
+    """Snapshot documents of finished sessions; aborted and open sessions have none.
+
+    The responder is only named in sessions whose start event names it.
+    """
+    model = F.get_json_object("meta", "$.ollamaModel")
+    url = F.get_json_object("meta", "$.ollamaUrl")
     return finished_snapshots(snapshots).select(
         F.col("session_id").alias("sessionId"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("createdAt"),
         "questions",
         "answers",
+        F.when(
+            model.isNotNull() | url.isNotNull(), F.struct(model.alias("model"), url.alias("url"))
+        ).alias("ollama"),
+        F.col("source").alias("transcriptJsonl"),
     )
 
 

@@ -45,7 +45,7 @@ def test_flow_errors(spark, tmp_path, doc):
 
 
 EPOCH_LOG = [
-    {"ts": 1700000000, "type": "session_started", "sessionId": "s1", "meta": {"questionsFile": "x.json"}},
+    {"ts": 1700000000, "type": "session_started", "sessionId": "s1", "meta": {"ollamaModel": "m1", "ollamaUrl": "u1", "questionsFile": "x.json"}},
     {"ts": 1700000001, "type": "standard_question_shown", "sessionId": "s1", "questionId": "q1", "text": "Hvor gammel er du?"},
     {"ts": 1700000002, "type": "command_used", "sessionId": "s1", "command": "/chat", "context": {"questionId": "q1"}},
     {"ts": 1700000003, "type": "chat", "sessionId": "s1", "questionId": "chat", "text": {"role": "user", "content": "hvorfor æøå"}},
@@ -85,7 +85,7 @@ def test_logs_to_snapshots(spark, tmp_path, split):
         chat = rows[3]
         assert (chat.text, chat.chat_role, chat.chat_content) == (None, "user", "hvorfor æøå")
         assert (rows[2].command, rows[2].ctx_question_id, rows[11].ctx_phase) == ("/chat", "q1", "after_questions")
-        assert json.loads(rows[0].meta) == {"questionsFile": "x.json"}
+        assert json.loads(rows[0].meta)["questionsFile"] == "x.json"
         micros = [r[0] for r in events.orderBy("session_id", "seq").select(F.unix_micros("ts")).collect()]
         assert micros[0] == 1700000000000000 and micros[8] == 1706933106000007
         snaps = {r.session_id: r for r in sessions.replay_session(events).collect()}
@@ -98,6 +98,8 @@ def test_logs_to_snapshots(spark, tmp_path, split):
         stored = [json.loads(r.value) for r in spark.read.text(out).collect()]
         assert [d["sessionId"] for d in stored] == ["s1"]
         assert stored[0]["answers"] == {"q1": "", "q2": "/next"}
+        assert stored[0]["ollama"] == {"model": "m1", "url": "u1"}
+        assert stored[0]["transcriptJsonl"].endswith("/s1.jsonl")
         assert stored[0]["createdAt"].startswith("2023-11-14T22:13:27")
     finally:
         if split:
