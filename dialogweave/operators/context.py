@@ -46,7 +46,6 @@ def chat_context(
     framed = with_last_rows(
         messages.select("conversation_id", "seq", "role", "content", "mode", *keep),
         frame,
-        ["role", "content", "mode"],
         bits=bits,
     )
     asked = framed.where(is_chat_turn(F.col("role"), F.col("mode")) & (F.col("role") == PATIENT))

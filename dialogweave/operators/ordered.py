@@ -22,6 +22,21 @@ def with_block(df: DataFrame, order: str = "seq", bits: int = BLOCK_BITS) -> Dat
     return df.withColumn(BLOCK, F.shiftright(F.col(order).cast("bigint"), bits))
 
 
+def _packed(df: DataFrame, key: str, order: str, bits: int) -> DataFrame:
+    """Key, order, block, and the whole row as one struct ``_e``.
+
+    Windows take ``_e`` itself, so a row's texts cross the shuffle once. A row without key
+    or order has no place in a sequence; filtering it here, as the joins on both would,
+    lets every branch read the same shuffle.
+    """
+    placed = with_block(df, order, bits).where(
+        F.col(key).isNotNull() & F.col(order).isNotNull() & F.col(BLOCK).isNotNull()
+    )
+    return placed.select(
+        F.col(key).alias("_key"), F.col(order).alias("_order"), BLOCK, F.struct(*df.columns).alias("_e")
+    )
+
+
 def in_block(key: str, order: str = "seq"):
     return Window.partitionBy(key, BLOCK).orderBy(order)
 
@@ -91,55 +106,56 @@ def with_next(
     bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Adds ``_next``: struct of the given columns of the following row, NULL at the end."""
-    blocked = with_block(df, order, bits)
-    window = in_block(key, order)
-    local = blocked.select(
-        "*",
-        F.lead(F.struct(*columns)).over(window).alias("_lead"),
-        F.row_number().over(window).alias("_rn"),
-    )
+    rows = _packed(df, key, order, bits)
+    window = in_block("_key", "_order")
     following = (
-        block_directory(blocked, key)
-        .select(key, BLOCK, F.lead(BLOCK).over(across_blocks(key)).alias("_to"))
+        block_directory(rows, "_key")
+        .select("_key", BLOCK, F.lead(BLOCK).over(across_blocks("_key")).alias("_to"))
         .where(F.col("_to").isNotNull())
     )
     # First row of each block that follows another one, addressed to that other block.
-    heads = following.select(key, F.col(BLOCK).alias("_from"), F.col("_to").alias(BLOCK)).join(
-        local.where("_rn = 1").select(key, BLOCK, F.struct(*columns).alias("_head")), [key, BLOCK]
-    ).select(key, F.col("_from").alias(BLOCK), "_head")
+    firsts = rows.withColumn("_is_first", F.lag("_order").over(window).isNull()).where("_is_first")
+    heads = (
+        following.select("_key", F.col(BLOCK).alias("_from"), F.col("_to").alias(BLOCK))
+        .join(firsts.select("_key", BLOCK, F.col("_e").alias("_head")), ["_key", BLOCK])
+        .select("_key", F.col("_from").alias(BLOCK), "_head")
+    )
+    following_row = F.coalesce("_lead", "_head")
     return (
-        local.join(heads, [key, BLOCK], "left")
-        .withColumn("_next", F.coalesce("_lead", "_head"))
-        .drop("_lead", "_rn", "_head", BLOCK)
+        rows.withColumn("_lead", F.lead("_e").over(window))
+        .join(heads, ["_key", BLOCK], "left")
+        .withColumn("_following", following_row)
+        .select(
+            "_e.*",
+            F.when(
+                F.col("_following").isNotNull(), F.struct(*[F.col(f"_following.{c}") for c in columns])
+            ).alias("_next"),
+        )
     )
 
 
 def with_last_rows(
     df: DataFrame,
     n: int,
-    columns: list[str],
     key: str = "conversation_id",
     order: str = "seq",
     bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Adds ``_frame``: the last ``n`` rows up to and including the current one, in order."""
-    blocked = with_block(df, order, bits)
-    window = in_block(key, order)
-    entry = F.struct(F.col(order).alias("_o"), *columns)
-    local = blocked.select(
-        "*",
-        F.collect_list(entry).over(window.rowsBetween(-(n - 1), 0)).alias("_local"),
-        F.row_number().over(window).alias("_rn"),
+    rows = _packed(df, key, order, bits)
+    window = in_block("_key", "_order")
+    local = rows.withColumn(
+        "_local", F.collect_list("_e").over(window.rowsBetween(-(n - 1), 0))
     )
     if n == 1:
-        return local.withColumn("_frame", F.col("_local")).drop("_local", "_rn", BLOCK)
-    directory = block_directory(blocked, key)
+        return local.select("_e.*", F.col("_local").alias("_frame"))
     # Blocks that still need rows of this one: fewer than n-1 rows lie in between.
-    ahead = across_blocks(key).rowsBetween(1, n - 1)
+    ahead = across_blocks("_key").rowsBetween(1, n - 1)
     through = F.col("_rows_before") + F.col("_rows")
     targets = (
-        directory.select(
-            key,
+        block_directory(rows, "_key")
+        .select(
+            "_key",
             BLOCK,
             "_rows",
             through.alias("_through"),
@@ -147,25 +163,22 @@ def with_last_rows(
             .over(ahead)
             .alias("_ahead"),
         )
-        .select(key, BLOCK, "_rows", "_through", F.explode("_ahead").alias("_t"))
+        .select("_key", BLOCK, "_rows", "_through", F.explode("_ahead").alias("_t"))
         .where(F.col("_t.at") - F.col("_through") < n - 1)
-        .select(key, BLOCK, "_rows", F.col("_t.to").alias("_to"))
+        .select("_key", BLOCK, "_rows", F.col("_t.to").alias("_to"))
     )
+    numbered = rows.withColumn("_rn", F.row_number().over(window))
     tails = (
-        targets.join(
-            local.select(key, BLOCK, "_rn", entry.alias("_e")), [key, BLOCK]
-        )
+        targets.join(numbered, ["_key", BLOCK])
         .where(F.col("_rn") > F.col("_rows") - (n - 1))
-        .groupBy(key, F.col("_to").alias(BLOCK))
-        .agg(F.array_sort(F.collect_list("_e")).alias("_tail"))
+        .groupBy("_key", F.col("_to").alias(BLOCK))
+        .agg(F.array_sort(F.collect_list(F.struct("_order", "_e"))).alias("_tail"))
     )
     whole = F.when(F.col("_tail").isNull(), F.col("_local")).otherwise(
-        F.concat("_tail", "_local")
+        F.concat(F.transform("_tail", lambda t: t["_e"]), "_local")
     )
-    return (
-        local.join(tails, [key, BLOCK], "left")
-        .withColumn("_frame", last_of(whole, n))
-        .drop("_local", "_rn", "_tail", BLOCK)
+    return local.join(tails, ["_key", BLOCK], "left").select(
+        "_e.*", last_of(whole, n).alias("_frame")
     )
 
 

@@ -85,7 +85,7 @@ def _block_runs(messages: DataFrame, rules: Sequence[TopicRule], bits: int) -> D
     hits = with_block(
         messages.select(key, "seq", keyword_hits(F.col("content"), rules[: stop + 1]).alias("h")),
         bits=bits,
-    )
+    ).where(F.col(key).isNotNull() & F.col(BLOCK).isNotNull())
     entry_struct = F.when(F.col("h") > 0, F.struct(F.col("seq").alias("s"), F.col("h")))
     blocks = hits.groupBy(key, BLOCK).agg(F.array_sort(F.collect_list(entry_struct)).alias("_entries"))
     entered = (
