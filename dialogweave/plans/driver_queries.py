@@ -66,7 +66,7 @@ def normalize_ts(spark: SparkSession, sf: str) -> DataFrame:
     events = spark.read.parquet(f"{sf}/events.parquet")
     written = F.when(
         F.col("event_id") % 2 == 0, F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")
-    ).otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))
+    ).otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
     return events.select(
         "event_id", F.unix_micros(scalars.normalize_ts(written)).alias("micros")
     )

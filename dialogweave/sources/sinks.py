@@ -15,7 +15,7 @@ def append_messages(messages: DataFrame, path: str) -> None:
 def log_lines(events: DataFrame, iso: bool = True) -> DataFrame:
     """Session events as log lines (one JSON object each), keys without value left out."""
     seconds = F.unix_timestamp("ts")
-    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'") if iso else seconds
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx") if iso else seconds
     context = F.struct(F.col("ctx_question_id").alias("questionId"), F.col("ctx_phase").alias("phase"))
     has_context = F.col("ctx_question_id").isNotNull() | F.col("ctx_phase").isNotNull()
 
@@ -64,7 +64,7 @@ def snapshot_documents(snapshots: DataFrame) -> DataFrame:
     url = F.get_json_object("meta", "$.ollamaUrl")
     return finished_snapshots(snapshots).select(
         F.col("session_id").alias("sessionId"),
-        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("createdAt"),
+        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("createdAt"),
         "questions",
         "answers",
         F.when(

@@ -1 +1,14 @@
 """Structured Streaming forms of the stateful operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed processors need a state store with column families; set it where it is not."""
+    if "RocksDB" not in spark.conf.get(STATE_STORE, ""):
+        spark.conf.set(STATE_STORE, ROCKSDB)

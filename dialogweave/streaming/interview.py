@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Callable, Iterator, Optional, Sequence
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from dialogweave.fixed_values import COMPLETION_TEXT, NO_RESPONDER_TEXT
 from dialogweave.operators.flow import classify_inputs
+from dialogweave.streaming import use_state_store
 
 MESSAGES_OUT = (
     "conversation_id string, seq bigint, role string, content string, mode string, "
@@ -20,7 +22,11 @@ Reply = Callable[[str, str, Sequence[tuple[str, str]]], str]
 
 
 class _Interview(StatefulProcessor):
-    """Keeps, per conversation: last input, next output number, question index, end flag."""
+    """Keeps, per conversation: last input, next output number, question index, end flag, answers.
+
+    One state value, read and written once per micro-batch; the answers are bounded by the
+    flow and kept as JSON text.
+    """
 
     def __init__(self, flow, reply: Optional[Reply], completion: str, notice: str):
         self._flow, self._reply = flow, reply
@@ -28,9 +34,9 @@ class _Interview(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._progress = handle.getValueState(
-            "progress", "last_input bigint, next_seq bigint, question_index bigint, ended boolean"
+            "progress",
+            "last_input bigint, next_seq bigint, question_index bigint, ended boolean, answers string",
         )
-        self._answers = handle.getMapState("answers", "question_id string", "text string")
 
     def _ask(self, index: int, reask: bool = False) -> tuple:
         if index >= len(self._flow):
@@ -39,31 +45,30 @@ class _Interview(StatefulProcessor):
         place = (None, True) if reask else ("questionnaire", None)
         return ("system", text, None, qid, *place, None)
 
-    def _so_far(self) -> list[tuple[str, str]]:
-        known = {k[0]: v[0] for k, v in self._answers.iterator()}
-        return [(text, known[qid]) for qid, text in self._flow if qid in known]
-
-    def _chat(self, text: str, index: int) -> list[tuple]:
-        asked = ("patient", text, "chat", None, None, None, None)
+    def _chat(self, text: str, index: int, answers: dict[str, str]) -> list[tuple]:
+        question = ("patient", text, "chat", None, None, None, None)
         if self._reply is None:
             notice = ("assistant", self._notice, None, None, None, None, None)
-            return [asked, notice, self._ask(index)]
+            return [question, notice, self._ask(index)]
         if index >= len(self._flow):
-            return [asked]
+            return [question]
         content = error = None
         try:
-            content = self._reply(text, self._flow[index][1], self._so_far())
+            so_far = [(asked, answers[qid]) for qid, asked in self._flow if qid in answers]
+            content = self._reply(text, self._flow[index][1], so_far)
         except Exception as e:
             error = f"{type(e).__name__}: {e}"
         answer = ("assistant", content, "chat", None, None, None, error)
-        return [asked, answer, self._ask(index, reask=True)]
+        return [question, answer, self._ask(index, reask=True)]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        if self._progress.exists():
-            last, number, index, ended = self._progress.get()
+        stored = self._progress.get()
+        if stored:
+            last, number, index, ended = tuple(stored[:4])
+            answers = json.loads(stored[4])
         else:
-            last, number, index, ended = None, 0, 0, False
+            last, number, index, ended, answers = None, 0, 0, False, {}
             out.append((self._ask(0), None))
         batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
         for row in batch.itertuples(index=False):
@@ -77,11 +82,11 @@ class _Interview(StatefulProcessor):
             if row.mode == "quit":
                 ended = True
             elif row.mode == "chat":
-                out += [(m, last) for m in self._chat(row.text, index)]
+                out += [(m, last) for m in self._chat(row.text, index, answers)]
                 ended = index >= len(self._flow)
             else:
                 if index < len(self._flow):
-                    self._answers.updateValue((self._flow[index][0],), (row.text,))
+                    answers[self._flow[index][0]] = row.text
                 index += 1
                 out.append((("patient", row.text, "answer", None, None, None, None), last))
                 out.append((self._ask(index), last))
@@ -90,7 +95,7 @@ class _Interview(StatefulProcessor):
             (key[0], number + i, *message[:6], cause, message[6])
             for i, (message, cause) in enumerate(out)
         ]
-        self._progress.update((last, number + len(out), index, ended))
+        self._progress.update((last, number + len(out), index, ended, json.dumps(answers)))
         if numbered:
             frame = pd.DataFrame(numbered, columns=COLUMNS)
             yield frame.astype({"reask": "boolean"})
@@ -113,6 +118,7 @@ def stream_interview(
     micro-batches, ``seq`` within one; an input at or below the last one is a replay. The
     source's rate limit bounds what one conversation brings to a task at a time.
     """
+    use_state_store(inputs.sparkSession)
     classified = classify_inputs(inputs).withColumn(
         "conversation_id", F.col("conversation_id").cast("string")
     )

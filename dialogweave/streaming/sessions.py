@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from dialogweave.model import LOG_LINE_SCHEMA, SESSION_EVENT_COLUMNS
 from dialogweave.operators.sessions import TERMINAL
 from dialogweave.sources.logs import event_columns
+from dialogweave.streaming import use_state_store
 
 SNAPSHOT_SCHEMA = (
     "session_id string, status string, reason string, created_at timestamp, "
@@ -35,14 +37,21 @@ def stream_session_log(spark: SparkSession, path: str, files_per_batch: int = 10
 
 
 class _SessionReplay(StatefulProcessor):
+    """One state value per session, read and written once per micro-batch.
+
+    Questions and answers are bounded by the flow and kept as JSON text.
+    """
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._head = handle.getValueState("head", "last_seq bigint, status string, reason string, ended timestamp")
-        self._shown = handle.getMapState("shown", "question_id string", "seq bigint, text string")
-        self._answers = handle.getMapState("answers", "question_id string", "text string")
+        self._state = handle.getValueState(
+            "session",
+            "last_seq bigint, status string, reason string, ended timestamp, shown string, answers string",
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        head = self._head.get() if self._head.exists() else None
-        last, status, reason, ended = tuple(head) if head else (None, "open", None, None)
+        stored = self._state.get()
+        last, status, reason, ended = tuple(stored[:4]) if stored else (None, "open", None, None)
+        shown, answers = (json.loads(stored[4]), json.loads(stored[5])) if stored else ({}, {})
         batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
         applied = False
         for row in batch.itertuples(index=False):
@@ -52,26 +61,23 @@ class _SessionReplay(StatefulProcessor):
             if status != "open":
                 continue
             if row.type == "standard_question_shown":
-                if not self._shown.containsKey((row.question_id,)):
-                    self._shown.updateValue((row.question_id,), (last, row.text))
+                shown.setdefault(row.question_id, row.text)
             elif row.type == "standard_answer_given":
-                self._answers.updateValue((row.question_id,), (row.text,))
+                answers[row.question_id] = row.text
             elif row.type in TERMINAL:
                 status, reason = row.type.removeprefix("session_"), row.reason
                 ended = row.ts.to_pydatetime() if status == "finished" else None
         if not applied:
             return
-        self._head.update((last, status, reason, ended))
-        shown = sorted((v[0], k[0], v[1]) for k, v in self._shown.iterator())
-        answers = sorted((k[0], v[0]) for k, v in self._answers.iterator())
+        self._state.update((last, status, reason, ended, json.dumps(shown), json.dumps(answers)))
         yield pd.DataFrame(
             {
                 "session_id": [key[0]],
                 "status": [status],
                 "reason": [reason],
                 "created_at": pd.Series([ended], dtype="datetime64[ns]"),
-                "questions": [[{"id": q, "text": t} for _, q, t in shown]],
-                "answers": [[{"question_id": q, "answer": t} for q, t in answers]],
+                "questions": [[{"id": q, "text": t} for q, t in shown.items()]],
+                "answers": [[{"question_id": q, "answer": t} for q, t in sorted(answers.items())]],
                 "last_seq": [last],
             }
         )
@@ -86,6 +92,7 @@ def stream_sessions(events: DataFrame) -> DataFrame:
     Each row replaces the session's earlier ones; the highest ``last_seq`` is current. An
     event at or below the last applied ``seq`` is a replay and is skipped.
     """
+    use_state_store(events.sparkSession)
     narrow = events.select(
         F.col("session_id").cast("string").alias("session_id"),
         "seq", "ts", "type", "question_id", "text", "reason",
