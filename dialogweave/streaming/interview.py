@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 from typing import Callable, Iterator, Optional, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from dialogweave.fixed_values import COMPLETION_TEXT, NO_RESPONDER_TEXT
@@ -61,7 +60,7 @@ class _Interview(StatefulProcessor):
         answer = ("assistant", content, "chat", None, None, None, error)
         return [question, answer, self._ask(index, reask=True)]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         out = []
         stored = self._progress.get()
         if stored:
@@ -70,13 +69,12 @@ class _Interview(StatefulProcessor):
         else:
             last, number, index, ended, answers = None, 0, 0, False, {}
             out.append((self._ask(0), None))
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        for row in batch.itertuples(index=False):
+        for row in sorted(rows, key=lambda r: r.seq):
             if last is not None and row.seq <= last:
                 continue
             if out and last is None:
-                out[0] = (out[0][0], int(row.seq))
-            last = int(row.seq)
+                out[0] = (out[0][0], row.seq)
+            last = row.seq
             if ended:
                 continue
             if row.mode == "quit":
@@ -91,14 +89,9 @@ class _Interview(StatefulProcessor):
                 out.append((("patient", row.text, "answer", None, None, None, None), last))
                 out.append((self._ask(index), last))
                 ended = index >= len(self._flow)
-        numbered = [
-            (key[0], number + i, *message[:6], cause, message[6])
-            for i, (message, cause) in enumerate(out)
-        ]
         self._progress.update((last, number + len(out), index, ended, json.dumps(answers)))
-        if numbered:
-            frame = pd.DataFrame(numbered, columns=COLUMNS)
-            yield frame.astype({"reask": "boolean"})
+        for i, (message, cause) in enumerate(out):
+            yield Row(*COLUMNS)(key[0], number + i, *message[:6], cause, message[6])
 
     def close(self) -> None:
         pass
@@ -122,7 +115,7 @@ def stream_interview(
     classified = classify_inputs(inputs).withColumn(
         "conversation_id", F.col("conversation_id").cast("string")
     )
-    return classified.groupBy("conversation_id").transformWithStateInPandas(
+    return classified.groupBy("conversation_id").transformWithState(
         statefulProcessor=_Interview(list(flow), reply, completion_text, notice_text),
         outputStructType=MESSAGES_OUT,
         outputMode="Append",

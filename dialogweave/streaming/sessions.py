@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 from typing import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from dialogweave.model import LOG_LINE_SCHEMA, SESSION_EVENT_COLUMNS
@@ -48,16 +47,15 @@ class _SessionReplay(StatefulProcessor):
             "last_seq bigint, status string, reason string, ended timestamp, shown string, answers string",
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         stored = self._state.get()
         last, status, reason, ended = tuple(stored[:4]) if stored else (None, "open", None, None)
         shown, answers = (json.loads(stored[4]), json.loads(stored[5])) if stored else ({}, {})
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
         applied = False
-        for row in batch.itertuples(index=False):
+        for row in sorted(rows, key=lambda r: r.seq):
             if last is not None and row.seq <= last:
                 continue
-            last, applied = int(row.seq), True
+            last, applied = row.seq, True
             if status != "open":
                 continue
             if row.type == "standard_question_shown":
@@ -66,20 +64,18 @@ class _SessionReplay(StatefulProcessor):
                 answers[row.question_id] = row.text
             elif row.type in TERMINAL:
                 status, reason = row.type.removeprefix("session_"), row.reason
-                ended = row.ts.to_pydatetime() if status == "finished" else None
+                ended = row.ts if status == "finished" else None
         if not applied:
             return
         self._state.update((last, status, reason, ended, json.dumps(shown), json.dumps(answers)))
-        yield pd.DataFrame(
-            {
-                "session_id": [key[0]],
-                "status": [status],
-                "reason": [reason],
-                "created_at": pd.Series([ended], dtype="datetime64[ns]"),
-                "questions": [[{"id": q, "text": t} for q, t in shown.items()]],
-                "answers": [[{"question_id": q, "answer": t} for q, t in sorted(answers.items())]],
-                "last_seq": [last],
-            }
+        yield Row(
+            session_id=key[0],
+            status=status,
+            reason=reason,
+            created_at=ended,
+            questions=[Row(id=q, text=t) for q, t in shown.items()],
+            answers=[Row(question_id=q, answer=t) for q, t in sorted(answers.items())],
+            last_seq=last,
         )
 
     def close(self) -> None:
@@ -97,7 +93,7 @@ def stream_sessions(events: DataFrame) -> DataFrame:
         F.col("session_id").cast("string").alias("session_id"),
         "seq", "ts", "type", "question_id", "text", "reason",
     )
-    return narrow.groupBy("session_id").transformWithStateInPandas(
+    return narrow.groupBy("session_id").transformWithState(
         statefulProcessor=_SessionReplay(),
         outputStructType=SNAPSHOT_SCHEMA,
         outputMode="Update",
