@@ -10,10 +10,10 @@ ROLES = (SYSTEM, PATIENT, ASSISTANT)
 ANSWER, CHAT = "answer", "chat"
 QUIT = "quit"
 
-# Conversation states.
-FLOW_ASKING = "flow_asking"
+MODES = (ANSWER, CHAT)
+
+# Conversation states seen by an input; asking and chatting only last while one is handled.
 FLOW_WAITING_ANSWER = "flow_waiting_answer"
-CHAT_MODE = "chat_mode"
 DONE = "done"
 
 FINISHED, ABORTED, OPEN = "finished", "aborted", "open"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from dialogweave.fixed_values import CONTEXT_TURNS, FRAME_MESSAGES
 from dialogweave.functions.scalars import is_chat_turn, py_strip, render_line, to_chat_role
-from dialogweave.model import CHAT, PATIENT
+from dialogweave.model import MODES, PATIENT, ROLES
 from dialogweave.operators.ordered import (
     BLOCK_BITS,
     last_of,
@@ -86,6 +86,14 @@ def chat_turns(messages: DataFrame) -> DataFrame:
     return messages.where(is_chat_turn(F.col("role"), F.col("mode")))
 
 
+def invalid_messages(messages: DataFrame) -> DataFrame:
+    """Messages whose role or mode lies outside its domain; a missing mode is legal."""
+    known = F.coalesce(F.col("role").isin(*ROLES), F.lit(False)) & F.coalesce(
+        F.col("mode").isin(*MODES), F.col("mode").isNull()
+    )
+    return messages.where(~known)
+
+
 def read_transcript(messages: DataFrame, ids: DataFrame) -> DataFrame:
     """All messages of the wanted conversations; order by (conversation_id, seq) on output."""
     return messages.join(ids.select("conversation_id").distinct(), "conversation_id", "left_semi")

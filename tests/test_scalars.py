@@ -68,3 +68,11 @@ def test_is_chat_turn_ignores_missing_mode(spark):
 def test_match_keywords_also_inside_words(spark):
     got = run(spark, ["180 CM", "VÆGTEN", "nothing", ""], sc.match_keywords(F.col("x"), ("cm", "vægt")))
     assert got == [True, True, False, False]
+
+
+def test_invalid_messages(spark):
+    from dialogweave.operators.context import invalid_messages
+
+    rows = [("patient", "chat"), ("system", None), ("user", "chat"), ("patient", "talk"), (None, None)]
+    df = spark.createDataFrame(rows, "role string, mode string")
+    assert {tuple(r) for r in invalid_messages(df).collect()} == {("user", "chat"), ("patient", "talk"), (None, None)}
