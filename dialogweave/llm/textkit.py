@@ -74,13 +74,18 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+# Everything in ASCII but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text in order, A-Z lower-cased, and the offsets of the
-    texts in them. Words are runs of bytes other than space, \\t, \\n, \\v, \\f and \\r."""
+    texts in them. Words are runs of bytes that are no ``gaps``: by default space, \\t, \\n,
+    \\v, \\f and \\r."""
     n = len(offsets) - 1
     if not len(data):
         return np.zeros(0, U), np.zeros(n + 1, np.int64)
-    space = SPACES[data]
+    space = gaps[data]
     inside = offsets[(offsets > 0) & (offsets < len(data))]
     begin = np.empty(len(data), bool)
     begin[0] = True
