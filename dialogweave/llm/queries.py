@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogweave.llm import decontamination, ngram_join, sentencepiece_codec, suffix_dedup, topk_search, warc
-from dialogweave.llm.common import table
+from dialogweave.llm import (
+    decontamination,
+    license_scan,
+    ngram_join,
+    sentencepiece_codec,
+    sharding,
+    suffix_dedup,
+    token_rollup,
+    topk_search,
+    toxicity,
+    warc,
+)
+from dialogweave.llm.common import table, written
+from dialogweave.session import shared_folder
 
 
 def tokenizer(name: str) -> str:
@@ -29,6 +41,48 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the chain rejects, with their probabilities."""
+    return toxicity.rejected_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches over all documents: an estimate by length when a document
+    arrives, the exact count in its place, and the deletion of copies of earlier texts. The
+    second batch is then sent again, which must change nothing."""
+    docs = table(spark, sf_dir, "documents").withColumn("digest", F.md5("text"))
+    keep = ["doc_id", "source", "lang", "n_chars", "digest"]
+    counted = written(token_rollup.count_tokens(docs, tokenizer("piece_bpe_32k.model"), keep), "counted")
+    change = F.col("doc_id").cast("string").alias("change_id")
+    estimate = F.ceil(F.col("n_chars") / 4).cast("long")
+    none, zero = F.lit(None).cast("string"), F.lit(None).cast("long")
+
+    def changes(rows: DataFrame, action: str, old: tuple, new: tuple) -> DataFrame:
+        return rows.select(
+            change, F.lit(action).alias("action"), "source", "lang", old[0].alias("old_version"), old[1].alias("old_tokens"),
+            new[0].alias("new_version"), new[1].alias("new_tokens"),
+        )
+
+    guess, exact = (F.lit("estimate"), estimate), (F.lit("piece_bpe_32k"), F.col("n_tokens"))
+    first = counted.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    copies = counted.join(first, "digest").where("doc_id > least")
+    rollup = token_rollup.TokenRollup(spark, shared_folder(spark, "rollup"))
+    rollup.commit("load", changes(counted, "insert", (none, zero), guess))
+    revised = changes(counted, "revise", guess, exact)
+    rollup.commit("count", revised)
+    rollup.commit("copies", changes(copies, "delete", exact, (none, zero)))
+    rollup.commit("count", revised)
+    return rollup.totals()
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"), length=50)
 
@@ -46,6 +100,10 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_toxicity": op4_toxicity,
+    "op5_sharding": op5_sharding,
+    "op6_license_scan": op6_license_scan,
+    "op7_token_counts": op7_token_counts,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_topk_search": op9_topk_search,
     "op10_warc": op10_warc,
