@@ -78,27 +78,35 @@ SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each text in order, A-Z lower-cased, and the offsets of the
-    texts in them. Words are runs of bytes that are no ``gaps``: by default space, \\t, \\n,
-    \\v, \\f and \\r."""
-    n = len(offsets) - 1
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of each text, and the offsets of the texts in them."""
     if not len(data):
-        return np.zeros(0, U), np.zeros(n + 1, np.int64)
-    space = gaps[data]
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offsets), np.int64)
+    gap = gaps[data]
     inside = offsets[(offsets > 0) & (offsets < len(data))]
     begin = np.empty(len(data), bool)
     begin[0] = True
-    begin[1:] = space[:-1]
+    begin[1:] = gap[:-1]
     begin[inside] = True
-    starts = np.flatnonzero(begin & ~space)
     stop = np.empty(len(data), bool)
     stop[-1] = True
-    stop[:-1] = space[1:]
+    stop[:-1] = gap[1:]
     stop[inside - 1] = True
-    ends = np.flatnonzero(stop & ~space) + 1
-    hashes = mix(between(prefix_hashes(_LOWER[data]), starts, ends))
-    return hashes, np.searchsorted(starts, offsets)
+    starts = np.flatnonzero(begin & ~gap)
+    return starts, np.flatnonzero(stop & ~gap) + 1, np.searchsorted(starts, offsets)
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text in order, A-Z lower-cased, and the offsets of the
+    texts in them. Words are runs of bytes other than space, \\t, \\n, \\v, \\f and \\r."""
+    starts, ends, to = word_spans(data, offsets, SPACES)
+    return mix(between(prefix_hashes(lower(data)), starts, ends)), to
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

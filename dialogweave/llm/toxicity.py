@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other. Each has a linear (logistic) model over words,
-with the probabilities of the earlier categories as further features. In training these are
+Categories are predicted one after the other. Each has a linear (logistic) model over words
+and beginnings of words, each as present, repeated and frequent, with the probabilities of the earlier categories as further features. In training these are
 out-of-fold predictions: a document's earlier probabilities come from models that have not
 seen it, as they will when unseen documents are scored.
 """
@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialogweave.llm.textkit import MARKS, U, flat, slices, word_hashes
+from dialogweave.llm.textkit import MARKS, U, between, flat, lower, mix, prefix_hashes, slices, word_spans
 
-MAX_LABELLED = 10_000
+MAX_LABELLED = 5_000
 MAX_WORDS = 512
 FOLDS = 3
+BEGINNINGS = (5, 7)  # bytes
+OFTEN = (2, 4)
 EVIDENCE = 30.0  # least chi-square of a word that becomes a feature
 
 
@@ -127,6 +129,23 @@ def chain_probabilities(chain: list[Linear], words: np.ndarray, owner: np.ndarra
     return out
 
 
+def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature hashes of each text, and the offsets of the texts in them."""
+    starts, ends, to = word_spans(data, offsets, MARKS)
+    sums = prefix_hashes(lower(data))
+    kinds = [mix(between(sums, starts, ends))]
+    for size in BEGINNINGS:
+        part = mix(between(sums, starts, np.minimum(starts + size, ends)) + U(size))
+        kinds.append(part)
+    every = np.stack(kinds)
+    found = []
+    for a, b in zip(to[:-1], to[1:], strict=True):
+        names, times = np.unique(every[:, a:b], return_counts=True)
+        found.append(np.concatenate([names, *(mix(names[times >= n] + U(n)) for n in OFTEN)]))
+    sizes = np.cumsum([0, *map(len, found)])
+    return (np.concatenate(found) if found else np.zeros(0, U)), sizes
+
+
 def _words_of(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
     """The kept columns and the packed distinct word hashes of each text."""
     kinds = dict(docs.dtypes)
@@ -137,8 +156,8 @@ def _words_of(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
             packed = []
             for first, last in slices(offsets):
                 at = offsets[first : last + 1]
-                words, to = word_hashes(data[at[0] : at[-1]], at - at[0], MARKS)
-                packed.extend(np.unique(words[to[i] : to[i + 1]]).tobytes() for i in range(last - first))
+                words, to = text_features(data[at[0] : at[-1]], at - at[0])
+                packed.extend(words[to[i] : to[i + 1]].tobytes() for i in range(last - first))
             columns = [*batch.columns[: len(keep)], pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "words"])
 
@@ -180,7 +199,7 @@ def scored(docs: DataFrame, chain: list[Linear], names: Sequence[str], id_col: s
             out = [np.zeros(batch.num_rows) for _ in chain]
             for first, last in slices(offsets):
                 at = offsets[first : last + 1]
-                words, to = word_hashes(data[at[0] : at[-1]], at - at[0], MARKS)
+                words, to = text_features(data[at[0] : at[-1]], at - at[0])
                 owner = np.repeat(np.arange(last - first), np.diff(to))
                 for i, p in enumerate(chain_probabilities(chain, words, owner, last - first)):
                     out[i][first:last] = p
@@ -220,7 +239,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opt
             keep = np.ones(batch.num_rows, bool)
             for first, last in slices(offsets):
                 at = offsets[first : last + 1]
-                words, to = word_hashes(data[at[0] : at[-1]], at - at[0], MARKS)
+                words, to = text_features(data[at[0] : at[-1]], at - at[0])
                 owner = np.repeat(np.arange(last - first), np.diff(to))
                 keep[first:last] = chain_probabilities(model, words, owner, last - first)[-1] < threshold
             yield batch.filter(pa.array(keep))
