@@ -12,15 +12,16 @@ The order and the classes come from counts of all tokens of all documents in a t
 size (hashed counters). They need not be exact, only the same everywhere: the join is exact.
 
 Sets of equal documents are joined once. Candidates meet a bound from parity bitmaps (each
-token of the symmetric difference changes one bit at most), then an exact check. First every
-member of a key meets the key's smallest member; then members meet only where the links found
-so far leave them in different components. No key's members are gathered in one task and no
-group is expanded into all pairs.
+token of the symmetric difference changes one bit at most), then an exact check. Keys are kept
+apart by size class, as linked sets differ little in size. In two rounds the members of a key
+meet one member, chosen differently for different keys; then members meet only where the links
+found so far leave them in different components. No key's members are gathered in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -84,7 +85,7 @@ def token_levels(docs: DataFrame, size: int) -> tuple[bytes, int, int]:
     for row in summed.collect():  # 2**22 counters at most
         counts[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["counts"], np.uint32)
     load = int(counts.sum()) >> COUNTERS_LOG
-    step = max(1, (32 + 4 * load) // 15)
+    step = max(1, (16 + 2 * load) // 15)
     levels = np.minimum(counts // U(step), U(255)).astype(np.uint8)
     return levels.tobytes(), 15, 15 * 15
 
@@ -239,6 +240,42 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perce
     return written(joined.mapInArrow(check, "a long, b long"), "links")
 
 
+def _members(nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, own): the nodes of each key that has several, written.
+
+    A linked set is in the same size class as this one or in a neighbouring one, so each key
+    stands in the set's own class and the next one up; ``own`` tells which."""
+    step = max(math.log(100 / percent), 0.01) * 1.0001
+    classed = F.floor(F.log(F.col("n").cast("double")) / step)
+    each = nodes.select("node", "n", classed.alias("class"), F.explode("keys").alias("key")).select(
+        "node", "n", "key", "class", F.explode(F.array(F.lit(0), F.lit(1))).alias("up")
+    ).select(F.xxhash64("key", F.col("class") + F.col("up")).alias("key"), "node", "n", (F.col("up") == 0).alias("own"))
+    # Nodes of the class below alone have met in their own class.
+    shared = each.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max("own").alias("any"))
+    shared = shared.where("first <> last and any").select("key")
+    return written(each.join(shared, "key", "left_semi"), "members")
+
+
+def _placed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The members with the root of their component."""
+    if roots is None:
+        return members.withColumn("root", F.col("node"))
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _star(placed: DataFrame, seed: int, pivots: int) -> DataFrame:
+    """Pairs of each key's pivot and its members in other components. The pivot is the least
+    node after an exclusive or that depends on the key, with ``pivots`` kinds of it."""
+    turn = F.xxhash64(F.pmod("key", F.lit(pivots)), F.lit(seed))
+    turned = placed.withColumn("turned", F.col("node").bitwiseXOR(turn)).withColumn("turn", turn)
+    pivot = turned.groupBy("key", "turn").agg(F.min("turned").alias("least"), F.min("root").alias("x"), F.max("root").alias("y"))
+    pivot = pivot.where("x <> y").select("key", F.col("least").bitwiseXOR(F.col("turn")).alias("pivot"))
+    pairs = placed.join(pivot, "key").where("node <> pivot")
+    pairs = pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("root").alias("root_b")).distinct()
+    known = placed.select(F.col("node").alias("a"), F.col("root").alias("root_a")).distinct()
+    return pairs.join(known, "a").where("root_a <> root_b").select("a", "b")
+
+
 def jaccard_components(
     docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -262,28 +299,23 @@ def jaccard_components(
         ).select("node", "home.doc_id", "home.copy", "n", "bits", "keys"),
         "nodes",
     )
-    members = nodes.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    shared = shared.where("pivot <> last").select("key", "pivot")
-    members = written(members.join(shared, "key"), "members")
-    first = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _links(first, docs, nodes, size, percent)
-    roots = components(links)
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = _members(nodes, percent)
+    roots, links = None, None
+    for seed, pivots in enumerate((8, 16)):
+        placed = _placed(members, roots)
+        found = _links(_star(placed, seed, pivots), docs, nodes, size, percent)
+        links = found if links is None else links.union(found)
+        roots = components(links)
+    placed = _placed(members, roots)
     open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rest = written(
-        placed.where("node <> pivot").join(open_keys, "key", "left_semi")
-        .join(nodes.select("node", "n"), "node").select("key", "node", "n", "root"),
-        "rest",
-    )
-    other = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")))
+    rest = written(placed.join(open_keys, "key", "left_semi"), "rest")
+    other = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "own", "root")))
     second = (
         rest.join(other, "key")
-        .where(f"node < node_b and root <> root_b and least(n, n_b) * 100 >= greatest(n, n_b) * {percent}")
-        .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+        .where(f"own and node <> node_b and root <> root_b and least(n, n_b) * 100 >= greatest(n, n_b) * {percent}")
+        .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
     )
-    more = _links(second, docs, nodes, size, percent)
-    roots = components(links.union(more))
+    roots = components(links.union(_links(second, docs, nodes, size, percent)))
     labelled = rows.select("doc_id", "node", "n").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node")
     )
