@@ -13,9 +13,9 @@ size (hashed counters). They need not be exact, only the same everywhere: the jo
 
 Sets of equal documents are joined once. Candidates meet a bound from parity bitmaps (each
 token of the symmetric difference changes one bit at most), then an exact check. Keys are kept
-apart by size class, as linked sets differ little in size. In two rounds the members of a key
-meet one member, chosen differently for different keys; then members meet only where the links
-found so far leave them in different components. No key's members are gathered in one task.
+apart by size class, as linked sets differ little in size. First the members of a key meet one
+member, chosen differently for different keys; then members meet only where these links have
+not brought them together. No key's members are gathered in one task.
 """
 
 from __future__ import annotations
@@ -256,24 +256,28 @@ def _members(nodes: DataFrame, percent: int) -> DataFrame:
     return written(each.join(shared, "key", "left_semi"), "members")
 
 
-def _placed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The members with the root of their component."""
-    if roots is None:
-        return members.withColumn("root", F.col("node"))
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _star(members: DataFrame, pivots: int) -> DataFrame:
+    """Pairs of each key's pivot and its other members. The pivot is the least node after an
+    exclusive or that depends on the key, with ``pivots`` kinds of it."""
+    turn = F.xxhash64(F.pmod("key", F.lit(pivots)))
+    turned = members.select("key", turn.alias("turn"), F.col("node").bitwiseXOR(turn).alias("turned"))
+    pivot = turned.groupBy("key", "turn").agg(F.min("turned").alias("least"))
+    pivot = pivot.select("key", F.col("least").bitwiseXOR(F.col("turn")).alias("pivot"))
+    pairs = members.join(pivot, "key").where("node <> pivot")
+    return pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
 
 
-def _star(placed: DataFrame, seed: int, pivots: int) -> DataFrame:
-    """Pairs of each key's pivot and its members in other components. The pivot is the least
-    node after an exclusive or that depends on the key, with ``pivots`` kinds of it."""
-    turn = F.xxhash64(F.pmod("key", F.lit(pivots)), F.lit(seed))
-    turned = placed.withColumn("turned", F.col("node").bitwiseXOR(turn)).withColumn("turn", turn)
-    pivot = turned.groupBy("key", "turn").agg(F.min("turned").alias("least"), F.min("root").alias("x"), F.max("root").alias("y"))
-    pivot = pivot.where("x <> y").select("key", F.col("least").bitwiseXOR(F.col("turn")).alias("pivot"))
-    pairs = placed.join(pivot, "key").where("node <> pivot")
-    pairs = pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("root").alias("root_b")).distinct()
-    known = placed.select(F.col("node").alias("a"), F.col("root").alias("root_a")).distinct()
-    return pairs.join(known, "a").where("root_a <> root_b").select("a", "b")
+def _gathered(links: DataFrame) -> DataFrame:
+    """(node, root): two steps towards the components. Nodes with one root are connected;
+    connected nodes may still have different ones."""
+    both = links.select("a", "b").union(links.select("b", "a"))
+    roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root"))
+    for _ in range(2):
+        near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        roots = roots.join(near, "node").select("node", F.least("root", "near").alias("root"))
+        further = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        roots = written(roots.join(further, "root").select("node", F.col("further").alias("root")), "roots")
+    return roots
 
 
 def jaccard_components(
@@ -300,13 +304,8 @@ def jaccard_components(
         "nodes",
     )
     members = _members(nodes, percent)
-    roots, links = None, None
-    for seed, pivots in enumerate((8, 16)):
-        placed = _placed(members, roots)
-        found = _links(_star(placed, seed, pivots), docs, nodes, size, percent)
-        links = found if links is None else links.union(found)
-        roots = components(links)
-    placed = _placed(members, roots)
+    links = _links(_star(members, pivots=12), docs, nodes, size, percent)
+    placed = members.join(_gathered(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     rest = written(placed.join(open_keys, "key", "left_semi"), "rest")
     other = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "own", "root")))
