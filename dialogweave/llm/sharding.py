@@ -4,8 +4,9 @@ Equal texts form a group and stay together. A group is a vector (bytes, tokens,
 groups are placed one by one; small ones are first put together into bundles by a hash, so the
 number of items to place is bounded (see MAX_ITEMS) whatever the input. Items are placed in
 order of size, each into the shard where the dot product of the item and the shard's residual
-capacity is highest. A group larger than a shard's fair share can't stay whole in balanced
-shards: it is divided by a hash of the ids into as many parts as it takes.
+capacity is highest, among those with room for it: in all three if there are such, else in
+bytes. A group larger than a shard's fair share can't stay whole in balanced shards: it is
+divided by a hash of the ids into parts of a fraction of a shard.
 """
 
 from __future__ import annotations
@@ -18,19 +19,27 @@ from dialogweave.llm.common import shuffle_parts, written
 
 BUNDLES = 4096
 LARGE = 4096  # groups above total / LARGE are items of their own: fewer than 3 * LARGE of them
-MAX_ITEMS = BUNDLES + 3 * LARGE
+PARTS = 16  # parts to a shard of groups that exceed one: fewer than 3 * 2 * 16 * shards of them
+MAX_ITEMS = BUNDLES + 3 * LARGE  # and the parts
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item (row: bytes, tokens, rows), largest items first."""
+    """The shard of each item (row: bytes, tokens, rows), largest items first; bytes come first
+    where the three can't be balanced together."""
     total = items.sum(axis=0).astype(float)
     scale = np.where(total > 0, total, 1.0) / shards
     share = items / scale
     left = np.ones((shards, items.shape[1]))
     chosen = np.zeros(len(items), np.int64)
     for i in np.lexsort((np.arange(len(items)), -share.sum(axis=1), -share.max(axis=1))):
-        fits = left @ share[i]
-        best = int(np.argmax(fits))
+        room = left >= share[i] - 1e-12
+        if room.all(axis=1).any():
+            able = room.all(axis=1)
+        elif room[:, 0].any():
+            able = room[:, 0]
+        else:  # no shard has room for the bytes: the one with most
+            able = left[:, 0] == left[:, 0].max()
+        best = int(np.argmax(np.where(able, left @ share[i], -np.inf)))
         chosen[i] = best
         left[best] -= share[i]
     return chosen
@@ -65,31 +74,21 @@ def balanced_shards(
     )
     sums = groups.agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows")).first()
     fair = {c: max(1, -(-(sums[c] or 0) // shards)) for c in ("size", "tokens", "rows")}
-    # How many parts a group needs so that none exceeds a shard in any dimension.
-    parts = F.greatest(*(F.ceil(F.col(c) / F.lit(fair[c])) for c in fair)).cast("long")
-    large = F.greatest(*(F.col(c) / F.lit(fair[c]) for c in fair)) > shards / LARGE
-    items = groups.withColumn("parts", parts).withColumn(
-        "item", F.when(large, F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(BUNDLES)).cast("string"))
+    shares = F.greatest(*(F.col(c) / F.lit(fair[c]) for c in fair))
+    parts = F.when(shares > 1, F.ceil(shares * PARTS)).otherwise(1).cast("long")
+    named = groups.select(
+        "group", parts.alias("parts"),
+        F.when(shares > shards / LARGE, F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(BUNDLES)).cast("string")).alias("item"),
     )
-    named = written(items.select("group", "item", "parts"), "items")
-    totals = items.groupBy("item").agg(
-        F.max("parts").alias("parts"), F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows")
-    )
-    found = sorted(totals.collect(), key=lambda r: r["item"])  # MAX_ITEMS rows at most
-    keys, vectors = [], []
-    for r in found:
-        for part in range(r["parts"]):
-            keys.append((r["item"], part))
-            vectors.append([r[c] / r["parts"] for c in fair])
-    chosen = place(np.array(vectors).reshape(-1, 3), shards)
-    plan = spark.createDataFrame([(i, p, int(s)) for (i, p), s in zip(keys, chosen, strict=True)], "item string, part long, shard int")
-    # Bundles are many and even; their rows meet the plan, which has MAX_ITEMS rows, by broadcast.
-    of_group = named.join(F.broadcast(plan.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("part", "shard"))).alias("to"))), "item")
-    joined = rows.join(of_group.select("group", "parts", "to"), "group")
-    part = F.pmod(F.xxhash64("doc_id", "size"), F.col("parts"))
-    placed = joined.select(
-        "doc_id", "size", "text_crc32", "tokens", F.element_at("to", (part + 1).cast("int"))["shard"].alias("shard")
+    part = F.pmod(F.xxhash64("doc_id", "size"), F.col("parts")).alias("part")
+    tagged = written(rows.join(named, "group").select("doc_id", "size", "text_crc32", "tokens", "item", part), "tagged")
+    totals = tagged.groupBy("item", "part").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+    found = sorted(totals.collect(), key=lambda r: (r["item"], r["part"]))  # MAX_ITEMS rows at most
+    chosen = place(np.array([[r[c] for c in fair] for r in found], float).reshape(-1, 3), shards)
+    plan = spark.createDataFrame(
+        [(r["item"], r["part"], int(s)) for r, s in zip(found, chosen, strict=True)], "item string, part long, shard int"
     )
+    placed = tagged.join(F.broadcast(plan), ["item", "part"]).select("doc_id", "size", "text_crc32", "tokens", "shard")
     return _with_slots(written(placed, "placed"), shuffle_parts(spark))
 
 
