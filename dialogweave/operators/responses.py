@@ -79,17 +79,43 @@ def respond(
     return narrow.mapInPandas(ask, RESPONSE_SCHEMA)
 
 
+def _with_prompt(prompts: DataFrame) -> DataFrame:
+    """The prompts with a text id and a hash of what is asked."""
+    asked = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return prompts.withColumns(
+        {"request_id": F.col("request_id").cast("string"), "prompt": F.xxhash64(asked)}
+    )
+
+
 def respond_to_table(
     spark: SparkSession, prompts: DataFrame, responder: BatchResponder, path: str
 ) -> DataFrame:
-    """Appends replies for unanswered prompts to a table and returns the whole table.
+    """Appends replies for unanswered prompts to a table; returns one row per request.
 
-    The written table is what later steps read: replies are never computed twice, also
-    when executors are lost, and a second run asks only for what is missing. Rows with an
-    error do not count as answered.
+    A reply belongs to a request id and the prompt it was asked with, so a request whose
+    prompt has changed is asked anew. The written table is what later steps read: replies
+    are never computed twice, also when executors are lost, and a second run asks only for
+    what is missing. Rows with an error do not count as answered; a later reply replaces them.
     """
     from dialogweave.sources.sinks import read_or_empty
 
-    done = read_or_empty(spark, path, RESPONSE_SCHEMA).where(F.col("error").isNull())
-    respond(prompts, responder, done).write.mode("append").parquet(path)
-    return spark.read.schema(RESPONSE_SCHEMA).parquet(path)
+    schema = f"{RESPONSE_SCHEMA}, prompt long"
+    current = _with_prompt(prompts)
+    keys = ["request_id", "prompt"]
+    done = read_or_empty(spark, path, schema).where(F.col("error").isNull()).select(*keys)
+    open_prompts = current.join(done, keys, "left_anti")
+    # The responder sees ids that carry the hash, so that no second join is needed.
+    marked = open_prompts.withColumn("request_id", F.concat_ws("#", "prompt", "request_id"))
+    replies = respond(marked, responder).select(
+        F.expr("substring(request_id, locate('#', request_id) + 1)").alias("request_id"),
+        "content",
+        "error",
+        F.expr("cast(substring_index(request_id, '#', 1) as bigint)").alias("prompt"),
+    )
+    replies.write.mode("append").parquet(path)
+    written = spark.read.schema(schema).parquet(path)
+    best = F.max_by(F.struct("content", "error"), F.col("error").isNull()).alias("reply")
+    return (
+        written.join(current.select(*keys).distinct(), keys, "left_semi")
+        .groupBy("request_id").agg(best).select("request_id", "reply.*")
+    )

@@ -59,6 +59,8 @@ def project_known_slots(
 
 def _slot_state(updates: DataFrame, slots: Sequence[Slot], truthy: Optional[Column]) -> DataFrame:
     """One row per conversation with one column ``v<i>`` per slot, combined map-side."""
+    if truthy is None and "truthy" in updates.columns:
+        truthy = F.col("truthy")
     fills = F.col("value").isNotNull() & (F.col("value") != "") if truthy is None else truthy
     return updates.groupBy("conversation_id").agg(
         *[
@@ -76,7 +78,8 @@ def merge_slots(
 ) -> DataFrame:
     """Last truthy value per slot and conversation; slots never filled are NULL.
 
-    ``truthy`` says which updates count; by default non-empty text.
+    ``truthy`` says which updates count; by default the column of that name, as made by
+    ``project_known_slots``, and without it non-empty text.
     """
     state = _slot_state(updates, slots, truthy)
     entries = F.array(

@@ -15,6 +15,8 @@ from dialogweave.operators.documents import (
     summary_shape,
 )
 from dialogweave.operators.flow import expand_transcript, flow_answers, question_progress
+from dialogweave.fixed_values import COMPLETION_TEXT
+from dialogweave.model import SYSTEM
 from dialogweave.operators.responses import BatchResponder, respond_to_table
 from dialogweave.plans.prompts import summary_prompts
 
@@ -60,6 +62,9 @@ def run_interviews(
 ) -> DataFrame:
     """Inputs to summaries: expand, prompt, ask with retries, assemble.
 
+    Only finished conversations are summarized. One for which no output is valid has a row
+    with ``last_error`` and without summary.
+
     Messages and model outputs are written below ``folder`` before they are used again.
     A transcript of several parts is asked part by part, and its first valid document
     gives the model's share of the summary.
@@ -68,20 +73,25 @@ def run_interviews(
     messages_path = f"{folder}/messages"
     expand_transcript(inputs, questions, replies).write.mode("overwrite").parquet(messages_path)
     messages = spark.read.parquet(messages_path)
-    prompts = summary_prompts(messages, shape)
+    ended = messages.where((F.col("role") == SYSTEM) & (F.col("content") == COMPLETION_TEXT))
+    finished = ended.select("conversation_id").distinct()
+    prompts = summary_prompts(messages.join(finished, "conversation_id", "left_semi"), shape)
     attempts = collect_attempts(spark, prompts, shape, summarizer, folder)
-    valid = (
-        first_valid_attempt(attempts, shape)
-        .where("ok")
-        .select(F.col("conversation_id").alias("request_id"), "document")
-    )
+    outcome = first_valid_attempt(attempts, shape).withColumnRenamed("conversation_id", "request_id")
+    outcome = prompts.select("request_id", "conversation_id", "part").join(outcome, "request_id")
     documents = (
-        prompts.select("request_id", "conversation_id", "part")
-        .join(valid, "request_id")
+        outcome.where("ok")
         .groupBy("conversation_id")
         .agg(F.min_by("document", "part").alias("document"))
     )
     answers = latest_answers(flow_answers(question_progress(inputs, questions)))
-    return assemble_summary(
+    summaries = assemble_summary(
         documents, questionnaire_answers(answers, questions), patient_questions(messages), shape
     )
+    failed = (
+        outcome.groupBy("conversation_id")
+        .agg(F.max("ok").alias("ok"), F.max_by("last_error", "part").alias("last_error"))
+        .where("not ok")
+        .select("conversation_id", F.lit(0).cast("bigint").alias("part"), "last_error")
+    )
+    return summaries.unionByName(failed, allowMissingColumns=True)

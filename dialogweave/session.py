@@ -44,9 +44,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder all executors can reach.
 
     The cluster names its shared location in ``spark.checkpoint.dir``; only where that is
-    unset (tests, single-machine runs) a temporary folder stands in.
+    unset, and only with a local master, a temporary folder stands in.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -49,12 +49,20 @@ def test_whole_pipeline_with_repairs(spark, tmp_path):
         spark, inputs, questions, replies, summarizer, str(tmp_path / "run")
     ).collect()
     by_id = {r.conversation_id: r.summary for r in rows}
-    assert set(by_id) == {"c1", "c2"}
+    assert set(by_id) == {"c1"}  # c2 was quit
     c1 = by_id["c1"]
     assert [(a.question_id, a.question, a.answer) for a in c1.questionnaire_answers] == [
         ("q1", "Name?", "Ib"), ("q2", "Age?", "40")]
     assert [(p.question, p.answer) for p in c1.patient_questions] == [("why", "because"), ("and", "so")]
-    assert by_id["c2"].patient_questions == [] and c1.patient.name == "Test Person"
+    assert c1.patient.name == "Test Person" and rows[0].last_error is None
+
+
+def test_pipeline_reports_what_never_fits(spark, tmp_path):
+    questions, inputs, replies = flow_and_inputs(spark)
+    [row] = interview.run_interviews(
+        spark, inputs, questions, replies, lambda batch: ["junk"] * len(batch), str(tmp_path / "run")
+    ).collect()
+    assert row.conversation_id == "c1" and row.summary is None and row.last_error
 
 
 def ask(spark, n=20):
@@ -82,8 +90,11 @@ def test_second_run_asks_only_for_what_failed(spark, tmp_path):
     assert responses.respond_to_table(spark, ask(spark), picky, path).count() == 20
     again = responses.respond_to_table(spark, ask(spark), lambda b: ["late"] * len(b), path)
     rows = [(r.request_id, r.content) for r in again.collect()]
-    assert len(rows) == 21 and ("7", "late") in rows
-    assert responses.respond_to_table(spark, ask(spark), picky, path).count() == 21
+    assert len(rows) == 20 and ("7", "late") in rows
+    assert responses.respond_to_table(spark, ask(spark), picky, path).count() == 20
+    longer = ask(spark).withColumn("messages", F.concat("messages", "messages"))
+    asked_anew = responses.respond_to_table(spark, longer, lambda b: ["new"] * len(b), path)
+    assert {r.content for r in asked_anew.collect()} == {"new"}
 
 
 def test_slot_and_note_prompts_keep_nulls(spark):
