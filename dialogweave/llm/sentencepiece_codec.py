@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ class PieceCodec:
     start of a word, so encodings are kept per word: ``cached`` bounds their number.
     """
 
-    def __init__(self, model: str, cached: int = 300_000):
+    def __init__(self, model: str, cached: int = 1_000_000):
         import ahocorasick
         import sentencepiece
 
@@ -99,7 +101,7 @@ class PieceCodec:
         pair = (left, right)
         known = self.compatible.get(pair)
         if known is None:
-            if len(self.compatible) >= self.cached:
+            if len(self.compatible) >= 300_000:
                 self.compatible.clear()
             known = self.compatible[pair] = self._merged(left + right) == [left, right][: 1 + bool(right)]
         return known
@@ -201,6 +203,14 @@ class _Words(dict):
         return kept
 
 
+def process_codec(model: str) -> PieceCodec:
+    """The codec of this Python process: workers keep it, with its memo, from task to task."""
+    held = sys.modules.setdefault("dialogweave_codecs", types.ModuleType("dialogweave_codecs")).__dict__
+    if model not in held:
+        held[model] = PieceCodec(model)
+    return held[model]
+
+
 def _utf8(run: bytes) -> str:
     try:
         return run.decode("utf-8")
@@ -231,7 +241,7 @@ def encode_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
+        codec = process_codec(model)
         sha = hashlib.sha256
         for batch in batches:
             counts, digests, decoded, lists = [], [], [], []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogweave.llm.sentencepiece_codec import PieceCodec
+from dialogweave.llm.sentencepiece_codec import process_codec
 
 KEYS = ("source", "lang", "tokenizer_version")
 CHANGES = (
@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, model: str, keep: list[str], text_col: str = "
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
+        codec = process_codec(model)
         for batch in batches:
             joined = (codec.encode_joined(t)[0] for t in batch.column(len(keep)).to_pylist())
             counts = [ids.count(",") + bool(ids) for ids in joined]
