@@ -10,6 +10,8 @@ from dialogweave.model import MODES, PATIENT, ROLES
 from dialogweave.operators.ordered import (
     BLOCK_BITS,
     last_of,
+    PART_BYTES,
+    PART_ROWS,
     list_parts,
     text_parts,
     with_last_rows,
@@ -67,10 +69,16 @@ def chat_context(
     )
 
 
-def transcript_text(messages: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def transcript_text(
+    messages: DataFrame,
+    bits: int = BLOCK_BITS,
+    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
     """All messages, rendered as lines and joined in order; see ``text_parts`` for ``part``."""
+    line = render_line(F.col("role"), F.col("content"))
     return text_parts(
-        messages, render_line(F.col("role"), F.col("content")), "\n", bits=bits, name="transcript"
+        messages, line, "\n", bits=bits, name="transcript", part_rows=part_rows, part_bytes=part_bytes
     )
 
 

@@ -16,7 +16,7 @@ from dialogweave.functions.jsontext import (
     object_field,
     parse_json_strict,
 )
-from dialogweave.operators.ordered import BLOCK, BLOCK_BITS, with_block
+from dialogweave.operators.ordered import BLOCK_BITS, PART_BYTES, PART_ROWS, with_part
 
 VIOLATIONS = "array<struct<path:string,rule:string>>"
 KEYWORDS = {"type", "properties", "required", "enum", "items", "additionalProperties"}
@@ -319,8 +319,52 @@ def repair_queue(
 
 
 def typed_documents(documents: DataFrame, shape: dict, column: str = "document") -> DataFrame:
-    """Validated JSON text as a STRUCT ``doc`` of the shape's type."""
-    return documents.withColumn("doc", F.from_json(column, struct_type(shape)))
+    """Validated JSON text as a STRUCT ``doc`` of the shape's type.
+
+    Whole numbers may be written in any way (25, 25.0, 2.5e1). One that does not fit a
+    BIGINT is NULL in ``doc``; such documents list their paths in ``unfit``.
+    """
+    parsed = documents.withColumn("_doc", parse_json_strict(F.col(column)))
+    return parsed.withColumns(
+        {
+            "doc": F.try_variant_get("_doc", "$", struct_type(shape).simpleString()),
+            "unfit": F.coalesce(_unfit(F.col("_doc"), shape), F.array().cast("array<string>")),
+        }
+    ).drop("_doc")
+
+
+def _unfit(value: Column, shape: dict, path: Optional[Column] = None) -> Column:
+    """Paths of the whole numbers of a VARIANT that no BIGINT holds."""
+    path = F.lit("$") if path is None else path
+    none = F.array().cast("array<string>")
+    if shape.get("type") == "integer":
+        lost = value.isNotNull() & F.try_variant_get(value, "$", "bigint").isNull()
+        return F.when(lost, F.array(path)).otherwise(none)
+    if shape.get("type") == "array" and _has_integer(shape.get("items", {})):
+        nested = F.transform(
+            F.try_variant_get(value, "$", "array<variant>"),
+            lambda x, i: _unfit(x, shape["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))),
+        )
+        return F.coalesce(F.flatten(nested), none)
+    inner = [
+        _unfit(object_field(value, key), field, F.concat(path, F.lit(f".{key}")))
+        for key, field in shape.get("properties", {}).items()
+        if _has_integer(field)
+    ]
+    return F.concat(*inner) if inner else none
+
+
+def _has_integer(shape: dict) -> bool:
+    parts = [*shape.get("properties", {}).values(), *([shape["items"]] if "items" in shape else [])]
+    return shape.get("type") == "integer" or any(_has_integer(s) for s in parts)
+
+
+def extra_fields(document: Column, shape: dict) -> Column:
+    """MAP of the top-level keys beyond the shape's to their JSON text."""
+    fields = F.try_variant_get(parse_json_strict(document), "$", "map<string,variant>")
+    known = list(shape.get("properties", {}))
+    extra = F.map_filter(fields, lambda k, v: ~k.isin(*known)) if known else fields
+    return F.transform_values(extra, lambda k, v: F.to_json(v))
 
 
 def summary_columns(documents: DataFrame) -> DataFrame:
@@ -348,20 +392,27 @@ def assemble_summary(
     pairs: DataFrame,
     shape: Optional[dict] = None,
     bits: int = BLOCK_BITS,
+    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Summary documents whose deterministic parts replace the model's.
 
     ``documents(conversation_id, document)`` are validated model outputs,
     ``questionnaire`` the rows of J1 and ``pairs`` those of W1. A conversation whose pairs
-    span several blocks gets one row per block of pairs (``part``), all with the same other
-    fields; ordinary conversations have exactly one row.
+    pass ``part_rows`` or ``part_bytes`` gets one row per part of them, all with the same
+    other fields; all others have exactly one row. ``extra`` has the model's other keys as
+    JSON texts, ``unfit`` the paths of numbers too large for their type.
     """
     from dialogweave.operators.answers import questionnaire_documents
 
-    typed = typed_documents(documents, shape or summary_shape()).select("conversation_id", "doc")
+    shape = shape or summary_shape()
+    typed = typed_documents(documents, shape).select(
+        "conversation_id", "doc", extra_fields(F.col("document"), shape).alias("extra"), "unfit"
+    )
+    size = F.octet_length(F.concat_ws("", "question", "answer"))
     asked = (
-        with_block(pairs, bits=bits)
-        .groupBy("conversation_id", F.col(BLOCK).alias("part"))
+        with_part(pairs, size, bits=bits, part_rows=part_rows, part_bytes=part_bytes)
+        .groupBy("conversation_id", "part")
         .agg(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("seq", "question", "answer"))),
@@ -389,4 +440,6 @@ def assemble_summary(
             F.coalesce("_pairs", none.cast("array<struct<question:string,answer:string>>")),
         )
         .alias("summary"),
+        "extra",
+        "unfit",
     )

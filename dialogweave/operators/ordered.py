@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BLOCK_BITS = 16
 BLOCK = "_block"
 
+# Limits of one part of a text or list, whatever the values of ``seq``.
+PART_ROWS = 1 << 16
+PART_BYTES = 64 << 20
+
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -232,6 +236,27 @@ def last_of(array: Column, n: int) -> Column:
     return F.slice(array, F.greatest(F.lit(1), F.size(array) - (n - 1)), n)
 
 
+def with_part(
+    df: DataFrame,
+    size: Column,
+    key: str = "conversation_id",
+    order: str = "seq",
+    bits: int = BLOCK_BITS,
+    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """Adds ``part``: a new one begins after every ``part_rows`` rows and ``part_bytes`` bytes.
+
+    Rows and bytes are counted from the start of the key, so gaps in ``order`` do not matter.
+    Parts ascend from 0; where a row passes both limits a number is left out. ``size`` is a
+    row's bytes, NULL counts 0.
+    """
+    sums = {"_rows_so_far": F.lit(1), "_bytes_so_far": F.coalesce(size.cast("bigint"), F.lit(0))}
+    part = F.floor(F.col("_rows_so_far") / part_rows) + F.floor(F.col("_bytes_so_far") / part_bytes)
+    counted = running_sums(df, sums, key, order, bits)
+    return counted.withColumn("part", part.cast("bigint")).drop(*sums)
+
+
 def text_parts(
     df: DataFrame,
     piece: Column,
@@ -240,16 +265,19 @@ def text_parts(
     order: str = "seq",
     bits: int = BLOCK_BITS,
     name: str = "text",
+    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Ordered concatenation per key, in parts of at most one block.
+    """Ordered concatenation per key, in parts bounded by rows and bytes (see ``with_part``).
 
-    A key within one block has exactly one part holding its whole text; a longer one has
+    A key within both limits has exactly one part holding its whole text; a longer one has
     several, whose texts in ``part`` order, joined by the separator, are the whole text.
     """
+    pieces = df.select(key, order, piece.alias("_piece"))
     return (
-        with_block(df, order, bits)
-        .groupBy(key, F.col(BLOCK).alias("part"))
-        .agg(_ordered_concat(piece, order, separator).alias(name))
+        with_part(pieces, F.octet_length("_piece"), key, order, bits, part_rows, part_bytes)
+        .groupBy(key, "part")
+        .agg(_ordered_concat(F.col("_piece"), order, separator).alias(name))
     )
 
 
@@ -265,11 +293,14 @@ def list_parts(
     order: str = "seq",
     bits: int = BLOCK_BITS,
     name: str = "entries",
+    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Ordered array per key, in parts of at most one block (see ``text_parts``)."""
+    """Ordered array per key, in parts bounded by rows and bytes (see ``text_parts``)."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*columns).alias("e"))))
+    size = F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in columns]))
     return (
-        with_block(df, order, bits)
-        .groupBy(key, F.col(BLOCK).alias("part"))
+        with_part(df.select(key, order, *columns), size, key, order, bits, part_rows, part_bytes)
+        .groupBy(key, "part")
         .agg(F.transform(pairs, lambda p: p["e"]).alias(name))
     )

@@ -578,9 +578,9 @@ def stream_interview(spark: SparkSession, sf: str) -> DataFrame:
 def stream_session_log(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "landing")
     sinks.append_session_log(v.session_events(spark, sf), folder)
-    events = stream_sessions_module.stream_session_log(spark, folder)
+    events = stream_sessions_module.stream_session_log(spark, folder, files_per_batch=3)
     rows = _drain(spark, stream_sessions_module.stream_sessions(events), "update", "stream-sessions")
-    latest = F.max_by(F.struct("status", "reason", "created_at", "questions", "answers"), "last_seq")
+    latest = F.max_by(F.struct("status", "reason", "created_at", "questions", "answers"), "version")
     current = rows.groupBy("session_id").agg(latest.alias("r")).select("session_id", "r.*")
     pairs = F.transform("answers", lambda a: F.concat(a["question_id"], F.lit("="), a["answer"]))
     return current.select(

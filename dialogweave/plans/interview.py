@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Optional
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dialogweave.fixed_values import MAX_RETRIES
 from dialogweave.operators.answers import latest_answers, patient_questions, questionnaire_answers
@@ -18,7 +18,11 @@ from dialogweave.operators.flow import expand_transcript, flow_answers, question
 from dialogweave.fixed_values import COMPLETION_TEXT
 from dialogweave.model import SYSTEM
 from dialogweave.operators.responses import BatchResponder, respond_to_table
-from dialogweave.plans.prompts import summary_prompts
+from dialogweave.operators.ordered import PART_BYTES, PART_ROWS
+from dialogweave.plans.prompts import combine_prompts, summary_prompts
+
+#: How many partial documents one combining prompt holds.
+FAN_IN = 8
 
 
 def collect_attempts(
@@ -51,6 +55,68 @@ def collect_attempts(
     return attempts
 
 
+def _outcome(
+    spark: SparkSession, prompts: DataFrame, shape: dict, summarizer: BatchResponder, folder: str
+) -> DataFrame:
+    """Per prompt: whether an output was valid, and the document or the last error; a written table."""
+    attempts = collect_attempts(spark, prompts, shape, summarizer, folder)
+    found = first_valid_attempt(attempts, shape).withColumnRenamed("conversation_id", "request_id")
+    asked = prompts.select("request_id", "conversation_id", "part")
+    asked.join(found, "request_id").write.mode("overwrite").parquet(f"{folder}/outcome")
+    return spark.read.parquet(f"{folder}/outcome")
+
+
+def _failures(outcome: DataFrame) -> DataFrame:
+    """Conversations of which some part has no valid output, with the last such part's error."""
+    return (
+        outcome.where("not ok").groupBy("conversation_id")
+        .agg(F.max_by("last_error", "part").alias("last_error"))
+    )
+
+
+def combine_documents(
+    spark: SparkSession,
+    outcome: DataFrame,
+    shape: dict,
+    summarizer: BatchResponder,
+    folder: str,
+    fan_in: int = FAN_IN,
+) -> tuple[DataFrame, DataFrame]:
+    """One document per conversation from those of all its parts, and what failed.
+
+    Consecutive documents are combined by the summarizer, ``fan_in`` at a time, in rounds
+    until each conversation has one; the rounds grow with the logarithm of the parts. A
+    conversation with a part or combination that never fits is a failure, so no document
+    leaves out a part. Every round is a written table.
+    """
+    order = Window.partitionBy("conversation_id").orderBy("part")
+    failed = _failures(outcome)
+    found = outcome.join(failed, "conversation_id", "left_anti").select("conversation_id", "part", "document")
+    number = 0
+    while True:
+        place = f"{folder}/combine{number}"
+        in_order = F.array_sort(F.collect_list(F.struct("part", "document")))
+        found.withColumn("group", F.floor((F.row_number().over(order) - 1) / fan_in)).groupBy(
+            "conversation_id", F.col("group").alias("part")
+        ).agg(F.transform(in_order, lambda e: e["document"]).alias("documents")).write.mode(
+            "overwrite"
+        ).parquet(f"{place}/groups")
+        groups = spark.read.parquet(f"{place}/groups")
+        single = groups.where(F.size("documents") == 1).select(
+            "conversation_id", "part", F.get("documents", F.lit(0)).alias("document")
+        )
+        several = groups.where(F.size("documents") > 1)
+        if several.isEmpty():
+            return single.select("conversation_id", "document"), failed
+        combined = _outcome(spark, combine_prompts(several, shape), shape, summarizer, place)
+        failed = failed.unionByName(_failures(combined))
+        found = (
+            single.unionByName(combined.select("conversation_id", "part", "document"))
+            .join(_failures(combined), "conversation_id", "left_anti")
+        )
+        number += 1
+
+
 def run_interviews(
     spark: SparkSession,
     inputs: DataFrame,
@@ -59,6 +125,8 @@ def run_interviews(
     summarizer: BatchResponder,
     folder: str,
     shape: Optional[dict] = None,
+    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Inputs to summaries: expand, prompt, ask with retries, assemble.
 
@@ -66,8 +134,9 @@ def run_interviews(
     with ``last_error`` and without summary.
 
     Messages and model outputs are written below ``folder`` before they are used again.
-    A transcript of several parts is asked part by part, and its first valid document
-    gives the model's share of the summary.
+    A transcript beyond ``part_rows`` messages or ``part_bytes`` bytes is asked part by part
+    and the documents of all parts are combined into the model's share of the summary. A
+    document with numbers too large for their type counts as failed.
     """
     shape = shape or summary_shape()
     messages_path = f"{folder}/messages"
@@ -75,23 +144,21 @@ def run_interviews(
     messages = spark.read.parquet(messages_path)
     ended = messages.where((F.col("role") == SYSTEM) & (F.col("content") == COMPLETION_TEXT))
     finished = ended.select("conversation_id").distinct()
-    prompts = summary_prompts(messages.join(finished, "conversation_id", "left_semi"), shape)
-    attempts = collect_attempts(spark, prompts, shape, summarizer, folder)
-    outcome = first_valid_attempt(attempts, shape).withColumnRenamed("conversation_id", "request_id")
-    outcome = prompts.select("request_id", "conversation_id", "part").join(outcome, "request_id")
-    documents = (
-        outcome.where("ok")
-        .groupBy("conversation_id")
-        .agg(F.min_by("document", "part").alias("document"))
-    )
+    asked = messages.join(finished, "conversation_id", "left_semi")
+    prompts = summary_prompts(asked, shape, part_rows=part_rows, part_bytes=part_bytes)
+    outcome = _outcome(spark, prompts, shape, summarizer, folder)
+    documents, failed = combine_documents(spark, outcome, shape, summarizer, folder)
     answers = latest_answers(flow_answers(question_progress(inputs, questions)))
-    summaries = assemble_summary(
+    assembled = assemble_summary(
         documents, questionnaire_answers(answers, questions), patient_questions(messages), shape
     )
-    failed = (
-        outcome.groupBy("conversation_id")
-        .agg(F.max("ok").alias("ok"), F.max_by("last_error", "part").alias("last_error"))
-        .where("not ok")
-        .select("conversation_id", F.lit(0).cast("bigint").alias("part"), "last_error")
+    fits = F.size("unfit") == 0
+    summaries = assembled.select(
+        "conversation_id",
+        "part",
+        F.when(fits, F.col("summary")).alias("summary"),
+        F.when(fits, F.col("extra")).alias("extra"),
+        F.when(~fits, F.concat(F.lit("too large: "), F.array_join("unfit", ", "))).alias("last_error"),
     )
-    return summaries.unionByName(failed, allowMissingColumns=True)
+    failures = failed.select("conversation_id", F.lit(0).cast("bigint").alias("part"), "last_error")
+    return summaries.unionByName(failures, allowMissingColumns=True)

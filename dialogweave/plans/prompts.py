@@ -15,7 +15,7 @@ from dialogweave.model import CHAT_ENTRY
 from dialogweave.operators.answers import answered_so_far
 from dialogweave.operators.context import chat_context, collect_history, transcript_text
 from dialogweave.operators.flow import question_progress
-from dialogweave.operators.ordered import BLOCK_BITS
+from dialogweave.operators.ordered import BLOCK_BITS, PART_BYTES, PART_ROWS
 
 WORDING = {
     "chat_system": "Answer the patient's side question briefly and calmly.",
@@ -24,6 +24,8 @@ WORDING = {
     "summary_system": "Summarize the interview as one JSON document.",
     "summary_shape": "Use exactly this shape:",
     "summary_user": "Interview:",
+    "combine_system": "These documents summarize consecutive parts of one interview. Combine them into one, losing nothing.",
+    "combine_user": "Documents:",
     "slot_system": "Return one JSON object with these keys, null where unknown:",
     "slot_known": "Known:",
     "slot_answer": "New answer:",
@@ -112,14 +114,14 @@ def summary_prompts(
     shape: Optional[dict] = None,
     wording: Optional[dict[str, str]] = None,
     bits: int = BLOCK_BITS,
+    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """System text (with the shape, when given) and the transcript; see ``text_parts``."""
     words = _words(wording)
-    system = words["summary_system"]
-    if shape is not None:
-        system = "\n".join([system, words["summary_shape"], json.dumps(shape, ensure_ascii=False)])
+    system = _with_shape(words["summary_system"], words, shape)
     user = F.concat_ws("\n", F.lit(words["summary_user"]), "transcript")
-    return transcript_text(messages, bits).select(
+    return transcript_text(messages, bits, part_rows, part_bytes).select(
         F.concat_ws(":", "conversation_id", "part").alias("request_id"),
         "conversation_id",
         "part",
@@ -127,6 +129,27 @@ def summary_prompts(
     )
 
 
+def combine_prompts(
+    groups: DataFrame, shape: Optional[dict] = None, wording: Optional[dict[str, str]] = None
+) -> DataFrame:
+    """Per group (conversation_id, part, documents): system text and the documents in order."""
+    words = _words(wording)
+    system = _with_shape(words["combine_system"], words, shape)
+    user = F.concat_ws("\n", F.lit(words["combine_user"]), F.array_join("documents", "\n"))
+    return groups.select(
+        F.concat_ws(":", "conversation_id", "part").alias("request_id"),
+        "conversation_id",
+        "part",
+        F.array(_entry("system", F.lit(system)), _entry("user", user)).cast(CHAT_ENTRY).alias("messages"),
+    )
+
+
+def _with_shape(system: str, words: dict[str, str], shape: Optional[dict]) -> str:
+    if shape is None:
+        return system
+    return "\n".join([system, words["summary_shape"], json.dumps(shape, ensure_ascii=False)])
+
+
 def _as_json(slots: Column) -> Column:
     return F.to_json(slots, {"ignoreNullFields": "false"})
 

@@ -10,12 +10,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from dialogweave.fixed_values import COMPLETION_TEXT, NO_RESPONDER_TEXT
 from dialogweave.operators.flow import classify_inputs
-from dialogweave.streaming import use_state_store
+from dialogweave.streaming import placed, use_state_store
 
 MESSAGES_OUT = (
     "conversation_id string, seq bigint, role string, content string, mode string, "
     "question_id string, channel string, reask boolean, input_seq bigint, error string"
 )
+LATE = "late input"
 COLUMNS = [c.split()[0] for c in MESSAGES_OUT.split(", ")]
 Reply = Callable[[str, str, Sequence[tuple[str, str]]], str]
 
@@ -24,7 +25,8 @@ class _Interview(StatefulProcessor):
     """Keeps, per conversation: last input, next output number, question index, end flag, answers.
 
     One state value, read and written once per micro-batch; the answers are bounded by the
-    flow and kept as JSON text.
+    flow and kept as JSON text. The numbers of the inputs are a list that only grows and is
+    read when an input is not newer than the last, to tell a replay from a late input.
     """
 
     def __init__(self, flow, reply: Optional[Reply], completion: str, notice: str):
@@ -36,6 +38,7 @@ class _Interview(StatefulProcessor):
             "progress",
             "last_input bigint, next_seq bigint, question_index bigint, ended boolean, answers string",
         )
+        self._taken = handle.getListState("taken", "seq bigint")
 
     def _ask(self, index: int, reask: bool = False) -> tuple:
         if index >= len(self._flow):
@@ -61,7 +64,7 @@ class _Interview(StatefulProcessor):
         return [question, answer, self._ask(index, reask=True)]
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        out = []
+        out, late, fresh, earlier = [], [], {}, None
         stored = self._progress.get()
         if stored:
             last, number, index, ended = tuple(stored[:4])
@@ -71,7 +74,13 @@ class _Interview(StatefulProcessor):
             out.append((self._ask(0), None))
         for row in sorted(rows, key=lambda r: r.seq):
             if last is not None and row.seq <= last:
+                if earlier is None:
+                    earlier = {taken[0] for taken in self._taken.get()} if stored else set()
+                if row.seq not in earlier and row.seq not in fresh:
+                    late.append(row)
+                    fresh[row.seq] = True
                 continue
+            fresh[row.seq] = True
             if out and last is None:
                 out[0] = (out[0][0], row.seq)
             last = row.seq
@@ -90,8 +99,12 @@ class _Interview(StatefulProcessor):
                 out.append((self._ask(index), last))
                 ended = index >= len(self._flow)
         self._progress.update((last, number + len(out), index, ended, json.dumps(answers)))
+        if fresh:
+            self._taken.appendList([(seq,) for seq in fresh])
         for i, (message, cause) in enumerate(out):
             yield Row(*COLUMNS)(key[0], number + i, *message[:6], cause, message[6])
+        for row in late:
+            yield Row(*COLUMNS)(key[0], None, None, row.text, *[None] * 4, row.seq, LATE)
 
     def close(self) -> None:
         pass
@@ -108,11 +121,14 @@ def stream_interview(
 
     ``flow`` lists (question id, text) in order and ``reply(text, question, answered)``
     answers a chat. Inputs are classified before the shuffle. Arrival order rules between
-    micro-batches, ``seq`` within one; an input at or below the last one is a replay. The
-    source's rate limit bounds what one conversation brings to a task at a time.
+    micro-batches, ``seq`` within one. An input that was taken before is skipped as a replay.
+    One that arrives behind a later input cannot change what was said since: it becomes a
+    row without ``seq`` and role, with ``error`` LATE, its text and ``input_seq``. Inputs
+    without conversation or ``seq`` are left out (see ``unplaced``). The source's rate limit
+    bounds what one conversation brings to a task at a time.
     """
     use_state_store(inputs.sparkSession)
-    classified = classify_inputs(inputs).withColumn(
+    classified = classify_inputs(placed(inputs, "conversation_id")).withColumn(
         "conversation_id", F.col("conversation_id").cast("string")
     )
     return classified.groupBy("conversation_id").transformWithState(

@@ -11,12 +11,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from dialogweave.model import LOG_LINE_SCHEMA, SESSION_EVENT_COLUMNS
 from dialogweave.operators.sessions import TERMINAL
 from dialogweave.sources.logs import event_columns
-from dialogweave.streaming import use_state_store
+from dialogweave.streaming import placed, use_state_store
 
 SNAPSHOT_SCHEMA = (
     "session_id string, status string, reason string, created_at timestamp, "
     "questions array<struct<id:string,text:string>>, "
-    "answers array<struct<question_id:string,answer:string>>, last_seq bigint"
+    "answers array<struct<question_id:string,answer:string>>, last_seq bigint, version bigint"
 )
 
 
@@ -24,7 +24,8 @@ def stream_session_log(spark: SparkSession, path: str, files_per_batch: int = 10
     """Session events from a folder of JSON-lines files, each read once as it lands.
 
     Lines appended to a file already read are not seen; producers land new files, with
-    ``seq`` in every line. ``files_per_batch`` bounds a micro-batch.
+    ``seq`` in every line. ``files_per_batch`` bounds a micro-batch. A malformed line has its
+    text in ``corrupt`` and no session (see ``unplaced``).
     """
     lines = (
         spark.readStream.schema(LOG_LINE_SCHEMA)
@@ -32,50 +33,61 @@ def stream_session_log(spark: SparkSession, path: str, files_per_batch: int = 10
         .option("maxFilesPerTrigger", files_per_batch)
         .json(path)
     )
-    return lines.select("seq", *event_columns(F.col)).select(*SESSION_EVENT_COLUMNS)
+    return lines.select("seq", *event_columns(F.col)).select(*SESSION_EVENT_COLUMNS, "corrupt")
 
 
 class _SessionReplay(StatefulProcessor):
     """One state value per session, read and written once per micro-batch.
 
-    Questions and answers are bounded by the flow and kept as JSON text.
+    The state does not depend on the order of arrival: per question the first showing and
+    all answers by ``seq``, and the first terminal event, behind which nothing counts. All
+    answers are kept, as an end that arrives late may lie before some of them.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState(
             "session",
-            "last_seq bigint, status string, reason string, ended timestamp, shown string, answers string",
+            "last_seq bigint, end_seq bigint, status string, reason string, ended timestamp, "
+            "shown string, answers string, version bigint",
         )
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         stored = self._state.get()
-        last, status, reason, ended = tuple(stored[:4]) if stored else (None, "open", None, None)
-        shown, answers = (json.loads(stored[4]), json.loads(stored[5])) if stored else ({}, {})
-        applied = False
-        for row in sorted(rows, key=lambda r: r.seq):
-            if last is not None and row.seq <= last:
+        before = tuple(stored) if stored else (None, None, "open", None, None, "{}", "{}", 0)
+        last, end, status, reason, ended = before[:5]
+        shown, answers = json.loads(before[5]), json.loads(before[6])
+        for row in rows:
+            last = row.seq if last is None else max(last, row.seq)
+            if end is not None and row.seq >= end:
                 continue
-            last, applied = row.seq, True
-            if status != "open":
+            if row.type in TERMINAL:
+                end, status, reason = row.seq, row.type.removeprefix("session_"), row.reason
+                ended = row.ts if status == "finished" else None
+            elif row.question_id is None:
                 continue
-            if row.type == "standard_question_shown":
-                shown.setdefault(row.question_id, row.text)
+            elif row.type == "standard_question_shown":
+                if row.question_id not in shown or row.seq < shown[row.question_id][0]:
+                    shown[row.question_id] = [row.seq, row.text]
             elif row.type == "standard_answer_given":
-                answers[row.question_id] = row.text
-            elif row.type in TERMINAL:
-                status, reason = row.type.removeprefix("session_"), row.reason
-                ended = row.ts if status == "finished" else None
-        if not applied:
+                answers.setdefault(row.question_id, {})[str(row.seq)] = row.text
+        if end is not None:
+            shown = {q: first for q, first in shown.items() if first[0] < end}
+            answers = {q: {s: t for s, t in given.items() if int(s) < end} for q, given in answers.items()}
+            answers = {q: given for q, given in answers.items() if given}
+        texts = [json.dumps(d, sort_keys=True) for d in (shown, answers)]
+        if (last, end, *texts) == (before[0], before[1], *before[5:7]):
             return
-        self._state.update((last, status, reason, ended, json.dumps(shown), json.dumps(answers)))
+        version = before[7] + 1
+        self._state.update((last, end, status, reason, ended, *texts, version))
         yield Row(
             session_id=key[0],
             status=status,
             reason=reason,
             created_at=ended,
-            questions=[Row(id=q, text=t) for q, t in shown.items()],
-            answers=[Row(question_id=q, answer=t) for q, t in sorted(answers.items())],
+            questions=[Row(id=q, text=t) for q, (_, t) in sorted(shown.items(), key=lambda e: e[1][0])],
+            answers=[Row(question_id=q, answer=given[max(given, key=int)]) for q, given in sorted(answers.items())],
             last_seq=last,
+            version=version,
         )
 
     def close(self) -> None:
@@ -85,11 +97,12 @@ class _SessionReplay(StatefulProcessor):
 def stream_sessions(events: DataFrame) -> DataFrame:
     """Snapshots per session, one row whenever a micro-batch brings new events for it.
 
-    Each row replaces the session's earlier ones; the highest ``last_seq`` is current. An
-    event at or below the last applied ``seq`` is a replay and is skipped.
+    Each row replaces the session's earlier ones; the highest ``version`` is current. The
+    order in which events arrive does not matter, and a repeated event changes nothing.
+    Events without session or ``seq`` are left out (see ``unplaced``).
     """
     use_state_store(events.sparkSession)
-    narrow = events.select(
+    narrow = placed(events, "session_id").select(
         F.col("session_id").cast("string").alias("session_id"),
         "seq", "ts", "type", "question_id", "text", "reason",
     )

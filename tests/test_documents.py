@@ -199,5 +199,21 @@ def test_summary_documents(spark):
     assert [(a.question_id, a.answer) for a in c1.questionnaire_answers] == [("q1", ""), ("q2", "b")]
     assert [(p.question, p.answer) for p in c1.patient_questions] == [("when", ""), ("why", "so")]
     assert c2.questionnaire_answers == [] and c2.patient_questions == [] and c2.patient.name == "Test Person"
-    parts = d.assemble_summary(checked, asked, pairs, bits=1).where("conversation_id = 'c1'").orderBy("part").collect()
+    parts = d.assemble_summary(checked, asked, pairs, part_rows=1).where("conversation_id = 'c1'").orderBy("part").collect()
     assert [[p.question for p in r.summary.patient_questions] for r in parts] == [["when"], ["why"]]
+
+
+def test_whole_numbers_in_any_writing_and_extra_keys(spark):
+    shape = d.summary_shape()
+    ages = ["25.0", "2.5e1", "25", "12345678901234567890"]
+    texts = [summary_text().replace('"age": 40', f'"age": {a}, "inner": 1')[:-1] + ', "extra": [1, "x"]}' for a in ages]
+    docs = spark.createDataFrame(list(enumerate(texts)), "conversation_id int, raw string")
+    checked = d.validate_documents(docs, shape)
+    assert all(r.valid for r in checked.collect())
+    typed = d.typed_documents(checked, shape).orderBy("conversation_id").select("doc.patient.age", "unfit").collect()
+    assert [r.age for r in typed] == [25, 25, 25, None]
+    assert [r.unfit for r in typed] == [[], [], [], ["$.patient.age"]]
+    pairs = spark.createDataFrame([], "conversation_id int, seq bigint, question string, answer string")
+    asked = spark.createDataFrame([], "conversation_id int, pos int, question_id string, question string, answer string")
+    rows = d.assemble_summary(checked, asked, pairs, shape).collect()
+    assert len(rows) == 4 and all(r.extra == {"extra": '[1,"x"]'} for r in rows)

@@ -87,7 +87,8 @@ def test_take_turn(spark):
 @pytest.mark.parametrize("bits", [1, 16])
 def test_transcript_text_parts_join_to_the_whole(spark, bits):
     table = random_messages(17)
-    parts = context.transcript_text(message_frame(spark, table), bits=bits).collect()
+    part_rows = 1 << bits
+    parts = context.transcript_text(message_frame(spark, table), bits, part_rows).collect()
     for cid, rows in table.items():
         mine = sorted((r.part, r.transcript) for r in parts if r.conversation_id == cid)
         whole = "\n".join(f"{m[1].upper()}: {m[3]}" for m in rows)
@@ -251,3 +252,14 @@ def test_replay_session(spark, bits):
         assert [(q.id, q.text) for q in r.questions] == shown
         assert r.answers == kept
         assert (r.created_at is not None) == (status == "finished")
+
+
+def test_parts_follow_rows_and_bytes_not_seq_values(spark):
+    rows = [("c", i * 100_000, "patient", "x" * 10) for i in range(40)]
+    sparse = spark.createDataFrame(rows, "conversation_id string, seq bigint, role string, content string")
+    assert context.transcript_text(sparse).count() == 1
+    assert context.collect_history(sparse).count() == 1
+    assert context.transcript_text(sparse, part_rows=10).count() == 4
+    whole = "\n".join(["PATIENT: " + "x" * 10] * 40)
+    parts = context.transcript_text(sparse, part_bytes=100).orderBy("part").collect()
+    assert len(parts) == 8 and "\n".join(p.transcript for p in parts) == whole

@@ -104,3 +104,43 @@ def test_slot_and_note_prompts_keep_nulls(spark):
     assert '{"a":"x","b":null}' in row.messages[1].content and row.messages[1].content.endswith("hi")
     [note] = prompts.note_prompts(states).collect()
     assert json.loads(note.messages[1].content.split("\n")[1]) == {"a": "x", "b": None}
+
+
+NOTES = {"type": "object", "properties": {"notes": {"type": "string"}}, "required": ["notes"]}
+
+
+def test_every_part_reaches_the_summary(spark, tmp_path):
+    questions, inputs, replies = flow_and_inputs(spark)
+
+    def summarizer(batch):
+        out = []
+        for messages in batch:
+            asked = messages[-1]["content"]
+            if asked.startswith("Documents:"):
+                notes = [json.loads(t)["notes"] for t in asked.split("\n")[1:]]
+            else:
+                notes = [asked.split("\n", 1)[1]]
+            out.append(json.dumps({"notes": "\n".join(notes), "more": "x"}))
+        return out
+
+    def run(name, **limits):
+        return interview.run_interviews(
+            spark, inputs, questions, replies, summarizer, str(tmp_path / name), NOTES, **limits
+        ).collect()
+
+    [whole] = run("whole")
+    [parts] = run("rows", part_rows=1)
+    assert parts.summary == whole.summary and parts.last_error is None
+    assert whole.extra == {"more": '"x"'}
+
+
+def test_a_part_that_never_fits_fails_its_conversation(spark, tmp_path):
+    questions, inputs, replies = flow_and_inputs(spark)
+
+    def summarizer(batch):
+        return ["junk" if "40" in m[-1]["content"] or "junk" in m[-1]["content"] else '{"notes":"n"}' for m in batch]
+
+    [row] = interview.run_interviews(
+        spark, inputs, questions, replies, summarizer, str(tmp_path / "run"), NOTES, part_rows=2
+    ).collect()
+    assert row.conversation_id == "c1" and row.summary is None and row.last_error

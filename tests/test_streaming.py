@@ -9,7 +9,7 @@ from dialogweave.fixed_values import Slot
 from dialogweave.operators import flow, sessions
 from dialogweave.operators.slots import slot_completeness
 from dialogweave.sources import sinks
-from dialogweave.streaming import interview, slots, sessions as stream_sessions
+from dialogweave.streaming import interview, slots, sessions as stream_sessions, unplaced
 from tests.test_ordered_equivalence import FLOWS, flow_frame, random_inputs
 
 BANK = (Slot("a", "A?", True), Slot("b", "B?", True), Slot("c", "C?", False))
@@ -96,8 +96,8 @@ def test_stream_slots(spark, tmp_path, pieces, replay):
     assert listed(latest) == listed(slot_completeness(spark.createDataFrame(rows, schema), BANK))
 
 
-@pytest.mark.parametrize("cuts", [1, 4])
-def test_stream_sessions(spark, tmp_path, cuts):
+@pytest.mark.parametrize("cuts,backwards", [(1, False), (4, False), (4, True)])
+def test_stream_sessions(spark, tmp_path, cuts, backwards):
     rnd = random.Random(cuts)
     kinds = ["standard_question_shown"] * 4 + ["standard_answer_given"] * 4 + ["session_started", "session_finished", "session_aborted"]
     rows = []
@@ -113,7 +113,7 @@ def test_stream_sessions(spark, tmp_path, cuts):
         events = events.withColumn(name, F.lit(None).cast("string"))
     folder = str(tmp_path / "log")
     size = 90 // cuts
-    for i in range(cuts):
+    for i in reversed(range(cuts)) if backwards else range(cuts):
         piece = events.where((F.col("seq") >= i * size) & ((F.col("seq") < (i + 1) * size) | F.lit(i == cuts - 1)))
         sinks.append_session_log(piece, folder, iso=i % 2 == 0)
     if cuts > 1:
@@ -122,10 +122,37 @@ def test_stream_sessions(spark, tmp_path, cuts):
     stream = stream_sessions.stream_session_log(spark, folder, 1000 if cuts == 1 else 1)
     out = drain(spark, stream_sessions.stream_sessions(stream), "update", str(tmp_path))
     latest = out.groupBy("session_id").agg(
-        F.max_by(F.struct("status", "reason", "created_at", "questions", "answers"), "last_seq").alias("r")
+        F.max_by(F.struct("status", "reason", "created_at", "questions", "answers"), "version").alias("r")
     ).select("session_id", "r.*")
     want = sessions.replay_session(events).select(
         "session_id", "status", "reason", "created_at", "questions",
         F.transform(F.array_sort(F.map_entries("answers")), lambda e: F.struct(e["key"].alias("question_id"), e["value"].alias("answer"))).alias("answers"),
     )
     assert listed(latest) == listed(want)
+
+
+def test_malformed_lines_are_set_apart(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    good = '{"seq":1,"ts":"2024-01-01T00:00:00Z","type":"session_started","sessionId":"s"}'
+    no_seq = '{"ts":"2024-01-01T00:00:00Z","type":"session_started","sessionId":"t"}'
+    (folder / "a.json").write_text("\n".join([good, "{bad", "worse}", no_seq]) + "\n")
+    events = stream_sessions.stream_session_log(spark, str(folder))
+    out = drain(spark, stream_sessions.stream_sessions(events), "update", str(tmp_path / "x"))
+    assert [(r.session_id, r.status) for r in out.collect()] == [("s", "open")]
+    apart = drain(spark, unplaced(events, "session_id"), "append", str(tmp_path / "y")).collect()
+    assert sorted((r.session_id or "", r.corrupt or "") for r in apart) == [("", "worse}"), ("", "{bad"), ("t", "")]
+
+
+def test_late_inputs_are_errors_and_replays_are_not(spark, tmp_path):
+    schema = "conversation_id string, seq bigint, raw_text string"
+    folder = str(tmp_path)
+    for i, piece in enumerate([[("c", 5, "a")], [("c", 2, "b")], [("c", 5, "a"), ("c", 2, "b"), (None, 1, "x")]]):
+        spark.createDataFrame(piece, schema).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    stream = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    )
+    rows = drain(spark, interview.stream_interview(stream, FLOWS[0]), "append", folder).collect()
+    assert [(r.role, r.content, r.input_seq) for r in rows if r.error == interview.LATE] == [(None, "b", 2)]
+    assert [r.content for r in rows if r.role == "patient"] == ["a"]
