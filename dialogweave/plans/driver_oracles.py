@@ -382,7 +382,9 @@ ORACLES: dict[str, str] = {
         f"SELECT user_id AS conversation_id, {_DIALOG} AS slot FROM events", _DIALOG_BANK
     ),
     "next_question": f"""WITH {_POSITIONED}, {_ANSWERS},
-      counts AS (SELECT conversation_id, count(DISTINCT question_id) AS n FROM answers GROUP BY 1)
+      begun AS (SELECT DISTINCT conversation_id FROM classified),
+      counts AS (SELECT begun.conversation_id, count(DISTINCT question_id) AS n
+        FROM begun LEFT JOIN answers ON answers.conversation_id = begun.conversation_id GROUP BY 1)
       SELECT conversation_id, id AS next_question_id, id IS NULL AS done, text FROM counts LEFT JOIN questions ON pos = n""",
     "slot_bank": f"WITH {_UPDATES} SELECT conversation_id, slot, text, required, value FROM merged",
     "topic_progress": f"WITH {_topics(False)} SELECT conversation_id, next_topic, next_label, completed FROM progress",

@@ -289,10 +289,13 @@ def next_dialog_slot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def next_question(spark: SparkSession, sf: str) -> DataFrame:
-    """First question of the flow without an answer, joined back to its text."""
+    """First question of the flow without an answer, joined back to its text; conversations
+    without any answer have the first."""
     ids = [f"q{i}" for i in range(1, 6)]
     latest = answers.latest_answers(_answers(spark, sf))
-    first = slots.next_unfilled(latest, ids, item="question_id")
+    begun = v.inputs(spark, sf).where("conversation_id is not null").select("conversation_id").distinct()
+    filled = latest.select("conversation_id", "question_id").unionByName(begun, allowMissingColumns=True)
+    first = slots.next_unfilled(filled, ids, item="question_id")
     return first.join(
         v.questions(spark, sf).select(F.col("id").alias("next_question_id"), "text"),
         "next_question_id",
