@@ -102,6 +102,34 @@ def running_sums(
     )
 
 
+def running_last(
+    df: DataFrame,
+    values: dict[str, Column],
+    key: str = "conversation_id",
+    order: str = "seq",
+    bits: int = BLOCK_BITS,
+) -> DataFrame:
+    """Adds, per row, each expression's last non-NULL value among the rows of its key with a
+    smaller ``order``. Rows at the same place do not see each other; rows without key or order
+    have no place and are left out."""
+    placed = df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
+    blocked = with_block(placed.withColumn(order, F.col(order).cast("bigint")), order, bits)
+    before = in_block(key, order).rangeBetween(*_BEFORE)
+    local = blocked.select("*", *[F.last(e, ignorenulls=True).over(before).alias(n) for n, e in values.items()])
+    per_block = blocked.groupBy(key, BLOCK).agg(
+        *[F.max_by(e, F.when(e.isNotNull(), F.col(order))).alias(f"_c_{n}") for n, e in values.items()]
+    )
+    earlier = across_blocks(key).rowsBetween(*_BEFORE)
+    directory = per_block.select(
+        key,
+        BLOCK,
+        *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in values],
+        F.lag(BLOCK).over(across_blocks(key)).isNotNull().alias("_follows"),
+    ).where("_follows")
+    joined = local.join(directory.drop("_follows"), [key, BLOCK], "left")
+    return joined.select(*df.columns, *[F.coalesce(F.col(n), F.col(f"_c_{n}")).alias(n) for n in values])
+
+
 def with_next(
     df: DataFrame,
     columns: list[str],

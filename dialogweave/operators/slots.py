@@ -15,6 +15,7 @@ from dialogweave.functions.jsontext import (
     text_of,
     truthy_of,
 )
+from dialogweave.operators.ordered import BLOCK_BITS, running_last
 
 
 def project_known_slots(
@@ -57,11 +58,16 @@ def project_known_slots(
     )
 
 
-def _slot_state(updates: DataFrame, slots: Sequence[Slot], truthy: Optional[Column]) -> DataFrame:
-    """One row per conversation with one column ``v<i>`` per slot, combined map-side."""
+def _fills(updates: DataFrame, truthy: Optional[Column]) -> Column:
+    """Whether an update counts; see ``merge_slots``."""
     if truthy is None and "truthy" in updates.columns:
         truthy = F.col("truthy")
-    fills = F.col("value").isNotNull() & (F.col("value") != "") if truthy is None else truthy
+    return F.col("value").isNotNull() & (F.col("value") != "") if truthy is None else truthy
+
+
+def _slot_state(updates: DataFrame, slots: Sequence[Slot], truthy: Optional[Column]) -> DataFrame:
+    """One row per conversation with one column ``v<i>`` per slot, combined map-side."""
+    fills = _fills(updates, truthy)
     return updates.groupBy("conversation_id").agg(
         *[
             F.max_by(
@@ -102,6 +108,29 @@ def slot_maps(
     return state.select("conversation_id", F.create_map(*pairs).alias("slots"))
 
 
+def slots_before(
+    updates: DataFrame,
+    texts: DataFrame,
+    slots: Sequence[Slot] = SLOT_BANK,
+    truthy: Optional[Column] = None,
+    bits: int = BLOCK_BITS,
+) -> DataFrame:
+    """(conversation_id, seq, text, slots) per row of ``texts``: the MAP of the slots as merged
+    from the updates with a smaller ``seq``. Texts before any update have NULL slots.
+
+    Updates and texts go through one shuffle by (conversation, block) as one sequence, so no
+    conversation is joined or gathered as a whole.
+    """
+    value = F.when(_fills(updates, truthy), F.col("value"))
+    none = F.lit(None).cast("string")
+    given = updates.select("conversation_id", "seq", none.alias("text"), "slot", value.alias("value"), F.lit(False).alias("_asks"))
+    asked = texts.select("conversation_id", "seq", "text", none.alias("slot"), none.alias("value"), F.lit(True).alias("_asks"))
+    known = {f"v{i}": F.when(F.col("slot") == s.slot, F.col("value")) for i, s in enumerate(slots)}
+    rows = running_last(given.union(asked), known, bits=bits).where("_asks")
+    pairs = [c for i, s in enumerate(slots) for c in (F.lit(s.slot), F.col(f"v{i}"))]
+    return rows.select("conversation_id", "seq", "text", F.create_map(*pairs).alias("slots"))
+
+
 def _open_items(state_columns: Sequence[Column], items: Sequence[Column]) -> Column:
     """Items whose column is NULL, in order."""
     return F.filter(

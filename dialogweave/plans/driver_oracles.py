@@ -438,10 +438,17 @@ ORACLES: dict[str, str] = {
       'system|' || {_text(W['summary_system'])} || {_NL} || {_text(W['summary_shape'])} || {_NL} || {_ATTEMPT_JSON} || {_NL} ||
       'user|' || {_text(W['summary_user'])} || {_NL} || string_agg(upper(role) || ': ' || content, {_NL} ORDER BY seq) AS prompt
       FROM messages GROUP BY conversation_id""",
-    "slot_prompts": f"""WITH {_STATE_JSON}, {_INPUTS}, {_CLASSIFIED} SELECT conversation_id || ':' || seq AS request_id,
+    "slot_prompts": f"""WITH {_UPDATES}, {_INPUTS}, {_CLASSIFIED},
+      asked AS (SELECT conversation_id, seq, classified.text, pos, slot FROM classified CROSS JOIN bank WHERE mode = 'answer'),
+      filled AS (SELECT conversation_id, slot, seq, value FROM updates WHERE value <> ''),
+      known AS (SELECT asked.*, filled.value FROM asked ASOF LEFT JOIN filled
+        ON asked.conversation_id = filled.conversation_id AND asked.slot = filled.slot AND asked.seq > filled.seq),
+      states AS (SELECT conversation_id, seq, text,
+        '{{' || string_agg('"' || slot || '":' || coalesce('"' || value || '"', 'null'), ',' ORDER BY pos) || '}}' AS slots
+        FROM known GROUP BY ALL)
+      SELECT conversation_id || ':' || seq AS request_id,
       'system|' || {_text(W['slot_system'] + ' ' + ', '.join(s.slot for s in SLOT_BANK))} || {_NL} || 'user|' || {_text(W['slot_known'])} || {_NL} ||
-      slots || {_NL} || {_text(W['slot_answer'])} || {_NL} || text AS prompt
-      FROM classified JOIN states USING (conversation_id) WHERE mode = 'answer'""",
+      slots || {_NL} || {_text(W['slot_answer'])} || {_NL} || text AS prompt FROM states""",
     "note_prompts": f"""WITH {_STATE_JSON} SELECT CAST(conversation_id AS VARCHAR) AS request_id,
       'system|' || {_text(W['note_system'])} || {_NL} || 'user|' || {_text(W['note_user'])} || {_NL} || slots AS prompt FROM states""",
     "topic_prompts": f"""WITH {_topics(True)}, {_FULL_HISTORY},

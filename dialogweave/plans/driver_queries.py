@@ -439,9 +439,8 @@ def summary_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def slot_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    states = slots.slot_maps(v.slot_updates(spark, sf))
     texts = flow.classify_inputs(v.inputs(spark, sf)).where("mode = 'answer'")
-    return _prompt_rows(prompts.slot_prompts(states, texts))
+    return _prompt_rows(prompts.slot_prompts(v.slot_updates(spark, sf), texts))
 
 
 def note_prompts(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,6 +16,7 @@ from dialogweave.operators.answers import answered_so_far
 from dialogweave.operators.context import chat_context, collect_history, transcript_text
 from dialogweave.operators.flow import question_progress
 from dialogweave.operators.ordered import BLOCK_BITS, PART_BYTES, PART_ROWS
+from dialogweave.operators.slots import slots_before
 
 WORDING = {
     "chat_system": "Answer the patient's side question briefly and calmly.",
@@ -155,12 +156,15 @@ def _as_json(slots: Column) -> Column:
 
 
 def slot_prompts(
-    states: DataFrame,
+    updates: DataFrame,
     texts: DataFrame,
     slots: Sequence[Slot] = SLOT_BANK,
     wording: Optional[dict[str, str]] = None,
+    truthy: Optional[Column] = None,
+    bits: int = BLOCK_BITS,
 ) -> DataFrame:
-    """Per new text: system with the slot names; user with the known slots and the text."""
+    """Per new text: system with the slot names; user with the text and the slots known from
+    the updates before it."""
     words = _words(wording)
     names = ", ".join(s.slot for s in slots)
     user = F.concat_ws(
@@ -170,7 +174,7 @@ def slot_prompts(
         F.lit(words["slot_answer"]),
         "text",
     )
-    return texts.join(states, "conversation_id").select(
+    return slots_before(updates, texts, slots, truthy, bits).select(
         F.concat_ws(":", "conversation_id", "seq").alias("request_id"),
         "conversation_id",
         "seq",

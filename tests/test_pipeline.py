@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from dialogweave.fixed_values import Slot
 from dialogweave.operators import responses
 from dialogweave.operators.flow import expand_transcript
 from dialogweave.plans import interview, prompts
@@ -99,8 +100,13 @@ def test_second_run_asks_only_for_what_failed(spark, tmp_path):
 
 def test_slot_and_note_prompts_keep_nulls(spark):
     states = spark.sql("select 'c' as conversation_id, map('a', 'x', 'b', cast(null as string)) as slots")
+    updates = spark.createDataFrame(
+        [("c", 3, "a", "x"), ("c", 4, "a", "now"), ("c", 5, "b", "later")],
+        "conversation_id string, seq bigint, slot string, value string",
+    )
     texts = spark.createDataFrame([("c", 4, "hi")], "conversation_id string, seq bigint, text string")
-    [row] = prompts.slot_prompts(states, texts).collect()
+    bank = (Slot("a", "A?", True), Slot("b", "B?", True))
+    [row] = prompts.slot_prompts(updates, texts, bank).collect()
     assert '{"a":"x","b":null}' in row.messages[1].content and row.messages[1].content.endswith("hi")
     [note] = prompts.note_prompts(states).collect()
     assert json.loads(note.messages[1].content.split("\n")[1]) == {"a": "x", "b": None}

@@ -73,3 +73,27 @@ def test_next_unfilled(spark):
 def test_missing_required_keeps_bank_order(spark):
     rows = s.missing_required(frame(spark, [("c", 0, "c", "x")]), BANK).orderBy("n").collect()
     assert [r.slot for r in rows] == ["a", "b"]
+
+
+def test_slots_before_a_text_match_a_loop(spark):
+    rnd = random.Random(9)
+    updates = [
+        (f"c{rnd.randrange(4)}", rnd.randrange(60), rnd.choice(["a", "b", "c", "zz"]), rnd.choice(["", None, "x", "y", "z"]))
+        for _ in range(120)
+    ]
+    updates = list({(c, seq): (c, seq, *rest) for c, seq, *rest in updates}.values()) + [("c0", None, "a", "lost")]
+    texts = [(f"c{c}", seq, f"t{seq}") for c in range(6) for seq in rnd.sample(range(70), 15)] + [("c0", None, "no place")]
+    want = {}
+    for c, seq, text in texts:
+        if seq is None:
+            continue
+        known = {b.slot: None for b in BANK}
+        for u in sorted((u for u in updates if u[0] == c and u[1] is not None and u[1] < seq), key=lambda u: u[1]):
+            if u[3] and u[2] in known:
+                known[u[2]] = u[3]
+        want[c, seq] = (text, known)
+    asked = spark.createDataFrame(texts, "conversation_id string, seq bigint, text string")
+    for bits in (0, 2, 16):
+        rows = s.slots_before(frame(spark, updates), asked, BANK, bits=bits).collect()
+        assert {(r.conversation_id, r.seq): (r.text, r.slots) for r in rows} == want
+        assert len(rows) == len(want)
