@@ -161,30 +161,31 @@ def may_link(na: int, a: bytes, nb: int, b: bytes, percent: int) -> bool:
 
 
 def _nodes(docs: DataFrame, size: int, make: Signatures) -> DataFrame:
-    """Per row: a hash of its text, the node of its set, the set's size, bitmap and keys."""
+    """Per row: its columns besides text (long), a hash of its text, the node of its set, the
+    set's size, bitmap and keys."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, count, bitmap, keys = [], [], [], []
-            for tokens in shingle_sets(batch.column(1), size):
+            for tokens in shingle_sets(batch.column(len(kept) + 1), size):
                 node.append(_node(tokens) if len(tokens) else None)
                 count.append(len(tokens))
                 bitmap.append(parity_bits(tokens))
                 keys.append(make.of(tokens))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(2),
+                    *batch.columns[:-1],
                     pa.array(node, pa.int64()),
                     pa.array(count, pa.int64()),
                     pa.array(bitmap, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "copy", "node", "n", "bits", "keys"],
+                names=[*kept, "copy", "node", "n", "bits", "keys"],
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).mapInArrow(
-        run, "doc_id long, copy long, node long, n long, bits binary, keys array<long>"
+    return docs.select(*kept, F.xxhash64("text").alias("copy"), "text").mapInArrow(
+        run, ", ".join(f"{c} long" for c in [*kept, "copy", "node", "n"]) + ", bits binary, keys array<long>"
     )
 
 
@@ -239,20 +240,11 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perce
     return written(joined.mapInArrow(check, "a long, b long"), "links")
 
 
-def jaccard_components(
-    docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, n_shingles, component_id) per row of docs: the rows' set sizes and the smallest id
-    reachable by links; two rows link when 100 * intersection >= percent * union.
-
-    NULL and wordless texts have no shingles and no links. Repeated rows and texts with equal
-    sets share a component. A row with NULL id takes part; its component is the smallest id
-    that is not NULL, or NULL. Only id and text are read, so other columns never clash. Ids
-    must be long. percent is 67 or more.
-    """
+def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs(doc_id, text, ...) as ``_nodes`` gives them, and (node, root) of every
+    node with a link."""
     if not 67 <= percent <= 100:
         raise ValueError("percent must be from 67 to 100")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     make = Signatures(*token_levels(docs, size), percent)
     rows = written(_nodes(docs, size, make), "rows")
     nodes = written(
@@ -283,7 +275,22 @@ def jaccard_components(
         .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
     )
     more = _links(second, docs, nodes, size, percent)
-    roots = components(links.union(more))
+    return rows, components(links.union(more))
+
+
+def jaccard_components(
+    docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, n_shingles, component_id) per row of docs: the rows' set sizes and the smallest id
+    reachable by links; two rows link when 100 * intersection >= percent * union.
+
+    NULL and wordless texts have no shingles and no links. Repeated rows and texts with equal
+    sets share a component. A row with NULL id takes part; its component is the smallest id
+    that is not NULL, or NULL. Only id and text are read, so other columns never clash. Ids
+    must be long. percent is 67 or more.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, roots = _linked(docs, size, percent)
     labelled = rows.select("doc_id", "node", "n").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node")
     )
@@ -294,3 +301,23 @@ def jaccard_components(
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
     )
 
+
+def without_near_copies(
+    docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """docs with one row of each component of linked rows (see ``jaccard_components``).
+
+    That with the smallest id stays, one without id only where all are; among rows of one id
+    the least by a hash of the text, and any one of rows that agree in both. Rows are told
+    apart by a number of their own, not by their ids: ids may be NULL or repeat. NULL and
+    wordless texts link with none and all stay."""
+    numbered = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    texts = numbered.select(
+        F.col("doc")[id_col].cast("long").alias("doc_id"), F.col("doc")[text_col].alias("text"), "row"
+    )
+    rows, roots = _linked(texts, size, percent)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "copy", "row")).alias("best")
+    firsts = rows.where("node is not null").groupBy("node").agg(best)
+    firsts = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best"))
+    stay = firsts.select("best.row").union(rows.where("node is null").select("row"))
+    return numbered.join(stay, "row", "left_semi").select("doc.*")
