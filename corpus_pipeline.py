@@ -34,8 +34,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold 80 % of the five-word shingles of a benchmark item."""
-    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"), size=5, percent=80)
+    """Without the rows that hold 80 % of the five-word shingles of a benchmark item, with or
+    without doc_id."""
+    items = table(spark, sf_dir, "benchmark")
+    return decontamination.clean_documents(docs, items, size=5, percent=80, spare_null_ids=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

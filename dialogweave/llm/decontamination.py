@@ -87,42 +87,43 @@ def _partitions(rows: list[tuple[int, int, bytes]], percent: int) -> list[Partit
     return [p.finish() for p in found.values()]
 
 
+def _found(partitions: list[Partition], texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, its shingles, those of them in the text) of every text that holds an item."""
+    widths = sorted({p.width for p in partitions})
+    data, offsets = flat(texts)
+    for first, last in slices(offsets):
+        at = offsets[first : last + 1]
+        words, to = word_hashes(data[at[0] : at[-1]], at - at[0])
+        owner = np.repeat(np.arange(last - first), np.diff(to))
+        for width in widths:
+            if len(words) < width:
+                continue
+            tokens = shingle_hashes(words, width)
+            inner = owner[: len(tokens)] == owner[width - 1 :]
+            count = np.maximum(np.diff(to) - width + 1, 0)
+            for part in partitions:
+                if part.width != width:
+                    continue
+                place = np.minimum(np.searchsorted(part.keys, tokens), len(part.keys) - 1)
+                hit = np.flatnonzero((part.keys[place] == tokens) & inner)
+                hit = hit[count[owner[hit]] >= part.smallest_document]
+                for doc in np.unique(owner[hit]):
+                    whole = np.unique(tokens[to[doc] : to[doc] + count[doc]])
+                    for number in part.candidates(tokens[hit[owner[hit] == doc]]):
+                        item, shingles = part.items[number]
+                        both = len(np.intersect1d(whole, shingles, assume_unique=True))
+                        if both >= part.need(len(shingles)):
+                            yield first + int(doc), item, len(shingles), both
+
+
 def _search(partitions: list[Partition]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        widths = sorted({p.width for p in partitions})
         for batch in batches:
-            ids = batch.column(0)
-            rows, items, sizes, shared = [], [], [], []
-            data, offsets = flat(batch.column(1))
-            for first, last in slices(offsets):
-                at = offsets[first : last + 1]
-                words, to = word_hashes(data[at[0] : at[-1]], at - at[0])
-                owner = np.repeat(np.arange(last - first), np.diff(to))
-                for width in widths:
-                    if len(words) < width:
-                        continue
-                    tokens = shingle_hashes(words, width)
-                    inner = owner[: len(tokens)] == owner[width - 1 :]
-                    count = np.maximum(np.diff(to) - width + 1, 0)
-                    for part in partitions:
-                        if part.width != width:
-                            continue
-                        place = np.minimum(np.searchsorted(part.keys, tokens), len(part.keys) - 1)
-                        hit = np.flatnonzero((part.keys[place] == tokens) & inner)
-                        hit = hit[count[owner[hit]] >= part.smallest_document]
-                        for doc in np.unique(owner[hit]):
-                            whole = np.unique(tokens[to[doc] : to[doc] + count[doc]])
-                            for number in part.candidates(tokens[hit[owner[hit] == doc]]):
-                                item, shingles = part.items[number]
-                                both = len(np.intersect1d(whole, shingles, assume_unique=True))
-                                if both >= part.need(len(shingles)):
-                                    rows.append(first + int(doc))
-                                    items.append(item)
-                                    sizes.append(len(shingles))
-                                    shared.append(both)
+            found = list(_found(partitions, batch.column(1)))
+            rows, items, sizes, shared = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(rows, pa.int64())),
+                    batch.column(0).take(pa.array(rows, pa.int64())),
                     pa.array(items, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(shared, pa.int64()),
@@ -133,6 +134,36 @@ def _search(partitions: list[Partition]):
     return run
 
 
+def _without(partitions: list[Partition], text: int, spared: int | None):
+    """Batches without the rows whose text (a column's number) holds an item; where the column
+    ``spared`` is NULL a row stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[row for row, *_ in _found(partitions, batch.column(text))]] = False
+            if spared is not None:
+                keep |= batch.column(spared).is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _chunks(items: DataFrame, size: int, percent: int, item_id_col: str, item_text_col: str) -> Iterator[list[Partition]]:
+    """The items as partitions, about CHUNK_SHINGLES shingles at a time."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    items = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+    sets = written(_item_sets(items, size).distinct(), "items")
+    total = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    chunks = -(-total // (8 * CHUNK_SHINGLES))
+    for chunk in range(chunks):
+        part = sets if chunks == 1 else sets.where(F.pmod(F.xxhash64("shingles"), F.lit(chunks)) == chunk)
+        rows = [(r["item_id"], r["width"], bytes(r["shingles"])) for r in part.collect()]  # about CHUNK_SHINGLES
+        if rows:
+            yield _partitions(rows, percent)
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -151,25 +182,34 @@ def contained_items(
     Repeated rows of docs give repeated results; repeated item rows count once each id and
     text. No document without a hit returns a row. Other columns are not read.
     """
-    if not 0 < percent <= 100:
-        raise ValueError("percent must be from 1 to 100")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    sets = written(_item_sets(items, size).distinct(), "items")
-    total = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
-    chunks = -(-total // (8 * CHUNK_SHINGLES))
     schema = "doc_id long, item_id long, n_item_shingles long, n_shared long"
     found = docs.sparkSession.createDataFrame([], schema)
-    for chunk in range(chunks):
-        part = sets if chunks == 1 else sets.where(F.pmod(F.xxhash64("shingles"), F.lit(chunks)) == chunk)
-        rows = [(r["item_id"], r["width"], bytes(r["shingles"])) for r in part.collect()]  # about CHUNK_SHINGLES
-        if rows:
-            found = found.union(docs.mapInArrow(_search(_partitions(rows, percent)), schema))
+    for partitions in _chunks(items, size, percent, item_id_col, item_text_col):
+        found = found.union(docs.mapInArrow(_search(partitions), schema))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the rows in which an item is found; rows with NULL id stay."""
-    id_col = options.get("id_col", "doc_id")
-    hits = written(contained_items(docs, items, **options).select("doc_id").distinct(), "hits")
-    return docs.join(hits.withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(docs.columns)
+def clean_documents(
+    docs: DataFrame,
+    items: DataFrame,
+    size: int = 5,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    spare_null_ids: bool = True,
+) -> DataFrame:
+    """docs without the rows in whose own text an item is found (see ``contained_items``), all
+    columns kept; no shuffle and no join on the id. Rows with NULL id stay whatever they hold,
+    unless ``spare_null_ids`` is False.
+
+    Where the items are more than one chunk, what each but the last leaves is written."""
+    schema = docs.schema
+    spared = docs.columns.index(id_col) if spare_null_ids else None
+    for chunk, partitions in enumerate(_chunks(items, size, percent, item_id_col, item_text_col)):
+        if chunk:
+            docs = written(docs, "cleaned")
+        docs = docs.mapInArrow(_without(partitions, docs.columns.index(text_col), spared), schema)
+    return docs

@@ -1,5 +1,7 @@
 """The pipeline's stages on awkward rows (NULL and repeated ids, copies), exact row sets compared."""
 
+import pytest
+
 import corpus_pipeline
 from tests.llm.test_operators import BASE, _prose, _shingles
 
@@ -60,3 +62,24 @@ def test_near_duplicates_decide_on_rows(spark):
 
 def test_near_duplicates_of_no_rows(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, _made(spark, AWKWARD).limit(0), "").count() == 0
+
+
+ITEMS = [(1, A), (2, _prose(25, 30)), (3, None), (4, "")]
+
+
+@pytest.fixture
+def sf(spark, tmp_path):
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 30])
+def test_decontamination_decides_on_rows(spark, sf, monkeypatch, chunk):
+    monkeypatch.setattr(corpus_pipeline.decontamination, "CHUNK_SHINGLES", chunk)
+    pairs = AWKWARD + [(6, "so " + A + " it"), (6, C), (None, _prose(25, 30)), (None, C), (7, A[: len(A) // 2])]
+    held = [_shingles(t, 5) for _, t in ITEMS if t]
+    clean = [r for r in _rows(pairs) if not any(100 * len(h & _shingles(r[1], 5)) >= 80 * len(h) for h in held)]
+    out = corpus_pipeline.drop_contaminated(spark, _made(spark, pairs), sf)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(clean, key=str)
+    assert (6, C) in _pairs(out) and (None, A) not in _pairs(out) and len(clean) == len(pairs) - 3
+    assert corpus_pipeline.drop_contaminated(spark, _made(spark, pairs).limit(0), sf).count() == 0
