@@ -8,6 +8,7 @@ version 70, names 50, hints 30.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -156,8 +157,30 @@ def rules() -> list[Rule]:
     return found
 
 
-#: What a text must contain before any rule or base phrase is tried, as a regex over raw text.
-GATE = (
-    r"(?i)licen[cs]|cc[\x00-/:-@\[-`{-\x7f]+by|cc0|creative|copyright|rights|domain|permission|redistribution"
-    r"|unencumbered|wtfpl|[gmec]pl|gfdl|cddl|cecill|bsd|mit[\x00-/:-@\[-`{-\x7f]+(?:0|no)|general|public|proprietary|gnu"
-)
+# A gap between words of raw text, and the place where a word begins.
+_GAP = r"[\x00-/:-@\[-`{-\x7f]+"
+_BEGIN = r"(?<![^\x00-/:-@\[-`{-\x7f])"
+#: Keywords that are words of ordinary prose (German "mit"): their whole patterns gate.
+_COMMON = ("mit",)
+
+
+def _certain(pattern: str) -> str:
+    """The pattern with a mark for all that a match may lack or have otherwise."""
+    left = re.sub(r"\[[^]]*\]|\w\?| \?", "\0", pattern)
+    while (inner := re.sub(r"\(\?:[^()]*\)\??", "\0", left)) != left:
+        left = inner
+    return "" if "|" in left else f" {left}"
+
+
+def gate() -> str:
+    """What a text must contain before any rule or base phrase is tried, as a regex over raw
+    text. A rule passes by "licen" at the start of a word if all its matches have it, else by
+    its keyword, or by its pattern where the keyword is common."""
+    terms = []
+    for keyword, pattern in [(p, p) for p, _ in BASE] + [(r.keyword, r.pattern) for r in rules()]:
+        term = "licen" if " licen" in _certain(pattern) else pattern if keyword in _COMMON else keyword
+        terms.append(term.replace(" ", _GAP))
+    return f"(?i){_BEGIN}(?:{'|'.join(dict.fromkeys(terms))})"
+
+
+GATE = gate()
