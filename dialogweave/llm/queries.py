@@ -57,11 +57,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches over all documents: an estimate by length when a document
     arrives, the exact count in its place, and the deletion of copies of earlier texts. The
-    second batch is then sent again, which must change nothing."""
-    docs = table(spark, sf_dir, "documents").withColumn("digest", F.md5("text"))
-    keep = ["doc_id", "source", "lang", "n_chars", "digest"]
+    second batch is then sent again, which must change nothing. A change is named by the number
+    its row got when the counts were written: rows may lack or repeat a doc_id, each counts."""
+    docs = table(spark, sf_dir, "documents").withColumns({"digest": F.md5("text"), "row": F.monotonically_increasing_id()})
+    keep = ["row", "doc_id", "source", "lang", "n_chars", "digest"]
     counted = written(token_rollup.count_tokens(docs, tokenizer("piece_bpe_32k.model"), keep), "counted")
-    change = F.col("doc_id").cast("string").alias("change_id")
+    change = F.col("row").cast("string").alias("change_id")
     estimate = F.ceil(F.col("n_chars") / 4).cast("long")
     none, zero = F.lit(None).cast("string"), F.lit(None).cast("long")
 
