@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from dialogweave.llm.textkit import MARKS, U, between, flat, lower, mix, prefix_hashes, slices, word_spans
 
 MAX_LABELLED = 5_000
-MAX_WORDS = 512
+MAX_WORDS = 512  # features of one model
 FOLDS = 3
 BEGINNINGS = (5, 7)  # bytes
 OFTEN = (2, 4)
+_RUN = 1 << 18
 EVIDENCE = 30.0  # least chi-square of a word that becomes a feature
 
 
@@ -45,14 +46,25 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def telling_words(words: np.ndarray, owner: np.ndarray, target: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The words whose presence goes with the category, by chi-square over these rows."""
-    use = rows[owner]
-    names, number = np.unique(words[use], return_inverse=True)
+def _parts(n: int) -> Iterator[slice]:
+    """The numbers below n in runs, so that what is made of a run is small."""
+    return (slice(at, at + _RUN) for at in range(0, n, _RUN))
+
+
+def telling_words(
+    words: np.ndarray, owner: np.ndarray, target: np.ndarray, rows: np.ndarray, max_words: int = MAX_WORDS
+) -> np.ndarray:
+    """The words whose presence goes with the category, by chi-square over these rows; the
+    ``max_words`` with the most evidence."""
+    names = np.unique(words[rows[owner]])
     if not len(names):
         return names
-    with_word = np.bincount(number, minlength=len(names)).astype(float)
-    hits = np.bincount(number, weights=target[owner[use]], minlength=len(names))
+    with_word, hits = np.zeros(len(names)), np.zeros(len(names))
+    for part in _parts(len(words)):
+        use = rows[owner[part]]
+        number = np.searchsorted(names, words[part][use])
+        with_word += np.bincount(number, minlength=len(names))
+        hits += np.bincount(number, weights=target[owner[part][use]], minlength=len(names))
     n, t = float(rows.sum()), float(target[rows].sum())
     if t in (0.0, n):
         return names[:0]
@@ -60,17 +72,17 @@ def telling_words(words: np.ndarray, owner: np.ndarray, target: np.ndarray, rows
     spread = expected * (1 - t / n) * (1 - with_word / n)
     chi = np.where(spread > 0, (hits - expected) ** 2 / np.maximum(spread, 1e-12), 0.0)
     chosen = np.flatnonzero((chi >= EVIDENCE) & (with_word >= 3))
-    chosen = chosen[np.lexsort((names[chosen], -chi[chosen]))][:MAX_WORDS]
+    chosen = chosen[np.lexsort((names[chosen], -chi[chosen]))][:max_words]
     return np.sort(names[chosen])
 
 
 def presence(words: np.ndarray, owner: np.ndarray, count: int, features: np.ndarray) -> np.ndarray:
     """One row per document, one column per feature: 1 where the word occurs."""
     out = np.zeros((count, len(features)))
-    if len(features) and len(words):
-        at = np.minimum(np.searchsorted(features, words), len(features) - 1)
-        hit = features[at] == words
-        out[owner[hit], at[hit]] = 1.0
+    for part in _parts(len(words) if len(features) else 0):
+        at = np.minimum(np.searchsorted(features, words[part]), len(features) - 1)
+        hit = features[at] == words[part]
+        out[owner[part][hit], at[hit]] = 1.0
     return out
 
 
@@ -92,7 +104,9 @@ def fit_linear(present: np.ndarray, before: np.ndarray, target: np.ndarray, ridg
     return w[:k], w[k:-1], float(w[-1])
 
 
-def fit_chain(words: np.ndarray, owner: np.ndarray, targets: Sequence[np.ndarray], folds: int = FOLDS) -> list[Linear]:
+def fit_chain(
+    words: np.ndarray, owner: np.ndarray, targets: Sequence[np.ndarray], folds: int = FOLDS, max_words: int = MAX_WORDS
+) -> list[Linear]:
     """One model per category in order, each fed the out-of-fold log odds of those before it."""
     count = len(targets[0]) if targets else 0
     fold = np.arange(count) % folds
@@ -103,15 +117,15 @@ def fit_chain(words: np.ndarray, owner: np.ndarray, targets: Sequence[np.ndarray
         held_out = np.zeros(count)
         for k in range(folds):
             rows = fold != k
-            held_out[~rows] = _fitted(words, owner, target, before, rows)[1][~rows]
-        chain.append(_fitted(words, owner, target, before, np.ones(count, bool))[0])
+            held_out[~rows] = _fitted(words, owner, target, before, rows, max_words)[1][~rows]
+        chain.append(_fitted(words, owner, target, before, np.ones(count, bool), max_words)[0])
         before = np.hstack([before, _log_odds(held_out)[:, None]])
     return chain
 
 
-def _fitted(words, owner, target, before, rows) -> tuple[Linear, np.ndarray]:
+def _fitted(words, owner, target, before, rows, max_words) -> tuple[Linear, np.ndarray]:
     """The model of these rows, and its probabilities for all rows."""
-    features = telling_words(words, owner, target, rows)
+    features = telling_words(words, owner, target, rows, max_words)
     present = presence(words, owner, len(target), features)
     weights = (np.zeros(len(features)), np.zeros(before.shape[1]), -30.0)
     if rows.any():
@@ -166,28 +180,45 @@ def _words_of(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def train(
     docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text",
-    max_labelled: int = MAX_LABELLED,
+    max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS,
 ) -> list[Linear]:
     """The chain for these categories (name to condition on ``labels``).
 
-    It is fitted on at most ``max_labelled`` labelled documents, the least by a hash of the id;
-    labels that are NULL or repeat an id with other values are left out. Without labels every
-    category has probability 0."""
+    It is fitted on at most ``max_labelled`` labels, the least by a hash of the id; labels that
+    are NULL or repeat an id with other values are left out. All different texts of these ids
+    are used, each once, and come to the driver as word hashes. A model has at most
+    ``max_words`` features (a word may be nine), those with the most evidence. Without labels
+    every category has probability 0."""
     names = [f"is_{i}" for i in range(len(categories))]
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), *(c.cast("int").alias(n) for c, n in zip(categories.values(), names, strict=True)))
     known = known.dropna().distinct().orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # At most max_labelled narrow rows are broadcast.
-    sample = _words_of(rows.join(F.broadcast(known), F.col("id") == F.col("label_id")), ["id", *names])
+    rows = rows.join(F.broadcast(known), F.col("id") == F.col("label_id")).withColumn("digest", F.md5("text"))
+    sample = _words_of(rows.dropDuplicates(["id", "digest", *names]), ["id", *names])
     found = sorted(sample.collect(), key=lambda r: (r["id"], r["words"]))
     changed = {}
     for r in found:
         changed.setdefault(r["id"], set()).add(tuple(r[n] for n in names))
-    found = [r for r in found if len(changed[r["id"]]) == 1][: 2 * max_labelled]
+    found = [r for r in found if len(changed[r["id"]]) == 1]
+    targets = [np.array([r[n] for r in found], int) for n in names]
     each = [np.frombuffer(r["words"], U) for r in found]
-    owner = np.repeat(np.arange(len(each)), [len(w) for w in each])
+    owner = np.repeat(np.arange(len(each), dtype=np.int32), [len(w) for w in each])
     words = np.concatenate(each) if each else np.zeros(0, U)
-    return fit_chain(words, owner, [np.array([r[n] for r in found], int) for n in names])
+    del found, each
+    held = _frequent(words)
+    return fit_chain(words[held], owner[held], targets, max_words=max_words)
+
+
+def _frequent(words: np.ndarray) -> np.ndarray:
+    """Where words are that three texts or more have; others never become features."""
+    ordered = np.sort(words)
+    ordered = ordered[2:][ordered[2:] == ordered[:-2]]
+    names = ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
+    held = np.zeros(len(words), bool)
+    for part in _parts(len(words) if len(names) else 0):
+        held[part] = names[np.minimum(np.searchsorted(names, words[part]), len(names) - 1)] == words[part]
+    return held
 
 
 def scored(docs: DataFrame, chain: list[Linear], names: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
