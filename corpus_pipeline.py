@@ -35,9 +35,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the rows that hold 80 % of the five-word shingles of a benchmark item, with or
-    without doc_id."""
+    without doc_id. Items of fewer than five words have no shingle and drop nothing."""
     items = table(spark, sf_dir, "benchmark")
-    return decontamination.clean_documents(docs, items, size=5, percent=80, spare_null_ids=False)
+    return decontamination.clean_documents(docs, items, size=5, percent=80, short_items=False, spare_null_ids=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,12 +149,15 @@ def _without(partitions: list[Partition], text: int, spared: int | None):
     return run
 
 
-def _chunks(items: DataFrame, size: int, percent: int, item_id_col: str, item_text_col: str) -> Iterator[list[Partition]]:
+def _chunks(
+    items: DataFrame, size: int, percent: int, item_id_col: str, item_text_col: str, short_items: bool
+) -> Iterator[list[Partition]]:
     """The items as partitions, about CHUNK_SHINGLES shingles at a time."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be from 1 to 100")
     items = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    sets = written(_item_sets(items, size).distinct(), "items")
+    sets = _item_sets(items, size).distinct()
+    sets = written(sets if short_items else sets.where(F.col("width") == size), "items")
     total = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
     chunks = -(-total // (8 * CHUNK_SHINGLES))
     for chunk in range(chunks):
@@ -173,11 +176,13 @@ def contained_items(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    short_items: bool = True,
 ) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment), one row per row of docs and
     item of which ``percent`` of the distinct shingles of ``size`` words occur in its text.
 
-    Items of fewer words are searched as one shingle of their own length. Items that are NULL
+    Items of fewer words are searched as one shingle of their own length; without
+    ``short_items`` they have no shingle and are in no document. Items that are NULL
     or without words are in no document; NULL and empty texts hold none. A NULL id stays NULL.
     Repeated rows of docs give repeated results; repeated item rows count once each id and
     text. No document without a hit returns a row. Other columns are not read.
@@ -185,7 +190,7 @@ def contained_items(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, n_item_shingles long, n_shared long"
     found = docs.sparkSession.createDataFrame([], schema)
-    for partitions in _chunks(items, size, percent, item_id_col, item_text_col):
+    for partitions in _chunks(items, size, percent, item_id_col, item_text_col, short_items):
         found = found.union(docs.mapInArrow(_search(partitions), schema))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
@@ -199,6 +204,7 @@ def clean_documents(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    short_items: bool = True,
     spare_null_ids: bool = True,
 ) -> DataFrame:
     """docs without the rows in whose own text an item is found (see ``contained_items``), all
@@ -208,7 +214,7 @@ def clean_documents(
     Where the items are more than one chunk, what each but the last leaves is written."""
     schema = docs.schema
     spared = docs.columns.index(id_col) if spare_null_ids else None
-    for chunk, partitions in enumerate(_chunks(items, size, percent, item_id_col, item_text_col)):
+    for chunk, partitions in enumerate(_chunks(items, size, percent, item_id_col, item_text_col, short_items)):
         if chunk:
             docs = written(docs, "cleaned")
         docs = docs.mapInArrow(_without(partitions, docs.columns.index(text_col), spared), schema)

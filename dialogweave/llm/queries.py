@@ -33,8 +33,9 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles have five words, as in the SQL: items of fewer have none and are not searched."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontamination.contained_items(docs, items, size=5, percent=80)
+    return decontamination.contained_items(docs, items, size=5, percent=80, short_items=False)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
