@@ -1,8 +1,12 @@
 """The pipeline's stages on awkward rows (NULL and repeated ids, copies), exact row sets compared."""
 
+import hashlib
+
 import pytest
+import sentencepiece
 
 import corpus_pipeline
+from dialogweave.llm.queries import tokenizer
 from tests.llm.test_operators import BASE, _prose, _shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, gone long, component_id long"
@@ -83,3 +87,48 @@ def test_decontamination_decides_on_rows(spark, sf, monkeypatch, chunk):
     assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(clean, key=str)
     assert (6, C) in _pairs(out) and (None, A) not in _pairs(out) and len(clean) == len(pairs) - 3
     assert corpus_pipeline.drop_contaminated(spark, _made(spark, pairs).limit(0), sf).count() == 0
+
+
+def _without_repeats(pairs):
+    """Brute force: the texts without the strings of 50 bytes that a document of a smaller id has."""
+    out = []
+    for doc, text in pairs:
+        earlier = {t[p : p + 50] for d, t in pairs if None not in (doc, d, t) and d < doc for p in range(len(t) - 49)}
+        gone = {q for p in range(len(text or "") - 49) if text[p : p + 50] in earlier for q in range(p, p + 50)}
+        out.append((doc, None if text is None else "".join(c for p, c in enumerate(text) if p not in gone)))
+    return out
+
+
+def test_suffix_dedup_cuts_rows(spark):
+    pairs = AWKWARD + [(11, BASE[:80] + " new " + BASE[-70:]), (12, _prose(4, 400)), (13, "x" + _prose(4, 400)[100:900]), (13, BASE[:49])]
+    out = corpus_pipeline.cut_repeats(spark, _made(spark, pairs), "")
+    want = [
+        (d, cut, "en", "web", None if cut is None else len(cut), *row[5:])
+        for row, (d, cut) in zip(_rows(pairs), _without_repeats(pairs), strict=True)
+    ]
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.cut_repeats(spark, _made(spark, pairs).limit(0), "").count() == 0
+
+
+def test_toxicity_judges_rows(spark, tmp_path):
+    bad = " awful awful awful awful"
+    pairs = [(i, _prose(i, 40) + (bad if i % 5 == 0 else "")) for i in range(100, 500)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(100, 400)] + [(None, 1, 1), (401, None, 1)]
+    pairs += [(None, C + bad), (None, C), (None, None), (450, C), (450, C), (451, C + bad), (7, ""), (7, "")]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.drop_toxic(spark, _made(spark, pairs), str(tmp_path))
+    want = [r for r in _rows(pairs) if "awful" not in (r[1] or "")]
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.drop_toxic(spark, _made(spark, pairs).limit(0), str(tmp_path)).count() == 0
+
+
+def test_sentencepiece_encodes_rows(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for doc, text in AWKWARD:
+        ids = lib.encode(text or "")
+        want.append((doc, len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids)), ids))
+    out = corpus_pipeline.encode(spark, _made(spark, AWKWARD), "")
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.encode(spark, _made(spark, AWKWARD).limit(0), "").count() == 0
