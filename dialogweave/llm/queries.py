@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from dialogweave.llm import (
     decontamination,
     license_scan,
+    merkle_manifest,
     ngram_join,
     sentencepiece_codec,
     sharding,
+    spelling_variants,
     suffix_dedup,
     token_rollup,
     topk_search,
     toxicity,
+    url_filter,
     warc,
 )
 from dialogweave.llm.common import table, written
@@ -98,6 +101,33 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 2 divides the CRC of the decimal doc_id, the text comes back without its line feeds;
+    a row without doc_id comes back as it is."""
+    suspect = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    return merkle_manifest.verified_manifest(
+        table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+        suspect, {"text": F.replace(F.col("text"), F.lit("\n"), F.lit(""))},
+    )
+
+
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variant_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontamination": op2_decontamination,
@@ -109,4 +139,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_topk_search": op9_topk_search,
     "op10_warc": op10_warc,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_url_filter": op12_url_filter,
+    "op13_spelling_variants": op13_spelling_variants,
 }

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     known = __spark_entry__.queries()
     assert set(queries.QUERIES) <= set(known) and "pipeline" in known
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
