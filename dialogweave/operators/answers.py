@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from typing import Optional
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dialogweave.fixed_values import NONE_ANSWERED_TEXT
+from dialogweave.functions.jsontext import bind
 from dialogweave.functions.scalars import is_chat_turn
 from dialogweave.model import ANSWER, ASSISTANT, CHAT, PATIENT
-from dialogweave.operators.ordered import BLOCK_BITS, with_earlier, with_next
+from dialogweave.operators.ordered import BLOCK_BITS, Blocks, with_earlier, with_next
+from dialogweave.sources.flows import flow_columns, one_flow
 
 
 def latest_answers(answers: DataFrame) -> DataFrame:
     """Last answer per conversation and question id, by ``seq``; combined map-side."""
-    return answers.groupBy("conversation_id", "question_id").agg(
+    return answers.groupBy("conversation_id", *flow_columns(answers), "question_id").agg(
         F.max_by("text", "seq").alias("answer"), F.max("seq").alias("seq")
     )
 
 
 def questionnaire_answers(latest: DataFrame, questions: DataFrame) -> DataFrame:
-    """Flow order; unanswered questions are dropped and empty answers kept."""
-    flow = questions.select(
-        F.col("id").alias("question_id"), F.col("pos"), F.col("text").alias("question")
+    """Flow order; unanswered questions are dropped and empty answers kept. Each conversation
+    goes by the flow and version it is bound to, if the answers say so."""
+    bound = flow_columns(latest, questions)
+    flow = one_flow(questions, latest).select(
+        *bound, F.col("id").alias("question_id"), F.col("pos"), F.col("text").alias("question")
     )
     return (
         latest.where(F.col("answer").isNotNull())
-        .join(flow, "question_id")
+        .join(flow, [*bound, "question_id"])
         .select("conversation_id", "pos", "question_id", "question", "answer")
     )
 
@@ -45,6 +51,7 @@ def answered_so_far(
     questions: DataFrame,
     none_text: str = NONE_ANSWERED_TEXT,
     bits: int = BLOCK_BITS,
+    blocks: Optional[Blocks] = None,
 ) -> DataFrame:
     """Per chat turn: one ``- question -> answer`` line per question answered before it.
 
@@ -52,7 +59,9 @@ def answered_so_far(
     conversation are bounded by the flow. An id that occurs at several positions answers
     all of them.
     """
-    places = questions.groupBy(F.col("id").alias("active_question_id")).agg(
+    bound = flow_columns(progress, questions)
+    flow = one_flow(questions, progress)
+    places = flow.groupBy(*bound, F.col("id").alias("active_question_id")).agg(
         F.collect_list(F.struct(F.col("pos").alias("p"), F.col("text").alias("q"))).alias("_places")
     )
     answered = F.when(
@@ -61,25 +70,30 @@ def answered_so_far(
             "_places", lambda x: F.struct(x["p"], F.col("seq").alias("s"), x["q"], F.col("text").alias("a"))
         ),
     )
-    rows = with_earlier(
-        progress.join(places, "active_question_id", "left"), answered, bits=bits
-    ).where(F.col("mode") == CHAT)
-    # Sorted by (position, seq): the last entry of a position is its current answer.
-    current = F.filter(
-        "_sorted",
-        lambda e, i: F.coalesce(F.get(F.col("_sorted"), i + 1)["p"] != e["p"], F.lit(True)),
+    asked = progress.join(places, [*bound, "active_question_id"], "left")
+    rows = with_earlier(asked, answered, _latest_by_position, bits=bits, blocks=blocks).where(
+        F.col("mode") == CHAT
     )
     lines = F.array_join(
-        F.transform(current, lambda e: F.concat(F.lit("- "), e["q"], F.lit(" -> "), e["a"])), "\n"
+        F.transform("_earlier", lambda e: F.concat(F.lit("- "), e["q"], F.lit(" -> "), e["a"])), "\n"
     )
     return (
-        rows.withColumn("_sorted", F.array_sort(F.flatten("_earlier")))
-        .withColumn("answered", F.coalesce(F.nullif(lines, F.lit("")), F.lit(none_text)))
+        rows.withColumn("answered", F.coalesce(F.nullif(lines, F.lit("")), F.lit(none_text)))
         .select(*progress.columns, "answered")
     )
 
 
-def patient_questions(messages: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def _latest_by_position(entries: Column) -> Column:
+    """Of entries with position ``p`` and place ``s``, the last of each position, in flow order."""
+    return bind(
+        F.array_sort(entries),
+        lambda e: F.filter(e, lambda x, i: F.coalesce(F.get(e, i + 1)["p"] != x["p"], F.lit(True))),
+    )
+
+
+def patient_questions(
+    messages: DataFrame, bits: int = BLOCK_BITS, blocks: Optional[Blocks] = None
+) -> DataFrame:
     """Pairs each chat question with the chat answer right behind it.
 
     A question followed by another one is dropped, a trailing one keeps an empty answer,
@@ -90,7 +104,7 @@ def patient_questions(messages: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     )
     following = F.col("_next.role")
     return (
-        with_next(chats, ["role", "content"], bits=bits)
+        with_next(chats, ["role", "content"], bits=bits, blocks=blocks)
         .where((F.col("role") == PATIENT) & (following.isNull() | (following == ASSISTANT)))
         .select(
             "conversation_id",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Optional
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dialogweave.fixed_values import CONTEXT_TURNS, FRAME_MESSAGES
@@ -9,6 +11,7 @@ from dialogweave.functions.scalars import is_chat_turn, py_strip, render_line, t
 from dialogweave.model import MODES, PATIENT, ROLES
 from dialogweave.operators.ordered import (
     BLOCK_BITS,
+    Blocks,
     last_of,
     PART_BYTES,
     PART_ROWS,
@@ -38,6 +41,7 @@ def chat_context(
     turns: int = CONTEXT_TURNS,
     bits: int = BLOCK_BITS,
     keep: tuple[str, ...] = (),
+    blocks: Optional[Blocks] = None,
 ) -> DataFrame:
     """Per patient chat turn: the earlier chat turns a responder gets to see.
 
@@ -49,6 +53,7 @@ def chat_context(
         messages.select("conversation_id", "seq", "role", "content", "mode", *keep),
         frame,
         bits=bits,
+        blocks=blocks,
     )
     asked = framed.where(is_chat_turn(F.col("role"), F.col("mode")) & (F.col("role") == PATIENT))
     text = py_strip(F.col("content"))

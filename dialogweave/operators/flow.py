@@ -18,7 +18,8 @@ from dialogweave.model import (
     QUIT,
     SYSTEM,
 )
-from dialogweave.operators.ordered import BLOCK_BITS, running_sums
+from dialogweave.operators.ordered import BLOCK_BITS, Blocks, running_sums
+from dialogweave.sources.flows import flow_columns, one_flow
 
 MESSAGE = (
     "struct<role:string,content:string,mode:string,question_id:string,channel:string,reask:boolean>"
@@ -26,10 +27,11 @@ MESSAGE = (
 
 
 def classify_inputs(inputs: DataFrame) -> DataFrame:
-    """(conversation_id, seq, mode, text) of raw console inputs."""
+    """(conversation_id, seq, mode, text) of raw console inputs, with the flow they are bound to."""
     return inputs.select(
         "conversation_id",
         "seq",
+        *flow_columns(inputs),
         input_mode(F.col("raw_text")).alias("mode"),
         input_text(F.col("raw_text")).alias("text"),
     )
@@ -40,22 +42,31 @@ def question_at_index(
 ) -> DataFrame:
     """Question by position; an index outside the flow gives NULL.
 
-    The flow joins without a hint: Spark broadcasts it below its size threshold and
-    shuffles both sides above it.
+    Rows bound to a flow (see ``sources.flows.bind_flows``) get the questions of theirs; rows
+    without flow get those of the only one, and several fail the query. The flows join
+    without a hint: Spark broadcasts them below its size threshold and shuffles both sides
+    above it.
     """
-    flow = questions.select(
+    bound = flow_columns(df, questions)
+    flow = one_flow(questions, df).select(
+        *[F.col(c).alias(f"_{c}") for c in bound],
         F.col("pos").cast("bigint").alias("_pos"),
         F.col("id").alias(f"{prefix}_id"),
         F.col("text").alias(f"{prefix}_text"),
     )
+    same = F.col("_index") == F.col("_pos")
+    for c in bound:
+        same = same & (F.col(c) == F.col(f"_{c}"))
     return (
         df.withColumn("_index", index.cast("bigint"))
-        .join(flow, F.col("_index") == F.col("_pos"), "left")
-        .drop("_index", "_pos")
+        .join(flow, same, "left")
+        .drop("_index", "_pos", *[f"_{c}" for c in bound])
     )
 
 
-def _positioned(inputs: DataFrame, questions: DataFrame, bits: int) -> DataFrame:
+def _positioned(
+    inputs: DataFrame, questions: DataFrame, bits: int, blocks: Optional[Blocks] = None
+) -> DataFrame:
     """Classified inputs with counts of what came before and the current question.
 
     ``alive`` tells whether the loop still runs when the input arrives. Without quit it
@@ -70,6 +81,7 @@ def _positioned(inputs: DataFrame, questions: DataFrame, bits: int) -> DataFrame
             "quits_before": (F.col("mode") == QUIT).cast("bigint"),
         },
         bits=bits,
+        blocks=blocks,
     )
     first = (F.col("answers_before") == 0) & (F.col("chats_before") == 0)
     return (
@@ -83,12 +95,16 @@ def _positioned(inputs: DataFrame, questions: DataFrame, bits: int) -> DataFrame
 
 
 def question_progress(
-    inputs: DataFrame, questions: DataFrame, bits: int = BLOCK_BITS
+    inputs: DataFrame,
+    questions: DataFrame,
+    bits: int = BLOCK_BITS,
+    blocks: Optional[Blocks] = None,
 ) -> DataFrame:
     """Question index, active question and state before each input the loop handles."""
-    return _positioned(inputs, questions, bits).where("alive").select(
+    return _positioned(inputs, questions, bits, blocks).where("alive").select(
         "conversation_id",
         "seq",
+        *flow_columns(inputs),
         "mode",
         "text",
         F.col("answers_before").alias("question_index"),
@@ -107,6 +123,7 @@ def flow_answers(progress: DataFrame) -> DataFrame:
     ).select(
         "conversation_id",
         "seq",
+        *flow_columns(progress),
         F.col("question_index").alias("pos"),
         F.col("active_question_id").alias("question_id"),
         "text",
@@ -139,16 +156,21 @@ def expand_transcript(
     completion_text: str = COMPLETION_TEXT,
     notice_text: str = NO_RESPONDER_TEXT,
     bits: int = BLOCK_BITS,
+    blocks: Optional[Blocks] = None,
 ) -> DataFrame:
     """The full message stream of every conversation found in ``inputs``.
 
     ``replies(conversation_id, seq, content)`` holds the responder's answers by input
     ``seq``; ``None`` means no responder is configured. Every handled answer yields two
     rows and every chat three, so the new ``seq`` follows from the running counts and
-    needs no second numbering pass. ``input_seq`` names the causing input.
+    needs no second numbering pass. ``input_seq`` names the causing input, and ``ends`` is
+    true on the row with which the flow ends, whatever its text.
     """
-    rows = _positioned(inputs, questions, bits).where("alive")
+    rows = _positioned(inputs, questions, bits, blocks).where("alive")
     rows = question_at_index(rows, questions, F.col("answers_before") + 1, "next_question")
+    over = F.col("active_question_id").isNull() | (
+        (F.col("mode") == ANSWER) & F.col("next_question_id").isNull()
+    )
 
     completion = _message(SYSTEM, F.lit(completion_text))
     current_id, current_text = F.col("active_question_id"), F.col("active_question_text")
@@ -190,12 +212,14 @@ def expand_transcript(
         "conversation_id",
         F.col("seq").alias("input_seq"),
         offset.cast("bigint").alias("_offset"),
+        over.alias("_over"),
         F.posexplode(with_start).alias("_i", "m"),
     ).select(
         "conversation_id",
         (F.col("_offset") + F.col("_i")).alias("seq"),
         "m.*",
         "input_seq",
+        (F.col("_over") & (F.col("m.role") == SYSTEM) & F.col("m.question_id").isNull()).alias("ends"),
     )
 
 

@@ -12,8 +12,10 @@ from dialogweave.functions.scalars import match_keywords
 from dialogweave.operators.ordered import (
     BLOCK,
     BLOCK_BITS,
+    Blocks,
     across_blocks,
     block_directory,
+    blocks_of,
     with_block,
 )
 
@@ -72,7 +74,7 @@ def _run(entries: Column, entry: Column, stop: int) -> Column:
     return F.aggregate(entries, initial.cast(_STATE), step)
 
 
-def _block_runs(messages: DataFrame, rules: Sequence[TopicRule], bits: int) -> DataFrame:
+def _block_runs(messages: DataFrame, rules: Sequence[TopicRule], blocks: Blocks) -> DataFrame:
     """Per (conversation, block): topics completed at entry, and what the block did.
 
     Only (seq, hit bits) of matching messages are grouped, one bounded block at a time. A
@@ -82,14 +84,18 @@ def _block_runs(messages: DataFrame, rules: Sequence[TopicRule], bits: int) -> D
     """
     stop = _leading(rules)
     key = "conversation_id"
+    placed = messages.where(F.col(key).isNotNull() & F.col("seq").isNotNull())
     hits = with_block(
-        messages.select(key, "seq", keyword_hits(F.col("content"), rules[: stop + 1]).alias("h")),
-        bits=bits,
-    ).where(F.col(key).isNotNull() & F.col(BLOCK).isNotNull())
+        placed.select(key, "seq", keyword_hits(F.col("content"), rules[: stop + 1]).alias("h")), blocks
+    )
     entry_struct = F.when(F.col("h") > 0, F.struct(F.col("seq").alias("s"), F.col("h")))
-    blocks = hits.groupBy(key, BLOCK).agg(F.array_sort(F.collect_list(entry_struct)).alias("_entries"))
+    of_block = hits.groupBy(key, BLOCK).agg(F.array_sort(F.collect_list(entry_struct)).alias("_entries"))
+    if blocks.single:
+        return of_block.select(
+            key, BLOCK, F.lit(0).alias("_entry"), _run(F.col("_entries"), F.lit(0), stop).alias("_ran")
+        )
     entered = (
-        blocks.join(block_directory(hits, key).select(key, BLOCK), [key, BLOCK])
+        of_block.join(block_directory(hits, key).select(key, BLOCK), [key, BLOCK])
         .select(
             key,
             BLOCK,
@@ -105,7 +111,7 @@ def _block_runs(messages: DataFrame, rules: Sequence[TopicRule], bits: int) -> D
         reached = F.max(F.get(F.col("_exit"), F.col("_entry"))).over(before)
         entered = entered.withColumn("_entry", F.coalesce(reached, F.lit(0)))
     entry = F.coalesce(F.col("_entry"), F.lit(0))
-    return blocks.join(entered.drop("_exit"), [key, BLOCK], "left").select(
+    return of_block.join(entered.drop("_exit"), [key, BLOCK], "left").select(
         key, BLOCK, entry.alias("_entry"), _run(F.col("_entries"), entry, stop).alias("_ran")
     )
 
@@ -116,7 +122,7 @@ def topic_progress(
     """Per conversation: next topic, completed topics, and where they were completed."""
     key = "conversation_id"
     ran = (
-        _block_runs(messages, rules, bits)
+        _block_runs(messages, rules, blocks_of(messages, bits=bits))
         .groupBy(key)
         .agg(
             F.array_sort(
@@ -171,9 +177,10 @@ def topic_turns(
     """Per message: the open topic on its arrival and after it."""
     topics = F.array(*[F.lit(r.topic) for r in rules])
     seq = F.col("seq")
+    blocks = blocks_of(messages, bits=bits)
     return (
-        with_block(messages.select("conversation_id", "seq"), bits=bits)
-        .join(_block_runs(messages, rules, bits), ["conversation_id", BLOCK])
+        with_block(messages.select("conversation_id", "seq").where("seq is not null"), blocks)
+        .join(_block_runs(messages, rules, blocks), ["conversation_id", BLOCK])
         .select(
             "conversation_id",
             "seq",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from dialogweave.fixed_values import DIALOG_SLOTS, SLOT_BANK
+from dialogweave.fixed_values import DIALOG_SLOTS, SLOT_BANK, TOPIC_RULES
 from dialogweave.plans import driver_views as v
 from dialogweave.plans.prompts import WORDING as W
 
@@ -312,6 +312,89 @@ SELECT c.conversation_id, next_slot, next_slot IS NULL AS done,
 FROM (SELECT DISTINCT conversation_id FROM filled) c LEFT JOIN open USING (conversation_id)"""
 
 
+_SPREAD = v.SPREAD
+_SPREAD_LONG = _LONG.replace("event_id AS seq", f"event_id * {_SPREAD} AS seq")
+_SPREAD_INPUTS = _POSITIONED.replace("event_id AS seq", f"event_id * {_SPREAD} AS seq")
+_NATIONS = "questions AS (SELECT CAST(n_nationkey AS INTEGER) AS pos, 'n' || n_nationkey AS id, n_name || '?' AS text FROM nation)"
+
+_FLOWS = """questions AS (
+  SELECT 'regions' AS flow_id, 1 AS version, CAST(r_regionkey AS INTEGER) AS pos, 'q' || (r_regionkey + 1) AS id,
+         'What about ' || r_name || '?' AS text FROM region
+  UNION ALL SELECT 'regions', 2, CAST(4 - r_regionkey AS INTEGER), 'q' || (r_regionkey + 1), 'Tell of ' || r_name FROM region
+  UNION ALL SELECT 'nations', 1, CAST(n_nationkey AS INTEGER), 'n' || n_nationkey, n_name || '?' FROM nation),
+versions(flow_id, version, valid_from) AS (VALUES ('regions', 1, TIMESTAMP '2024-01-01'),
+  ('regions', 2, TIMESTAMP '2024-01-01 06:00:00'), ('nations', 1, TIMESTAMP '2024-01-01 01:00:00'))"""
+_BOUND = f"""{_FLOWS}, {_INPUTS.replace("user_id AS conversation_id", "user_id * 100 + day(ts) AS conversation_id")}, {_CLASSIFIED},
+begun AS (
+  SELECT user_id * 100 + day(ts) AS conversation_id, arg_min(CASE WHEN user_id % 3 = 0 THEN 'nations' ELSE 'regions' END, event_id) AS flow_id,
+         arg_min(ts, event_id) AS ts, count(*) AS n FROM events GROUP BY 1),
+bound AS (SELECT begun.*, version FROM begun ASOF LEFT JOIN versions
+  ON begun.flow_id = versions.flow_id AND begun.ts >= versions.valid_from),
+counted AS (
+  SELECT classified.*, flow_id, version, count(*) FILTER (mode = 'answer') OVER w AS a,
+         count(*) FILTER (mode = 'chat') OVER w AS c, count(*) FILTER (mode = 'quit') OVER w AS q
+  FROM classified JOIN bound USING (conversation_id) WHERE version IS NOT NULL
+  WINDOW w AS (PARTITION BY conversation_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+positioned AS (
+  SELECT counted.*, cur.id AS cur_id, cur.text AS cur_text, nxt.id AS next_id, nxt.text AS next_text FROM counted
+  LEFT JOIN questions cur ON cur.flow_id = counted.flow_id AND cur.version = counted.version AND cur.pos = a
+  LEFT JOIN questions nxt ON nxt.flow_id = counted.flow_id AND nxt.version = counted.version AND nxt.pos = a + 1),
+progress AS (SELECT * FROM positioned WHERE q = 0 AND cur_id IS NOT NULL)"""
+_BOUND_ANSWERS = "answers AS (SELECT conversation_id, flow_id, version, seq, a AS pos, cur_id AS question_id, text FROM progress WHERE mode = 'answer')"
+
+
+def _item_progress(head: str, filled: str, name: str) -> str:
+    """What is open, from ``bank`` (b columns, pos, item, required) and the filled rows."""
+    return f"""WITH {head}, filled AS ({filled}),
+begun AS (SELECT DISTINCT conversation_id, b FROM filled),
+open AS (
+  SELECT begun.conversation_id, begun.b, count(*) AS n_open, count(*) FILTER (required) AS n_missing, arg_min(item, pos) AS first
+  FROM begun JOIN bank ON bank.b = begun.b
+  WHERE NOT EXISTS (SELECT 1 FROM filled f WHERE f.conversation_id = begun.conversation_id AND f.item = bank.item)
+  GROUP BY 1, 2),
+report AS (
+  SELECT conversation_id, b, first AS {name}, CAST(coalesce(n_open, 0) AS INTEGER) AS n_open,
+         CAST(coalesce(n_missing, 0) AS INTEGER) AS n_missing, coalesce(n_open, 0) = 0 AS done, coalesce(n_missing, 0) = 0 AS complete
+  FROM begun LEFT JOIN open USING (conversation_id, b))"""
+
+
+_SLOT_DAYS = f"""SELECT user_id * 10 + day(ts) % 10 AS conversation_id, 0 AS b,
+  CASE WHEN event_type <> 'error' THEN CASE {_K} % 6 {_SLOT_CASE} END END AS item FROM events"""
+_SLOT_ITEMS = "bank(b, pos, item, required) AS (VALUES " + ", ".join(
+    f"(0, {i}, {_text(s.slot)}, {s.required})" for i, s in enumerate(SLOT_BANK)
+) + ")"
+_DIALOG_ITEMS = "bank(b, pos, item, required) AS (VALUES " + ", ".join(f"(0, {i}, {_text(s)}, true)" for i, s in enumerate(DIALOG_SLOTS)) + ")"
+_FLOW_ITEMS = """bank AS (SELECT flow_id || version AS b, pos, id AS item,
+  CASE flow_id WHEN 'nations' THEN pos % 2 = 0 ELSE CASE version WHEN 1 THEN pos <> 3 ELSE pos > 1 END END AS required FROM questions)"""
+
+# By the shipped rules the second topic never completes.
+_SHIPPED = f"""told AS (
+  SELECT conv_id AS conversation_id, turn AS seq, {v.SHIPPED_TEXT} AS content FROM conversations WHERE role = 'user'),
+first_done AS (SELECT conversation_id, min(seq) AS hit_at FROM told WHERE {_hit(TOPIC_RULES[0])} GROUP BY 1),
+second_last AS (SELECT told.conversation_id, max(seq) AS hit_at FROM told JOIN first_done USING (conversation_id)
+  WHERE {_hit(TOPIC_RULES[1])} AND seq > hit_at GROUP BY 1)"""
+
+_TURN_STATE = f"""states AS (
+  SELECT conversation_id, seq, first_at, second_at, CASE WHEN second_at <= seq THEN 'closing' WHEN first_at <= seq THEN 'details' ELSE 'opening' END AS next_topic,
+         CASE WHEN second_at <= seq THEN 'Closing' WHEN first_at <= seq THEN 'Details' ELSE 'Opening' END AS next_label
+  FROM told JOIN progress USING (conversation_id)),
+closing_hits AS (
+  SELECT s.conversation_id, s.seq, max(told.seq) AS hit_at FROM states s JOIN told ON told.conversation_id = s.conversation_id
+  WHERE told.seq <= s.seq AND told.seq > s.second_at AND {_hit(v.RULES[2])} GROUP BY 1, 2),
+known AS (
+  SELECT s.conversation_id, s.seq, '{{' || concat_ws(',',
+      CASE WHEN c.hit_at IS NOT NULL THEN '"closing":"' || replace(x.content, chr(10), '\\n') || '"' END,
+      CASE WHEN second_at <= s.seq THEN '"details":"seen"' END,
+      CASE WHEN first_at <= s.seq THEN '"opening":"' || replace(o.content, chr(10), '\\n') || '"' END) || '}}' AS known
+  FROM states s LEFT JOIN closing_hits c ON c.conversation_id = s.conversation_id AND c.seq = s.seq
+  LEFT JOIN told x ON x.conversation_id = s.conversation_id AND x.seq = c.hit_at
+  LEFT JOIN told o ON o.conversation_id = s.conversation_id AND o.seq = s.first_at),
+histories AS (
+  SELECT s.conversation_id, s.seq, string_agg(CASE m.role WHEN 'patient' THEN 'user' ELSE 'assistant' END || '|' || m.content, {_NL} ORDER BY m.seq) AS history
+  FROM states s JOIN messages m ON m.conversation_id = s.conversation_id AND m.seq <= s.seq
+  WHERE m.role IN ('patient', 'assistant') GROUP BY 1, 2)"""
+
+
 ORACLES: dict[str, str] = {
     "patient_questions": f"WITH {_MESSAGES}, {_PAIRS} SELECT * FROM pairs",
     "patient_questions_long": f"WITH {_LONG}, {_PAIRS} SELECT * FROM pairs",
@@ -464,11 +547,55 @@ ORACLES: dict[str, str] = {
     "append_messages": f"WITH {_MESSAGES} SELECT * FROM messages",
     "read_session_log": f"""WITH {_EVENTS} SELECT session_id, seq, epoch_us(date_trunc('second', ts)) AS second_micros, type, question_id, text, reason
       FROM log""",
-    "write_session_snapshot": f"""WITH {_REPLAY} SELECT session_id, created_micros, n_questions AS questions, n_answers AS answers
-      FROM snapshots WHERE status = 'finished'""",
-    "write_summaries": f"""WITH {_SUMMARIES} SELECT conversation_id, 'Person ' || conversation_id AS name,
-      20 + conversation_id % 60 AS age, 'n' || conversation_id AS notes FROM summaries""",
+    "write_session_snapshot": f"WITH {_REPLAY} SELECT session_id, created_micros, questions, answers FROM snapshots WHERE status = 'finished'",
+    "open_slots": _item_progress(_SLOT_ITEMS, _SLOT_DAYS, "next_slot") + " SELECT * EXCLUDE (b) FROM report",
+    "open_required_slots": f"""WITH {_SLOT_ITEMS}, filled AS ({_SLOT_DAYS})
+      SELECT conversation_id, pos, item AS slot FROM (SELECT DISTINCT conversation_id FROM filled) d CROSS JOIN bank
+      WHERE required AND NOT EXISTS (SELECT 1 FROM filled f WHERE f.conversation_id = d.conversation_id AND f.item = bank.item)""",
+    "open_flow_questions": _item_progress(f"{_BOUND}, {_BOUND_ANSWERS}, {_FLOW_ITEMS}", """SELECT conversation_id, flow_id || version AS b, question_id AS item FROM answers
+      UNION ALL SELECT conversation_id, flow_id || version, NULL FROM bound WHERE version IS NOT NULL""", "next_question_id").replace("begun AS (SELECT DISTINCT", "started AS (SELECT DISTINCT")
+      .replace("FROM begun JOIN bank ON bank.b = begun.b", "FROM started begun JOIN bank ON bank.b = begun.b").replace("FROM begun LEFT JOIN open", "FROM started LEFT JOIN open")
+      + " SELECT report.* EXCLUDE (b), flow_id, version FROM report JOIN bound USING (conversation_id)",
+    "dialog_slots": _item_progress(_DIALOG_ITEMS, f"SELECT user_id || '-' || (event_id % 97) AS conversation_id, 0 AS b, {_DIALOG} AS item FROM events", "next_slot") + " SELECT * EXCLUDE (b) FROM report",
+    "topic_bank": f"""WITH {_SHIPPED} SELECT d.conversation_id, CASE WHEN hit_at IS NULL THEN {_text(TOPIC_RULES[0].topic)} ELSE {_text(TOPIC_RULES[1].topic)} END AS next_topic,
+      CASE WHEN hit_at IS NULL THEN 0 ELSE 1 END AS pos, CASE WHEN hit_at IS NULL THEN {_text(TOPIC_RULES[0].label)} ELSE {_text(TOPIC_RULES[1].label)} END AS label,
+      CASE WHEN hit_at IS NULL THEN '' ELSE {_text(TOPIC_RULES[0].topic)} END AS completed
+      FROM (SELECT DISTINCT conversation_id FROM told) d LEFT JOIN first_done USING (conversation_id)""",
+    "shipped_topic_answers": f"""WITH {_SHIPPED} SELECT conversation_id, {_text(TOPIC_RULES[0].topic)} AS topic, seq, content AS answer
+        FROM told JOIN first_done USING (conversation_id) WHERE seq = hit_at
+      UNION ALL SELECT conversation_id, {_text(TOPIC_RULES[1].topic)}, seq, content FROM told JOIN second_last USING (conversation_id) WHERE seq = hit_at""",
+    "topic_turn_prompts": f"""WITH {_topics(True)}, {_TURN_STATE}
+      SELECT conversation_id || ':' || seq AS request_id, 'system|' || {_text(W['topic_current'])} || ' ' || next_label || {_NL} ||
+        {_text(W['topic_answers'])} || ' ' || known || {_NL} || history AS prompt
+      FROM states JOIN known USING (conversation_id, seq) JOIN histories USING (conversation_id, seq)""",
+    "bind_flows": f"""WITH {_BOUND} SELECT conversation_id, flow_id, version, CASE WHEN version IS NOT NULL THEN n END AS inputs FROM bound""",
+    "versioned_progress": f"""WITH {_BOUND} SELECT conversation_id, seq, flow_id, version, mode, text, a AS question_index,
+      cur_id AS active_question_id, cur_text AS active_question_text FROM progress""",
+    "versioned_transcript": f"WITH {_expanded(False).replace(_POSITIONED, _BOUND)} SELECT {_COLUMNS} FROM expanded",
+    "versioned_answers": f"""WITH {_BOUND}, {_BOUND_ANSWERS} SELECT conversation_id, answers.pos, question_id, questions.text AS question, answers.text AS answer
+      FROM answers JOIN questions ON questions.flow_id = answers.flow_id AND questions.version = answers.version AND id = question_id""",
+    "versioned_so_far": f"""WITH {_BOUND}, {_BOUND_ANSWERS}
+      SELECT p.conversation_id, p.seq, coalesce(string_agg('- ' || questions.text || ' -> ' || answers.text, {_NL} ORDER BY questions.pos), 'None yet.') AS answered
+      FROM progress p LEFT JOIN answers ON answers.conversation_id = p.conversation_id AND answers.seq < p.seq
+      LEFT JOIN questions ON questions.flow_id = p.flow_id AND questions.version = p.version AND questions.id = answers.question_id
+      WHERE p.mode = 'chat' GROUP BY 1, 2""",
+    "patient_questions_blocks": f"WITH {_SPREAD_LONG}, {_PAIRS} SELECT * FROM pairs",
+    "chat_context_blocks": f"WITH {_SPREAD_LONG}, {_seen(30, 10)} SELECT * FROM seen",
+    "question_progress_blocks": f"""WITH {_SPREAD_INPUTS} SELECT conversation_id, seq, mode, text, a AS question_index,
+      cur_id AS active_question_id, cur_text AS active_question_text, 'flow_waiting_answer' AS state FROM progress""",
+    "answered_so_far_blocks": f"""WITH {_SPREAD_INPUTS.replace(_QUESTIONS, _NATIONS).replace("THEN ' QUIT '", "THEN 'no'")}, {_SO_FAR}
+      SELECT conversation_id, seq, answered FROM so_far""",
+    "transcript_text_blocks": f"""WITH {_SPREAD_LONG}, placed AS (SELECT *, (row_number() OVER (PARTITION BY conversation_id ORDER BY seq) - 1) // 50 AS part FROM messages)
+      SELECT conversation_id, part, string_agg(upper(role) || ': ' || content, {_NL} ORDER BY seq) AS transcript FROM placed GROUP BY 1, 2""",
+    "read_log_lines": """SELECT conv_id AS conversation_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations""",
+    "stream_dialogue": f"""WITH {_expanded(True).replace('expanded AS', 'messages AS')}, {_seen(30, 10)},
+      said AS (SELECT kept.conversation_id, input_seq, (3 + least(len(kept), 10)) || ' entries, last: ' || kept.content AS reply
+               FROM kept JOIN messages USING (conversation_id, seq))
+      SELECT m.conversation_id, m.seq, m.role, CASE m.role WHEN 'assistant' THEN reply ELSE m.content END AS content, m.mode, m.question_id, m.channel, m.reask
+      FROM messages m LEFT JOIN said ON said.conversation_id = m.conversation_id AND said.input_seq = m.input_seq""",
+    "stream_session_waves": f"WITH {_REPLAY} SELECT session_id, status, reason, n_questions AS questions, answers FROM snapshots",
     "stream_slots": f"WITH {_COMPLETENESS} SELECT conversation_id, next_slot, missing, complete FROM report",
     "stream_interview": f"WITH {_expanded(False)} SELECT {_COLUMNS} FROM expanded",
     "stream_session_log": f"WITH {_REPLAY} SELECT session_id, status, reason, n_questions AS questions, answers FROM snapshots",
 }
+ORACLES["write_summaries"] = ORACLES["assemble_summary"]

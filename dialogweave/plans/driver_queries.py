@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from dialogweave.fixed_values import ALL_FILLED_TEXT, DIALOG_SLOTS, SLOT_BANK
 from dialogweave.functions import jsontext, scalars
-from dialogweave.operators import answers, context, documents, flow, responses, sessions, slots, topics
+from dialogweave.operators import answers, context, documents, flow, items, responses, sessions, slots, topics
 from dialogweave.plans import driver_views as v, prompts
 from dialogweave.session import shared_folder
-from dialogweave.sources import flows, logs, sinks
+from dialogweave.sources import flows, keyed, logs, sinks
+from dialogweave.streaming import dialogue as dialogue_module
 from dialogweave.streaming import interview as stream_interview_module
 from dialogweave.streaming import sessions as stream_sessions_module
 from dialogweave.streaming import slots as stream_slots_module
@@ -291,16 +292,42 @@ def next_dialog_slot(spark: SparkSession, sf: str) -> DataFrame:
 def next_question(spark: SparkSession, sf: str) -> DataFrame:
     """First question of the flow without an answer, joined back to its text; conversations
     without any answer have the first."""
-    ids = [f"q{i}" for i in range(1, 6)]
+    questions = v.questions(spark, sf).withColumnRenamed("id", "question_id")
     latest = answers.latest_answers(_answers(spark, sf))
     begun = v.inputs(spark, sf).where("conversation_id is not null").select("conversation_id").distinct()
     filled = latest.select("conversation_id", "question_id").unionByName(begun, allowMissingColumns=True)
-    first = slots.next_unfilled(filled, ids, item="question_id")
-    return first.join(
-        v.questions(spark, sf).select(F.col("id").alias("next_question_id"), "text"),
-        "next_question_id",
-        "left",
+    first = items.item_progress(filled, questions, item="question_id")
+    texts = questions.select(F.col("question_id").alias("next_question_id"), "text")
+    return first.join(texts, "next_question_id", "left").select("next_question_id", "conversation_id", "done", "text")
+
+
+def open_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """What is open against the slot bank as a table, per user's day."""
+    return items.item_progress(v.slot_events(spark, sf), flows.slot_bank(spark))
+
+
+def open_required_slots(spark: SparkSession, sf: str) -> DataFrame:
+    return items.missing_items(v.slot_events(spark, sf), flows.slot_bank(spark))
+
+
+def open_flow_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """What is open of the flow and version that each conversation is bound to."""
+    bank = v.flow_questions(spark, sf).withColumnRenamed("id", "question_id")
+    bound, progress = _bound(spark, sf)
+    given = flow.flow_answers(progress).select("conversation_id", "flow_id", "version", "question_id")
+    begun = bound.select("conversation_id", "flow_id", "version").distinct()
+    filled = given.unionByName(begun, allowMissingColumns=True)
+    return items.item_progress(filled, bank, item="question_id", bank=("flow_id", "version"))
+
+
+def dialog_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """The first open one of the nine dialog slots, by the bank as a table."""
+    bank = flows.dialog_slots(spark).withColumn("required", F.lit(True))
+    filled = v.slot_updates(spark, sf).select(
+        F.concat_ws("-", "conversation_id", F.col("seq") % 97).alias("conversation_id"), (F.col("seq") % 11).cast("int").alias("pos")
     )
+    named = filled.join(bank.select("pos", "slot"), "pos", "left")
+    return items.item_progress(named, bank)
 
 
 def slot_bank(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,6 +359,94 @@ def topic_turns(spark: SparkSession, sf: str) -> DataFrame:
     return topics.topic_turns(v.messages(spark, sf), v.RULES)
 
 
+def topic_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """Topic progress by the shipped rules, with the bank's labels."""
+    progress = topics.topic_progress(v.shipped_messages(spark, sf))
+    bank = flows.topic_bank(spark).select(F.col("topic").alias("next_topic"), "pos", "label")
+    return progress.join(bank, "next_topic", "left").select(
+        "conversation_id", "next_topic", "pos", "label", F.array_join("completed", ",").alias("completed")
+    )
+
+
+def shipped_topic_answers(spark: SparkSession, sf: str) -> DataFrame:
+    messages = v.shipped_messages(spark, sf)
+    return topics.topic_answers(messages, topics.topic_progress(messages))
+
+
+def topic_turn_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """The prompt of every patient message, with the history up to it."""
+    messages = v.messages(spark, sf)
+    turns = prompts.topic_turn_prompts(messages, v.RULES)
+    return _prompt_rows(prompts.with_history(turns, messages))
+
+
+# --- several flows and versions -------------------------------------------------------
+
+
+def _bound(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    bound = flows.bind_flows(v.flow_inputs(spark, sf), v.flow_versions(spark))
+    return bound, flow.question_progress(bound, v.flow_questions(spark, sf))
+
+
+def bind_flows(spark: SparkSession, sf: str) -> DataFrame:
+    bound = flows.bind_flows(v.flow_inputs(spark, sf), v.flow_versions(spark))
+    free = flows.unbound_conversations(v.flow_inputs(spark, sf), v.flow_versions(spark))
+    return (
+        bound.groupBy("conversation_id", "flow_id", "version").agg(F.count("*").alias("inputs"))
+        .unionByName(free, allowMissingColumns=True)
+    )
+
+
+def versioned_progress(spark: SparkSession, sf: str) -> DataFrame:
+    return _bound(spark, sf)[1].drop("state")
+
+
+def versioned_transcript(spark: SparkSession, sf: str) -> DataFrame:
+    bound, _ = _bound(spark, sf)
+    return flow.expand_transcript(bound, v.flow_questions(spark, sf)).select(*MESSAGE_COLUMNS)
+
+
+def versioned_answers(spark: SparkSession, sf: str) -> DataFrame:
+    latest = answers.latest_answers(flow.flow_answers(_bound(spark, sf)[1]))
+    return answers.questionnaire_answers(latest, v.flow_questions(spark, sf))
+
+
+def versioned_so_far(spark: SparkSession, sf: str) -> DataFrame:
+    return answers.answered_so_far(_bound(spark, sf)[1], v.flow_questions(spark, sf)).select(
+        "conversation_id", "seq", "answered"
+    )
+
+
+# --- conversations of many blocks -----------------------------------------------------
+
+#: So small that every conversation of the long tables has many blocks.
+_BITS = 4
+
+
+def patient_questions_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return answers.patient_questions(v.spread(v.long_messages(spark, sf)), bits=_BITS)
+
+
+def chat_context_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return _context(context.chat_context(v.spread(v.long_messages(spark, sf)), bits=_BITS))
+
+
+def question_progress_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return flow.question_progress(v.spread(v.inputs(spark, sf)), v.questions(spark, sf), bits=_BITS)
+
+
+def answered_so_far_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The flow of 25 questions, so that answers are carried over many blocks."""
+    inputs = v.spread(v.inputs(spark, sf)).withColumn("raw_text", F.when(F.col("raw_text") == " QUIT ", "no").otherwise(F.col("raw_text")))
+    questions = v.flow_questions(spark, sf).where("flow_id = 'nations'").drop("flow_id", "version")
+    progress = flow.question_progress(inputs, questions, bits=2)
+    return answers.answered_so_far(progress, questions, bits=2).select("conversation_id", "seq", "answered")
+
+
+def transcript_text_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return context.transcript_text(v.spread(v.long_messages(spark, sf)), _BITS, part_rows=50)
+
+
 # --- sessions -------------------------------------------------------------------------
 
 
@@ -392,13 +507,21 @@ def summary_columns(spark: SparkSession, sf: str) -> DataFrame:
     return documents.summary_columns(_summary_documents(spark, sf))
 
 
-def assemble_summary(spark: SparkSession, sf: str) -> DataFrame:
+def _assembled(spark: SparkSession, sf: str) -> DataFrame:
     progress = question_progress(spark, sf)
     asked = answers.questionnaire_answers(
         answers.latest_answers(flow.flow_answers(progress)), v.questions(spark, sf)
     )
     pairs = patient_questions(spark, sf)
-    return documents.assemble_summary(_summary_documents(spark, sf), asked, pairs).select(
+    return documents.assemble_summary(_summary_documents(spark, sf), asked, pairs)
+
+
+def assemble_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return _summary_rows(_assembled(spark, sf))
+
+
+def _summary_rows(assembled: DataFrame) -> DataFrame:
+    return assembled.select(
         "conversation_id",
         "part",
         F.col("summary.patient.name").alias("name"),
@@ -508,30 +631,49 @@ def read_session_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def read_log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs whose lines have no number of their own: it is the line's place in its file."""
+    folder = shared_folder(spark, "lines")
+    line = F.to_json(F.struct(F.lit("session_started").alias("type"), F.concat_ws("-", "conv_id", "turn").alias("sessionId")))
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("value", line)
+    turns.repartitionByRange(3, "conv_id").sortWithinPartitions("conv_id", "turn").select("value").write.text(folder)
+    events = logs.read_session_log(spark, folder)
+    in_file = events.groupBy("source").agg(F.count("*").alias("n"), F.min("seq").alias("least"), F.max("seq").alias("most"))
+    placed = events.join(in_file.where("least = 0 and most = n - 1"), "source")
+    ordered = placed.select(
+        F.split("session_id", "-")[0].cast("bigint").alias("conversation_id"), F.split("session_id", "-")[1].cast("bigint").alias("turn"), "seq"
+    )
+    first = ordered.groupBy("conversation_id").agg(F.min("seq").alias("least"))
+    return ordered.join(first, "conversation_id").select("conversation_id", "turn", (F.col("seq") - F.col("least")).alias("place"))
+
+
 def write_session_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs into one folder, the second over more sessions, and that one again."""
     folder = shared_folder(spark, "snapshots")
-    sinks.write_session_snapshot(sessions.replay_session(v.session_events(spark, sf)), folder)
+    snapshots = sessions.replay_session(v.session_events(spark, sf))
+    sinks.write_session_snapshot(snapshots.where("session_id < '5'"), folder)
+    sinks.write_session_snapshot(snapshots, folder)
+    if sinks.write_session_snapshot(snapshots, folder):
+        raise ValueError("a repeated run changed something")
     schema = (
         "sessionId string, createdAt string, questions array<struct<id:string,text:string>>, "
         "answers map<string,string>"
     )
-    stored = spark.read.schema(schema).json(folder)
-    return stored.select(
-        F.col("sessionId").alias("session_id"),
-        F.unix_micros(scalars.normalize_ts(F.col("createdAt"))).alias("created_micros"),
-        F.size("questions").alias("questions"),
-        F.size("answers").alias("answers"),
-    )
+    stored = keyed.read_keyed(spark, folder, schema)
+    return _snapshot_rows(stored.select(
+        F.col("sessionId").alias("session_id"), F.lit("finished").alias("status"), F.lit(None).cast("string").alias("reason"),
+        scalars.normalize_ts(F.col("createdAt")).alias("created_at"), "questions", "answers",
+    )).drop("status", "reason")
 
 
 def write_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """The assembled documents, in two runs of which the second replaces some of the first."""
     folder = shared_folder(spark, "summaries")
-    found = documents.typed_documents(_summary_documents(spark, sf), documents.summary_shape())
-    sinks.write_summaries(found.select("conversation_id", F.col("doc").alias("summary")), folder)
-    schema = "conversation_id bigint, summary struct<patient:struct<name:string,age:bigint>,notes:string>"
-    return spark.read.schema(schema).json(folder).select(
-        "conversation_id", "summary.patient.name", "summary.patient.age", "summary.notes"
-    )
+    found = _assembled(spark, sf)
+    old = found.withColumn("summary", F.col("summary").withField("notes", F.lit("old")))
+    sinks.write_summaries(old.where("conversation_id % 3 = 1"), folder)
+    sinks.write_summaries(found, folder)
+    return _summary_rows(keyed.read_keyed(spark, folder, found.schema))
 
 
 # --- streaming ------------------------------------------------------------------------
@@ -577,11 +719,50 @@ def stream_interview(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("conversation_id", F.col("conversation_id").cast("bigint"))
 
 
+def _landed(spark: SparkSession, sf: str, waves: int) -> DataFrame:
+    """The events as a stream of several files in the order of time, one a micro-batch."""
+    folder = shared_folder(spark, "waves")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    most = events.agg(F.max("event_id")).first()[0] or 0
+    for i in range(waves):
+        events.where(F.floor(F.col("event_id") * waves / (most + 1)) == i).coalesce(1).write.parquet(f"{folder}/wave{i}")
+    return (
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(folder)
+    )
+
+
+def stream_dialogue(spark: SparkSession, sf: str) -> DataFrame:
+    """A live interview in several micro-batches, its side questions answered in between."""
+    ordered = v.questions(spark, sf).orderBy("pos").select("id", "text")
+    steps = [(q.id, q.text) for q in ordered.collect()]
+    inputs = v.inputs_of(_landed(spark, sf, 3))
+    rows = dialogue_module.run_dialogue(spark, inputs, steps, echo_responder, shared_folder(spark, "dialogue"))
+    said = rows.where("role is not null").select(*MESSAGE_COLUMNS)
+    return said.withColumn("conversation_id", F.col("conversation_id").cast("bigint"))
+
+
+def stream_session_waves(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of a day in several micro-batches; ended ones leave the state a day later."""
+    folder = shared_folder(spark, "landing")
+    events = v.session_events(spark, sf)
+    for low, high in ((1, 10), (11, 20), (21, 31)):
+        sinks.append_session_log(events.where(F.day("ts").between(low, high)).coalesce(2), folder)
+    stream = stream_sessions_module.stream_session_log(spark, folder, files_per_batch=2)
+    rows = _drain(spark, stream_sessions_module.stream_sessions(stream, keep="12 days"), "update", "stream-waves")
+    return _current_sessions(rows)
+
+
 def stream_session_log(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "landing")
     sinks.append_session_log(v.session_events(spark, sf), folder)
     events = stream_sessions_module.stream_session_log(spark, folder, files_per_batch=3)
-    rows = _drain(spark, stream_sessions_module.stream_sessions(events), "update", "stream-sessions")
+    # Files go by session, so a micro-batch may lie as far back as the log is long.
+    rows = _drain(spark, stream_sessions_module.stream_sessions(events, keep="60 days"), "update", "stream-sessions")
+    return _current_sessions(rows)
+
+
+def _current_sessions(rows: DataFrame) -> DataFrame:
     latest = F.max_by(F.struct("status", "reason", "created_at", "questions", "answers"), "version")
     current = rows.groupBy("session_id").agg(latest.alias("r")).select("session_id", "r.*")
     pairs = F.transform("answers", lambda a: F.concat(a["question_id"], F.lit("="), a["answer"]))
@@ -658,5 +839,25 @@ QUERIES: dict[str, Query] = {
         stream_slots,
         stream_interview,
         stream_session_log,
+        open_slots,
+        open_required_slots,
+        open_flow_questions,
+        dialog_slots,
+        topic_bank,
+        shipped_topic_answers,
+        topic_turn_prompts,
+        bind_flows,
+        versioned_progress,
+        versioned_transcript,
+        versioned_answers,
+        versioned_so_far,
+        patient_questions_blocks,
+        chat_context_blocks,
+        question_progress_blocks,
+        answered_so_far_blocks,
+        transcript_text_blocks,
+        read_log_lines,
+        stream_dialogue,
+        stream_session_waves,
     )
 }

@@ -182,3 +182,66 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(length(text) as bigint) as eval_count",
         "(turn + 1) * 1000000 as eval_duration",
     )
+
+
+def flow_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two flows, one of them in two versions of different order and texts."""
+    regions = _table(spark, sf_dir, "region")
+    first = regions.selectExpr(
+        "'regions' as flow_id", "1 as version", "cast(r_regionkey as int) as pos", "'q' || (r_regionkey + 1) as id",
+        "'What about ' || r_name || '?' as text", "r_regionkey <> 3 as required",
+    )
+    second = regions.selectExpr(
+        "'regions' as flow_id", "2 as version", "cast(4 - r_regionkey as int) as pos", "'q' || (r_regionkey + 1) as id",
+        "'Tell of ' || r_name as text", "r_regionkey < 3 as required",
+    )
+    nations = _table(spark, sf_dir, "nation").selectExpr(
+        "'nations' as flow_id", "1 as version", "cast(n_nationkey as int) as pos", "'n' || n_nationkey as id",
+        "n_name || '?' as text", "n_nationkey % 2 = 0 as required",
+    )
+    return first.unionByName(second).unionByName(nations)
+
+
+def flow_versions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [("regions", 1, "2024-01-01"), ("regions", 2, "2024-01-01 06:00:00"), ("nations", 1, "2024-01-01 01:00:00")],
+        "flow_id string, version int, valid_from string",
+    ).selectExpr("flow_id", "version", "cast(valid_from as timestamp) as valid_from")
+
+
+def flow_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs that name a flow, each user's day being a conversation."""
+    return _table(spark, sf_dir, "events").selectExpr(
+        "user_id * 100 + day(ts) as conversation_id", "event_id as seq", f"{_RAW_TEXT} as raw_text",
+        "case when user_id % 3 = 0 then 'nations' else 'regions' end as flow_id", "cast(ts as timestamp) as ts",
+    )
+
+
+#: Clock-like places: far apart, so that no two rows are in one range of 65,536.
+SPREAD = 100_003
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("seq", rows["seq"] * SPREAD)
+
+
+def slot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled slots of each user's day: few enough that all kinds of completeness occur."""
+    names = " ".join(f"when {i} then '{s.slot}'" for i, s in enumerate(SLOT_BANK))
+    return _table(spark, sf_dir, "events").selectExpr(
+        "user_id * 10 + day(ts) % 10 as conversation_id",
+        f"case when event_type <> 'error' then case {_K} % 6 {names} end end as slot",
+    )
+
+
+SHIPPED_TEXT = (
+    "case (turn + conv_id) % 7 when 0 then '180 CM' when 1 then 'har aldrig ' || left(text, 5) "
+    "when 2 then 'Ingen medicin' when 3 then 'ingen ALLERGI' when 4 then 'motion' else left(text, 3) end"
+)
+
+
+def shipped_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patient messages in the language of the shipped topic rules."""
+    return _table(spark, sf_dir, "conversations").where("role = 'user'").selectExpr(
+        "conv_id as conversation_id", "turn as seq", "'patient' as role", f"{SHIPPED_TEXT} as content"
+    )

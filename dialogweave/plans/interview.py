@@ -15,8 +15,6 @@ from dialogweave.operators.documents import (
     summary_shape,
 )
 from dialogweave.operators.flow import expand_transcript, flow_answers, question_progress
-from dialogweave.fixed_values import COMPLETION_TEXT
-from dialogweave.model import SYSTEM
 from dialogweave.operators.responses import BatchResponder, respond_to_table
 from dialogweave.operators.ordered import PART_BYTES, PART_ROWS
 from dialogweave.plans.prompts import combine_prompts, summary_prompts
@@ -142,8 +140,7 @@ def run_interviews(
     messages_path = f"{folder}/messages"
     expand_transcript(inputs, questions, replies).write.mode("overwrite").parquet(messages_path)
     messages = spark.read.parquet(messages_path)
-    ended = messages.where((F.col("role") == SYSTEM) & (F.col("content") == COMPLETION_TEXT))
-    finished = ended.select("conversation_id").distinct()
+    finished = messages.where("ends").select("conversation_id").distinct()
     asked = messages.join(finished, "conversation_id", "left_semi")
     prompts = summary_prompts(asked, shape, part_rows=part_rows, part_bytes=part_bytes)
     outcome = _outcome(spark, prompts, shape, summarizer, folder)

@@ -10,13 +10,15 @@ from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialogweave.fixed_values import CONTEXT_TURNS, FRAME_MESSAGES, SLOT_BANK, Slot
-from dialogweave.model import CHAT_ENTRY
+from dialogweave.fixed_values import CONTEXT_TURNS, FRAME_MESSAGES, SLOT_BANK, TOPIC_RULES, Slot, TopicRule
+from dialogweave.functions.scalars import to_chat_role
+from dialogweave.model import ASSISTANT, CHAT_ENTRY, PATIENT
 from dialogweave.operators.answers import answered_so_far
 from dialogweave.operators.context import chat_context, collect_history, transcript_text
 from dialogweave.operators.flow import question_progress
-from dialogweave.operators.ordered import BLOCK_BITS, PART_BYTES, PART_ROWS
+from dialogweave.operators.ordered import BLOCK_BITS, PART_BYTES, PART_ROWS, blocks_of, list_parts, running_last
 from dialogweave.operators.slots import slots_before
+from dialogweave.operators.topics import keyword_hits, topic_turns
 
 WORDING = {
     "chat_system": "Answer the patient's side question briefly and calmly.",
@@ -80,8 +82,9 @@ def chat_prompts(
             request, "conversation_id", "seq", prompt.cast(CHAT_ENTRY).alias("messages")
         )
     asked = chat_context(messages, frame, turns, bits, keep=("input_seq",))
+    blocks = blocks_of(inputs, bits=bits)
     situation = answered_so_far(
-        question_progress(inputs, questions, bits), questions, bits=bits
+        question_progress(inputs, questions, blocks=blocks), questions, blocks=blocks
     ).select(
         "conversation_id",
         F.col("seq").alias("input_seq"),
@@ -229,3 +232,86 @@ def topic_prompts(
         "next_topic",
         F.concat(F.array(_entry("system", F.col("system"))), "history").cast(CHAT_ENTRY).alias("messages"),
     )
+
+
+def topic_turn_prompts(
+    messages: DataFrame,
+    rules: Sequence[TopicRule] = TOPIC_RULES,
+    wording: Optional[dict[str, str]] = None,
+    bits: int = BLOCK_BITS,
+) -> DataFrame:
+    """One prompt per patient message: the situation behind it, and a reference to the history.
+
+    (request_id, conversation_id, seq, topic_before, next_topic, system, first_seq, last_seq): the
+    system text names the topic open after the message and the answers kept until then, that of
+    the message included; the history is all patient and assistant messages from ``first_seq``
+    to ``last_seq``, which ``with_history`` fetches for the turns that are asked. So the table is
+    as long as the messages, not as the sum of all histories.
+    """
+    words = _words(wording)
+    patient = messages.where(F.col("role") == PATIENT).select("conversation_id", "seq", "content")
+    blocks = blocks_of(patient, bits=bits)
+    turns = topic_turns(patient, rules, bits)
+    hits = keyword_hits(F.col("content"), rules)
+    stored = F.coalesce(
+        *[
+            F.when((F.col("topic_before") == r.topic) & (F.getbit(F.col("hits"), F.lit(i)) == 1), F.struct(
+                F.lit(i).alias("i"), F.coalesce(F.lit(r.answer).cast("string"), F.col("content")).alias("a")))
+            for i, r in enumerate(rules)
+        ]
+    )
+    rows = patient.withColumn("hits", hits).join(turns, ["conversation_id", "seq"]).withColumn("kept", stored)
+    kept = {f"_k{i}": F.when(F.col("kept.i") == i, F.col("kept.a")) for i in range(len(rules))}
+    known = running_last(rows.drop("hits"), kept, blocks=blocks)
+    now = [F.coalesce(F.when(F.col("kept.i") == i, F.col("kept.a")), F.col(f"_k{i}")) for i in range(len(rules))]
+    pairs = F.array_sort(F.array_compact(F.array(*[
+        F.when(a.isNotNull(), F.struct(F.lit(r.topic).alias("t"), a.alias("a"))) for r, a in zip(rules, now)
+    ])))
+    topic = F.col("topic_after")
+    labels = F.create_map(*[F.lit(x) for r in rules for x in (r.topic, r.label)])
+    open_text = F.concat_ws(
+        "\n",
+        F.concat_ws(" ", F.lit(words["topic_current"]), F.try_element_at(labels, topic)),
+        F.concat_ws(" ", F.lit(words["topic_answers"]), F.to_json(F.map_from_entries(pairs))),
+    )
+    begun = messages.where(F.col("role").isin(PATIENT, ASSISTANT)).groupBy("conversation_id").agg(F.min("seq").alias("first_seq"))
+    return known.join(begun, "conversation_id").select(
+        F.concat_ws(":", "conversation_id", "seq").alias("request_id"),
+        "conversation_id",
+        "seq",
+        "topic_before",
+        topic.alias("next_topic"),
+        F.when(topic.isNull(), words["topic_closing"]).otherwise(open_text).alias("system"),
+        "first_seq",
+        F.col("seq").alias("last_seq"),
+    )
+
+
+def with_history(
+    turns: DataFrame, messages: DataFrame, bits: int = BLOCK_BITS, part_rows: int = PART_ROWS, part_bytes: int = PART_BYTES
+) -> DataFrame:
+    """The prompts of the given turns (see ``topic_turn_prompts``) with their histories.
+
+    Histories are shared parts; a turn gets those up to its ``last_seq``, one row per part, the
+    last one cut there. Every part has the system text.
+    """
+    parts = list_parts_of_history(messages, bits, part_rows, part_bytes)
+    joined = turns.join(parts, "conversation_id").where(F.col("_from") <= F.col("last_seq"))
+    seen = F.filter("history", lambda m: (m["seq"] >= F.col("first_seq")) & (m["seq"] <= F.col("last_seq")))
+    entries = F.transform(seen, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return joined.select(
+        "request_id", "conversation_id", "seq", "part", "next_topic",
+        F.concat(F.array(_entry("system", F.col("system"))), entries).cast(CHAT_ENTRY).alias("messages"),
+    )
+
+
+def list_parts_of_history(messages: DataFrame, bits: int, part_rows: int, part_bytes: int) -> DataFrame:
+    """(conversation_id, part, history, _from): the chat history with its ``seq``, in parts."""
+    history = messages.select("conversation_id", "seq", to_chat_role(F.col("role")).alias("role"), "content").where("role is not null")
+    placed = history.select("conversation_id", "seq", F.col("seq").alias("s"), "role", "content")
+    parts = list_parts(
+        placed.select("conversation_id", "seq", F.struct(F.col("s").alias("seq"), "role", "content").alias("m")),
+        ["m"], bits=bits, name="history", part_rows=part_rows, part_bytes=part_bytes,
+    )
+    flat = F.transform("history", lambda e: e["m"])
+    return parts.select("conversation_id", "part", flat.alias("history"), F.get(flat, F.lit(0))["seq"].alias("_from"))

@@ -46,11 +46,11 @@ def event_columns(field) -> list[Column]:
 def read_session_log(spark: SparkSession, path: str) -> DataFrame:
     """Session events of a directory of logs, in the line order of each file.
 
-    Files are read by splits, so a large log is never one row or one task. A line's ``seq``
-    is its split's start offset plus its number in the split: as a split holds fewer lines
-    than bytes, this is unique and ascending within the file without counting the lines
-    of earlier splits. Lines with a ``seq`` of their own keep it, so that a session may
-    be spread over files.
+    Files are read by splits, so a large log is never one row or one task. A line's ``seq`` is
+    its number in the file, from 0, blank lines included: its number in the split plus the
+    lines of the splits before, which a first pass counts. So it has no gaps and is the same
+    however the file is split. Lines with a ``seq`` of their own keep it, so that a session
+    may be spread over files.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -59,7 +59,13 @@ def read_session_log(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_read"),
     )
     in_split = Window.partitionBy("_file", "_start").orderBy("_read")
-    numbered = lines.withColumn(
-        "seq", (F.col("_start") + F.row_number().over(in_split) - 1).cast("bigint")
-    ).where(py_strip(F.col("value")) != "")
+    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_lines"))
+    before = counts.select("_file", "_start", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    numbered = (
+        lines.withColumn("_in_split", F.row_number().over(in_split))
+        .join(before, ["_file", "_start"])
+        .withColumn("seq", (F.col("_before") + F.col("_in_split") - 1).cast("bigint"))
+        .where(py_strip(F.col("value")) != "")
+    )
     return parse_log_lines(numbered.select("seq", "value", F.col("_file").alias("source")))

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dialogweave.operators.sessions import finished_snapshots
+from dialogweave.sources.keyed import write_keyed
 
 
 def append_messages(messages: DataFrame, path: str) -> None:
@@ -74,13 +75,17 @@ def snapshot_documents(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def write_session_snapshot(snapshots: DataFrame, path: str) -> None:
-    snapshot_documents(snapshots).write.mode("append").json(path)
+def write_session_snapshot(snapshots: DataFrame, path: str) -> bool:
+    """One document per finished session, keyed by session (see ``keyed.write_keyed``): a re-run
+    changes nothing, and a session that is not among the snapshots keeps its document."""
+    return write_keyed(snapshot_documents(snapshots), path, ["sessionId"])
 
 
-def write_summaries(summaries: DataFrame, path: str) -> None:
-    """Summary documents keyed by conversation; a new run replaces the old documents."""
-    summaries.write.mode("overwrite").json(path)
+def write_summaries(summaries: DataFrame, path: str) -> bool:
+    """Summary documents keyed by conversation, and part where there are parts. A new document
+    replaces the conversation's old one, others stay."""
+    keys = [c for c in ("conversation_id", "part") if c in summaries.columns]
+    return write_keyed(summaries, path, keys)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

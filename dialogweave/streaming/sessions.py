@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from typing import Iterator
+from typing import Iterator, Optional
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -36,79 +35,130 @@ def stream_session_log(spark: SparkSession, path: str, files_per_batch: int = 10
     return lines.select("seq", *event_columns(F.col)).select(*SESSION_EVENT_COLUMNS, "corrupt")
 
 
+#: By how much event time an event may come late (see ``stream_sessions``).
+KEEP = "7 days"
+
+
 class _SessionReplay(StatefulProcessor):
-    """One state value per session, read and written once per micro-batch.
+    """The state of a session, one entry per question and per answer; a micro-batch writes the
+    entries that its events change and no others.
 
     The state does not depend on the order of arrival: per question the first showing and
     all answers by ``seq``, and the first terminal event, behind which nothing counts. All
-    answers are kept, as an end that arrives late may lie before some of them.
+    answers are kept, as an end that arrives late may lie before some of them, until the
+    watermark has passed the end: a timer then clears the session. What comes for it later is
+    behind the watermark too and does not reach the state.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState(
-            "session",
-            "last_seq bigint, end_seq bigint, status string, reason string, ended timestamp, "
-            "shown string, answers string, version bigint",
+        self._handle = handle
+        self._session = handle.getValueState(
+            "session", "last_seq bigint, end_seq bigint, status string, reason string, ended timestamp, version bigint"
         )
+        self._shown = handle.getMapState("shown", "question_id string", "seq bigint, text string")
+        self._answers = handle.getMapState("answers", "question_id string, seq bigint", "text string")
+        self._latest = handle.getMapState("latest", "question_id string", "seq bigint, text string")
+
+    def _show(self, question: str, seq: int, text: Optional[str]) -> bool:
+        first = self._shown.getValue((question,)) if self._shown.containsKey((question,)) else None
+        if first is not None and first[0] <= seq:
+            return False
+        self._shown.updateValue((question,), (seq, text))
+        return True
+
+    def _answer(self, question: str, seq: int, text: Optional[str]) -> bool:
+        if self._answers.containsKey((question, seq)):
+            return False
+        self._answers.updateValue((question, seq), (text,))
+        latest = self._latest.getValue((question,)) if self._latest.containsKey((question,)) else None
+        if latest is None or latest[0] < seq:
+            self._latest.updateValue((question,), (seq, text))
+        return True
+
+    def _cut(self, end: int) -> None:
+        """Takes back what lies behind the end; only an end that arrives late has to."""
+        for key, first in list(self._shown.iterator()):
+            if first[0] >= end:
+                self._shown.removeKey(tuple(key))
+        if all(value[0] < end for _, value in self._latest.iterator()):
+            return
+        left: dict[str, tuple] = {}
+        for key, value in list(self._answers.iterator()):
+            if key[1] >= end:
+                self._answers.removeKey(tuple(key))
+            elif key[0] not in left or left[key[0]][0] < key[1]:
+                left[key[0]] = (key[1], value[0])
+        for key, _ in list(self._latest.iterator()):
+            if key[0] in left:
+                self._latest.updateValue(tuple(key), left[key[0]])
+            else:
+                self._latest.removeKey(tuple(key))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        stored = self._state.get()
-        before = tuple(stored) if stored else (None, None, "open", None, None, "{}", "{}", 0)
-        last, end, status, reason, ended = before[:5]
-        shown, answers = json.loads(before[5]), json.loads(before[6])
+        stored = self._session.get()
+        last, end, status, reason, ended, version = tuple(stored) if stored else (None, None, "open", None, None, 0)
+        before, changed = last, stored is None
         for row in rows:
             last = row.seq if last is None else max(last, row.seq)
             if end is not None and row.seq >= end:
                 continue
             if row.type in TERMINAL:
+                if row.at is not None:
+                    self._handle.registerTimer(row.at + 1)
                 end, status, reason = row.seq, row.type.removeprefix("session_"), row.reason
                 ended = row.ts if status == "finished" else None
+                self._cut(end)
+                changed = True
             elif row.question_id is None:
                 continue
             elif row.type == "standard_question_shown":
-                if row.question_id not in shown or row.seq < shown[row.question_id][0]:
-                    shown[row.question_id] = [row.seq, row.text]
+                changed |= self._show(row.question_id, row.seq, row.text)
             elif row.type == "standard_answer_given":
-                answers.setdefault(row.question_id, {})[str(row.seq)] = row.text
-        if end is not None:
-            shown = {q: first for q, first in shown.items() if first[0] < end}
-            answers = {q: {s: t for s, t in given.items() if int(s) < end} for q, given in answers.items()}
-            answers = {q: given for q, given in answers.items() if given}
-        texts = [json.dumps(d, sort_keys=True) for d in (shown, answers)]
-        if (last, end, *texts) == (before[0], before[1], *before[5:7]):
+                changed |= self._answer(row.question_id, row.seq, row.text)
+        if not changed and last == before:
             return
-        version = before[7] + 1
-        self._state.update((last, end, status, reason, ended, *texts, version))
+        version += 1
+        self._session.update((last, end, status, reason, ended, version))
+        shown = sorted(((first[0], question[0], first[1]) for question, first in self._shown.iterator()))
         yield Row(
             session_id=key[0],
             status=status,
             reason=reason,
             created_at=ended,
-            questions=[Row(id=q, text=t) for q, (_, t) in sorted(shown.items(), key=lambda e: e[1][0])],
-            answers=[Row(question_id=q, answer=given[max(given, key=int)]) for q, given in sorted(answers.items())],
+            questions=[Row(id=question, text=text) for _, question, text in shown],
+            answers=[Row(question_id=q[0], answer=a[1]) for q, a in sorted(self._latest.iterator(), key=lambda e: e[0][0])],
             last_seq=last,
             version=version,
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        for state in (self._session, self._shown, self._answers, self._latest):
+            state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def stream_sessions(events: DataFrame) -> DataFrame:
+def stream_sessions(events: DataFrame, keep: str = KEEP) -> DataFrame:
     """Snapshots per session, one row whenever a micro-batch brings new events for it.
 
     Each row replaces the session's earlier ones; the highest ``version`` is current. The
     order in which events arrive does not matter, and a repeated event changes nothing.
     Events without session or ``seq`` are left out (see ``unplaced``).
+
+    Event time ends the state: ``keep`` behind the latest event seen, an ended session is cleared,
+    and events older than that are left out. It has to cover how far apart in time the events
+    of one micro-batch and the next may lie. Events without time are never late.
     """
     use_state_store(events.sparkSession)
     narrow = placed(events, "session_id").select(
         F.col("session_id").cast("string").alias("session_id"),
-        "seq", "ts", "type", "question_id", "text", "reason",
-    )
+        "seq", "ts", F.unix_millis("ts").alias("at"), "type", "question_id", "text", "reason",
+    ).withWatermark("ts", keep)
     return narrow.groupBy("session_id").transformWithState(
         statefulProcessor=_SessionReplay(),
         outputStructType=SNAPSHOT_SCHEMA,
         outputMode="Update",
-        timeMode="None",
+        timeMode="EventTime",
     )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialogweave.operators import sessions
-from dialogweave.sources import flows, logs, sinks
+from dialogweave.sources import flows, keyed, logs, sinks
 
 
 def write(path, name, text):
@@ -95,7 +95,8 @@ def test_logs_to_snapshots(spark, tmp_path, split):
         assert [(q.id, q.text) for q in snaps["s1"].questions] == [("q1", "Hvor gammel er du?"), ("q2", "Ryger du?")]
         out = str(tmp_path / "snapshots")
         sinks.write_session_snapshot(sessions.replay_session(events), out)
-        stored = [json.loads(r.value) for r in spark.read.text(out).collect()]
+        assert not sinks.write_session_snapshot(sessions.replay_session(events), out)
+        stored = [json.loads(r.value) for r in keyed.read_lines(spark, out).collect()]
         assert [d["sessionId"] for d in stored] == ["s1"]
         assert stored[0]["answers"] == {"q1": "", "q2": "/next"}
         assert stored[0]["ollama"] == {"model": "m1", "url": "u1"}
@@ -134,7 +135,7 @@ def test_summaries_keep_non_ascii_and_are_replaced(spark, tmp_path):
     for text in ("gammel", "blåbær"):
         df = spark.createDataFrame([("c1", text)], "conversation_id string, notes string")
         sinks.write_summaries(df, out)
-    assert [r.value for r in spark.read.text(out).collect()] == ['{"conversation_id":"c1","notes":"blåbær"}']
+    assert [r.value for r in keyed.read_lines(spark, out).collect()] == ['{"conversation_id":"c1","notes":"blåbær"}']
 
 
 def test_banks(spark):

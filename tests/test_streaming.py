@@ -108,7 +108,7 @@ def test_stream_sessions(spark, tmp_path, cuts, backwards):
                      rnd.choice(["", "ja", "blåbær"]) if std else None,
                      "user_quit" if kind == "session_aborted" else None))
     schema = "session_id string, seq bigint, type string, question_id string, text string, reason string"
-    events = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("seq")))
+    events = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
     for name in ("chat_role", "chat_content", "command", "ctx_question_id", "ctx_phase", "meta"):
         events = events.withColumn(name, F.lit(None).cast("string"))
     folder = str(tmp_path / "log")
@@ -156,3 +156,38 @@ def test_late_inputs_are_errors_and_replays_are_not(spark, tmp_path):
     rows = drain(spark, interview.stream_interview(stream, FLOWS[0]), "append", folder).collect()
     assert [(r.role, r.content, r.input_seq) for r in rows if r.error == interview.LATE] == [(None, "b", 2)]
     assert [r.content for r in rows if r.role == "patient"] == ["a"]
+
+
+def _session_events(spark, rows):
+    events = spark.createDataFrame(
+        rows, "session_id string, seq bigint, type string, question_id string, text string, reason string"
+    ).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
+    for name in ("chat_role", "chat_content", "command", "ctx_question_id", "ctx_phase", "meta"):
+        events = events.withColumn(name, F.lit(None).cast("string"))
+    return events
+
+
+def test_ended_sessions_leave_the_state(spark, tmp_path):
+    shown, given, ended = "standard_question_shown", "standard_answer_given", "session_finished"
+    day = 86_400
+    waves = [
+        [("a", 1, shown, "q", "Q?", None), ("a", 2, given, "q", "x" * 50, None), ("a", 3, ended, None, None, None), ("b", 1, shown, "q", "Q?", None)],
+        [("b", 10 * day, given, "q", "one", None)],
+        # What is repeated of an ended session does not open it again.
+        [("a", 2, given, "q", "again", None), ("b", 20 * day, given, "q", "two", None)],
+    ]
+    folder = str(tmp_path / "log")
+    for wave in waves:
+        sinks.append_session_log(_session_events(spark, wave).coalesce(1), folder)
+    checkpoint = str(tmp_path / "state")
+    stream = stream_sessions.stream_sessions(stream_sessions.stream_session_log(spark, folder, 1), keep="1 day")
+    out = drain(spark, stream, "update", checkpoint).orderBy("session_id", "version").collect()
+    assert [(r.session_id, r.status, r.version) for r in out] == [("a", "finished", 1), ("b", "open", 1), ("b", "open", 2), ("b", "open", 3)]
+    assert out[-1].answers[0].answer == "two"
+
+    def left(name):
+        return spark.read.format("statestore").option("stateVarName", name).load(f"{checkpoint}/ck")
+
+    assert [r.key.session_id for r in left("session").collect()] == ["b"]
+    assert {r.key.session_id for r in left("answers").collect()} == {"b"}
+    assert {r.key.session_id for r in left("shown").collect()} == {"b"}
