@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialogweave.llm.common import written
 from dialogweave.llm.textkit import MARKS, U, between, flat, lower, mix, prefix_hashes, slices, word_spans
 
 MAX_LABELLED = 5_000
@@ -185,29 +186,97 @@ def train(
     """The chain for these categories (name to condition on ``labels``).
 
     It is fitted on at most ``max_labelled`` labels, the least by a hash of the id; labels that
-    are NULL or repeat an id with other values are left out. All different texts of these ids
-    are used, each once, and come to the driver as word hashes. A model has at most
-    ``max_words`` features (a word may be nine), those with the most evidence. Without labels
-    every category has probability 0."""
+    are NULL or repeat an id with other values are left out. The different texts of these ids
+    are used, each once, and at most twice ``max_labelled`` in all, again the least by a hash.
+    A model has at most ``max_words`` features (a word may be nine), those with the most
+    evidence. Without labels every category has probability 0.
+
+    Evidence is counted in Spark, per word and fold; what comes to the driver of a text is
+    which of the telling words it has, some hundred at most."""
     names = [f"is_{i}" for i in range(len(categories))]
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), *(c.cast("int").alias(n) for c, n in zip(categories.values(), names, strict=True)))
-    known = known.dropna().distinct().orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    known = known.dropna().groupBy("label_id").agg(*(F.min(n).alias(n) for n in names), *(F.max(n).alias(f"max_{n}") for n in names))
+    known = known.where(" and ".join(f"{n} = max_{n}" for n in names) or "true").select("label_id", *names)
+    known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn(
+        "digest", F.coalesce(F.md5("text"), F.lit(""))
+    )
     # At most max_labelled narrow rows are broadcast.
-    rows = rows.join(F.broadcast(known), F.col("id") == F.col("label_id")).withColumn("digest", F.md5("text"))
-    sample = _words_of(rows.dropDuplicates(["id", "digest", *names]), ["id", *names])
-    found = sorted(sample.collect(), key=lambda r: (r["id"], r["words"]))
-    changed = {}
-    for r in found:
-        changed.setdefault(r["id"], set()).add(tuple(r[n] for n in names))
-    found = [r for r in found if len(changed[r["id"]]) == 1]
+    labelled = rows.join(F.broadcast(known), F.col("id") == F.col("label_id"))
+    keys = labelled.select("id", "digest", *names).distinct().orderBy(F.xxhash64("id", "digest"), "id", "digest").limit(2 * max_labelled)
+    in_order = F.row_number().over(Window.orderBy("id", "digest"))
+    keys = written(keys.withColumn("row", in_order).withColumn("fold", (F.col("row") - 1) % FOLDS), "labelled")
+    # So are these, twice as many.
+    sample = rows.join(F.broadcast(keys), ["id", "digest"]).dropDuplicates(["row"])
+    sample = written(_words_of(sample, ["row", "fold", *names]), "label-words")
+    telling = np.sort(np.array([r["w"] for r in _telling(sample, keys, names, max_words).collect()], np.int64).view(U))
+    found = sorted(_only(sample, telling, ["row", *names]).collect(), key=lambda r: r["row"])
     targets = [np.array([r[n] for r in found], int) for n in names]
     each = [np.frombuffer(r["words"], U) for r in found]
     owner = np.repeat(np.arange(len(each), dtype=np.int32), [len(w) for w in each])
-    words = np.concatenate(each) if each else np.zeros(0, U)
-    del found, each
-    held = _frequent(words)
-    return fit_chain(words[held], owner[held], targets, max_words=max_words)
+    return fit_chain(np.concatenate(each) if each else np.zeros(0, U), owner, targets, max_words=max_words)
+
+
+def _telling(sample: DataFrame, keys: DataFrame, names: Sequence[str], max_words: int) -> DataFrame:
+    """(w): the words with enough evidence for some model, those of all rows and those without
+    one fold; of each model twice as many at most as it may have, so that rounding cannot
+    exclude any that it would choose."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold = np.asarray(batch.column("fold"))
+            for k in range(FOLDS):
+                mine = np.flatnonzero(fold == k)
+                each = [np.frombuffer(batch.column("words")[i].as_py(), U) for i in mine]
+                if not any(map(len, each)):
+                    continue
+                words, number = np.unique(np.concatenate(each), return_inverse=True)
+                owner = np.repeat(mine, [len(w) for w in each])
+                hits = [np.bincount(number, weights=np.asarray(batch.column(n))[owner], minlength=len(words)) for n in names]
+                columns = [words.view(np.int64), np.full(len(words), k), np.bincount(number), *(h.astype(np.int64) for h in hits)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["w", "fold", "n", *names])
+
+    counted = sample.mapInArrow(count, "w long, fold long, n long, " + ", ".join(f"{n} long" for n in names))
+    per_fold = [
+        F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).cast("double").alias(f"{c}_{k}")
+        for k in range(FOLDS) for c in ("n", *names)
+    ]
+    words = counted.groupBy("w").agg(*per_fold).where(" + ".join(f"n_{k}" for k in range(FOLDS)) + " >= 3")
+    totals = {r["fold"]: r for r in keys.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(n).alias(n) for n in names)).collect()}
+    models = []
+    for c in names:
+        for left_out in (*range(FOLDS), None):
+            folds = [k for k in range(FOLDS) if k != left_out]
+            n, t = (float(sum(totals[k][x] for k in folds if k in totals)) for x in ("n", c))
+            if t in (0.0, n):
+                continue
+            having, hits = (sum((F.col(f"{x}_{k}") for k in folds), F.lit(0.0)) for x in ("n", c))
+            expected = having * (t / n)
+            spread = expected * (1 - t / n) * (1 - having / n)
+            chi = F.when((spread > 0) & (having >= 3), (hits - expected) ** 2 / spread)
+            models.append(F.when(chi >= EVIDENCE * (1 - 1e-9), F.struct(F.lit(len(models)).alias("m"), chi.alias("chi"))))
+    if not models:
+        return words.select("w").limit(0)
+    strongest = Window.partitionBy("m").orderBy(F.col("chi").desc(), "w")
+    return (
+        words.select("w", F.explode(F.array_compact(F.array(*models))).alias("e")).select("w", "e.*")
+        .withColumn("rank", F.row_number().over(strongest)).where(F.col("rank") <= 2 * max_words).select("w").distinct()
+    )
+
+
+def _only(sample: DataFrame, telling: np.ndarray, keep: Sequence[str]) -> DataFrame:
+    """The kept columns and which of the sorted telling words each text has."""
+    kinds = dict(sample.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for value in batch.column("words"):
+                words = np.frombuffer(value.as_py(), U)
+                at = np.minimum(np.searchsorted(telling, words), max(len(telling) - 1, 0))
+                packed.append((words[telling[at] == words] if len(telling) else words[:0]).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(packed, pa.binary())], names=[*keep, "words"])
+
+    return sample.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", words binary")
 
 
 def _frequent(words: np.ndarray) -> np.ndarray:
@@ -256,17 +325,19 @@ def rejected_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.
     return toxicity_scores(docs, labels, threshold, **options).where("toxic")
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+def keep_clean(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **options
+) -> DataFrame:
     """docs without those that the chain rejects, all columns kept; no shuffle.
 
     Rows with NULL id or text are judged by their text like all others."""
     categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
-    model = train(docs, labels, categories, **options)
+    model = train(docs, labels, categories, text_col=text_col, **options)
     names, kinds = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(names.index("text")))
+            data, offsets = flat(batch.column(names.index(text_col)))
             keep = np.ones(batch.num_rows, bool)
             for first, last in slices(offsets):
                 at = offsets[first : last + 1]

@@ -35,3 +35,34 @@ def test_words_of_fewer_than_three_texts_are_left_out():
     words = np.array([9, 4, 9, 7, 4, 9, 7, 7, 1], np.uint64)
     assert words[toxicity._frequent(words)].tolist() == [9, 9, 7, 9, 7, 7]
     assert toxicity._frequent(words[:0]).tolist() == [] and not toxicity._frequent(words[:2]).any()
+
+
+def test_words_chosen_in_spark_change_no_model(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows, marks = [], []
+    for i in range(400):
+        bad, poor = i % 5 == 0, i % 3 == 0
+        words = list(r.choice(vocabulary, 30)) + (["vile", "rotten"] * 2 if bad else []) + (["spam"] if poor or bad else [])
+        rows.append((i, " ".join(words)))
+        marks.append((i, 0 if poor else 1, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    categories = {"low": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    chosen = toxicity.train(docs, labels, categories, max_words=40)
+    # The same fit over all words, as nothing is left out beforehand.
+    everything = np.unique(np.concatenate([np.frombuffer(x.words, np.uint64) for x in toxicity._words_of(docs, ["doc_id"]).collect()]))
+    monkeypatch.setattr(toxicity, "_telling", lambda *_: spark.createDataFrame([(int(w),) for w in everything.view(np.int64)], "w long"))
+    whole = toxicity.train(docs, labels, categories, max_words=40)
+    for a, b in zip(chosen, whole, strict=True):
+        assert len(a.words) and a.words.tolist() == b.words.tolist() and np.allclose(a.weights, b.weights) and np.isclose(a.bias, b.bias)
+    scores = {x.doc_id: x for x in toxicity.scored(docs, chosen, list(categories)).collect()}
+    for i, text in rows[::40]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        words, _ = toxicity.text_features(data, np.array([0, len(data)]))
+        before = []
+        for model, p in zip(chosen, (scores[i].p_low, scores[i].p_toxic)):
+            z = sum(w for f, w in zip(model.words, model.weights) if f in set(words.tolist())) + sum(w * x for w, x in zip(model.earlier, before)) + model.bias
+            want = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            assert np.isclose(p, want)
+            before.append(np.log(np.clip(want, 1e-4, 1 - 1e-4) / (1 - np.clip(want, 1e-4, 1 - 1e-4))))
