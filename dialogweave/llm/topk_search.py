@@ -3,7 +3,8 @@
 Every vector carries its distances to a few pivots. For a query q and a vector x,
 |d(q,p) - d(x,p)| bounds d(q,x) from below for every pivot p; the greatest of these bounds
 bounds the inner product (|q|^2 + |x|^2 - d^2) / 2 from above. Candidates are evaluated in
-order of this bound until the k-th best score found exceeds all bounds that are left.
+order of this bound, the likeliest first and then all whose bound reaches the k-th best score
+found, a block of queries at a time as one matrix product.
 
 Queries and vectors are cut into blocks; a task handles one block of queries against one group
 of vectors and returns at most k rows a query, so nothing is gathered whole.
@@ -18,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 512
-VECTOR_BLOCK = 16384
+QUERY_BLOCK = 4096
+VECTOR_BLOCK = 8192
+#: Queries whose bounds are computed in one go.
+TOGETHER = 64
 EXACT = float(1 << 52)
 
 
@@ -48,57 +51,66 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _scores(query: np.ndarray, vectors: np.ndarray, small: bool) -> np.ndarray:
-    """Exact integer inner products; in floating point only where that is exact."""
-    return (vectors.astype(float) @ query.astype(float)).astype(np.int64) if small else vectors @ query
-
-
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def _bounds(points: np.ndarray, far: np.ndarray, norms: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of points and vectors, from their distances to the
+    pivots. Rounding may only raise a bound, so that nothing is left out by it."""
+    apart = np.zeros((len(points), len(norms)))
+    for p in range(near.shape[1]):
+        np.maximum(apart, np.abs(far[:, p, None] - near[None, :, p]), out=apart)
+    above = (points * points).sum(axis=1)[:, None] + norms[None, :]
+    return (above - apart * apart) / 2 + 1e-6 * (above + 1)
+
+
 def _top(k: int, pivots: np.ndarray):
     width = pivots.shape[1]
 
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        first_found: list[tuple] = []
+        done: list[tuple] = []
         if queries.num_rows and vectors.num_rows:
             qs, xs = _matrix(queries.column("q"), width), _matrix(vectors.column("q"), width)
-            names = vectors.column("id").to_numpy()
+            ids, names = queries.column("id").to_numpy(), vectors.column("id").to_numpy()
             largest = float(max(np.abs(qs).max(initial=0), np.abs(xs).max(initial=0)))
+            # Integer inner products; in floating point only where that is exact.
             small = largest * largest * width < EXACT
             floats = xs.astype(float)
             norms = (floats * floats).sum(axis=1)
             near = _distances(floats, pivots)
-            for name, query in zip(queries.column("id").to_numpy(), qs, strict=True):
-                point = query.astype(float)
-                bound = np.abs(near - _distances(point[None, :], pivots)).max(axis=1)
-                # Rounding may only raise a bound, so that nothing is left out by it.
-                above = point @ point + norms
-                bound = (above - bound * bound) / 2 + 1e-6 * (above + 1)
-                own = names == name
-                bound[own] = -np.inf
-                found_at = np.zeros(0, np.int64)
-                found = np.zeros(0, np.int64)
-                left = np.flatnonzero(~own)
-                step = 4 * k
-                while len(left):
-                    if len(left) > step:
-                        split = np.argpartition(-bound[left], step)
-                        now, left = left[split[:step]], left[split[step:]]
-                    else:
-                        now, left = left, left[:0]
-                    found_at = np.concatenate([found_at, now])
-                    found = np.concatenate([found, _scores(query, xs[now], small)])
-                    keep = _best(found, names[found_at], k)
-                    found_at, found = found_at[keep], found[keep]
-                    if len(found) == k:
-                        left = left[bound[left] >= found[-1]]
-                    step *= 4
-                out[0].append(np.full(len(found), name))
-                out[1].append(names[found_at])
-                out[2].append(found)
-        columns = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out]
+            for first in range(0, len(qs), TOGETHER):
+                some = slice(first, first + TOGETHER)
+                points = qs[some].astype(float)
+                bound = _bounds(points, _distances(points, pivots), norms, near)
+                bound[ids[some][:, None] == names[None, :]] = -np.inf
+                now = min(4 * k, len(names))
+                likely = np.argpartition(-bound, now - 1, axis=1)[:, :now]
+                # The likeliest first: their k-th score is what the others' bounds have to reach.
+                for i, query in enumerate(qs[some]):
+                    open_ = likely[i][bound[i, likely[i]] > -np.inf]
+                    scores = (floats[open_] @ points[i]).astype(np.int64) if small else xs[open_] @ query
+                    keep = _best(scores, names[open_], k)
+                    first_found.append((ids[first + i], open_[keep], scores[keep]))
+                    bound[i, open_] = -np.inf
+                    if len(keep) == k:
+                        bound[i, bound[i] < scores[keep][-1]] = -np.inf
+                left = bound > -np.inf
+                columns = np.flatnonzero(left.any(axis=0))
+                product = points @ floats[columns].T if small and len(columns) else None
+                for i, query in enumerate(qs[some]):
+                    name, at, found = first_found.pop(0)
+                    more = np.flatnonzero(left[i, columns])
+                    if len(more):
+                        scores = product[i, more].astype(np.int64) if small else xs[columns[more]] @ query
+                        if len(found) == k:
+                            more, scores = more[scores >= found[-1]], scores[scores >= found[-1]]
+                        at, found = np.concatenate([at, columns[more]]), np.concatenate([found, scores])
+                        keep = _best(found, names[at], k)
+                        at, found = at[keep], found[keep]
+                    done.append((np.full(len(at), name), names[at], found))
+        columns = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*done)] or [pa.array([], pa.int64())] * 3
         return pa.table(columns, names=["query_id", "vec_id", "score"])
 
     return run
