@@ -23,6 +23,11 @@ from pyspark.sql import DataFrame
 _MARK = "▁"
 
 
+#: Bytes a generation of the memo may hold, and the longest word it keeps.
+MEMO_BYTES = 64 << 20
+MEMO_WORD = 64
+
+
 class PieceCodec:
     """Encoder and decoder over the vocabulary of a merge-type model file.
 
@@ -189,17 +194,29 @@ class PieceCodec:
 
 
 class _Words(dict):
-    """Joined ids and decoded text of words, computed when first asked for."""
+    """Joined ids and decoded text of words, computed when first asked for.
+
+    Two generations of at most ``most`` words and ``MEMO_BYTES`` each: when the younger is full
+    it becomes the older, whose words come back when they are asked for. Words longer than
+    ``MEMO_WORD`` (text without blanks is one word) are not kept.
+    """
 
     def __init__(self, codec: PieceCodec, most: int):
         super().__init__()
-        self.codec, self.most = codec, most
+        self.codec, self.most, self.older, self.size = codec, most, {}, 0
 
     def __missing__(self, word: str) -> tuple[str, str]:
-        ids = self.codec._ids_of(word)
-        if len(self) >= self.most:
+        kept = self.older.pop(word, None)
+        if kept is None:
+            ids = self.codec._ids_of(word)
+            kept = (",".join(map(str, ids)), self.codec.decode_inner(ids))
+        if len(word) > MEMO_WORD:
+            return kept
+        if len(self) >= self.most or self.size >= MEMO_BYTES:
+            self.older, self.size = dict(self), 0
             self.clear()
-        kept = self[word] = (",".join(map(str, ids)), self.codec.decode_inner(ids))
+        self[word] = kept
+        self.size += 300 + len(kept[0]) + 4 * len(word)
         return kept
 
 

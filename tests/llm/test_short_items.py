@@ -19,3 +19,19 @@ def test_query_equals_sql_on_short_items(spark, tmp_path):
     assert got == sorted(con.execute(OP2).fetchall()) and got
     left = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(DOCS, "doc_id long, text string"), str(tmp_path))
     assert sorted(r.doc_id for r in left.collect()) == [1, 3, 4]
+
+
+def test_the_memo_is_bounded_by_bytes_and_word_length(monkeypatch):
+    from dialogweave.llm import sentencepiece_codec as spc
+    from dialogweave.llm.queries import tokenizer
+
+    monkeypatch.setattr(spc, "MEMO_BYTES", 20_000)
+    codec = spc.PieceCodec(tokenizer("piece_bpe_32k.model"))
+    lib = __import__("sentencepiece").SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    for i in range(400):
+        text = f"word{i} again{i % 7} " + "日本語" * 40
+        assert codec.encode(text) == lib.encode(text)
+        joined, back = codec.encode_joined(text)
+        assert joined == ",".join(map(str, lib.encode(text))) and back == lib.decode(lib.encode(text))
+    assert len(codec.whole) + len(codec.whole.older) <= 140
+    assert all(len(w) <= spc.MEMO_WORD for w in [*codec.whole, *codec.whole.older])
