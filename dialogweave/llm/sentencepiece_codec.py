@@ -24,7 +24,7 @@ _MARK = "▁"
 
 
 #: Bytes a generation of the memo may hold, and the longest word it keeps.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 24 << 20
 MEMO_WORD = 64
 
 
@@ -106,7 +106,7 @@ class PieceCodec:
         pair = (left, right)
         known = self.compatible.get(pair)
         if known is None:
-            if len(self.compatible) >= 300_000:
+            if len(self.compatible) >= 150_000:
                 self.compatible.clear()
             known = self.compatible[pair] = self._merged(left + right) == [left, right][: 1 + bool(right)]
         return known

@@ -345,5 +345,6 @@ def keep_clean(
                 owner = np.repeat(np.arange(last - first), np.diff(to))
                 keep[first:last] = chain_probabilities(model, words, owner, last - first)[-1] < threshold
             yield batch.filter(pa.array(keep))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, kinds)
