@@ -9,6 +9,8 @@ shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,22 +26,26 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Element i: all values up to i merged. Doubles the reach of every element in each step, so
+    n values take n log n merges and no growing array is copied."""
+    steps = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1))
+    steps = F.transform(F.coalesce(steps, F.array().cast("array<int>")), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.reduce(
+        steps,
+        values,
+        lambda reached, step: F.transform(reached, lambda x, i: F.when(i >= step, merge(x, F.get(reached, i - step))).otherwise(x)),
+    )
+
+
 def _places(norm: Column, pattern: Column) -> Column:
     """Word intervals [start, end) of the matches: every word of ``norm`` follows a space, so
     spaces in what lies between matches and in matches count words."""
     between = F.split(norm, pattern, -1)
-    found = F.regexp_extract_all(norm, pattern, F.lit(0))
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.struct(_spaces(a).alias("gap"), _spaces(b).alias("words")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["words"]).alias("at"),
-            F.concat(s["found"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["words"]).alias("end")))).alias("found"),
-        ),
-    )
-    return walked["found"]
+    found = F.transform(F.regexp_extract_all(norm, pattern, F.lit(0)), _spaces)
+    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: _spaces(a) + b)
+    ends = _running(steps, lambda x, y: x + y)
+    return F.zip_with(ends, found, lambda end, words: F.struct((end - words).alias("start"), end.alias("end")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,8 +81,20 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")),
     )))
     rows = rows.withColumns({"base": F.when(F.col("norm").isNotNull(), placed), "all": F.when(F.col("norm").isNotNull(), detected)})
-    kept = F.filter(F.col("all"), lambda d: ~F.exists(F.col("all"), lambda e: _suppresses(e, d)))
-    rows = rows.withColumn("detections", F.coalesce(kept, F.array().cast(_DETECTIONS)))
+    rows = rows.withColumn("all", F.array_sort(F.transform("all", _placed)))
+    rows = rows.withColumn("ends", F.transform(
+        F.array_distinct(F.col("all")["outranked"]),
+        lambda p: F.struct(p.alias("outranked"), _running(
+            F.transform("all", lambda d: F.when(d["outranked"] <= p, d["end"]).otherwise(-1)), F.greatest
+        ).alias("before")),
+    ))
+    kept = F.flatten(F.transform("ends", lambda e: F.filter("all", lambda d, i: (d["outranked"] == e["outranked"]) & (
+        (i == 0) | (F.get(e["before"], i - 1) < d["end"])
+    ))))
+    named = F.transform(F.array_sort(kept), lambda d: F.struct(
+        d["start"].alias("start"), d["end"].alias("end"), (-d["outranked"]).alias("priority"), d["rule"].alias("rule"), d["label"].alias("label")
+    ))
+    rows = rows.withColumn("detections", F.coalesce(named, F.array().cast(_DETECTIONS)))
     starts = F.flatten(F.transform(F.coalesce("base", F.array().cast("array<struct<label:string,places:array<struct<start:int,end:int>>>>")), lambda b: b["places"]["start"]))
     rows = rows.withColumn("starts", starts)
     own = F.coalesce(F.col("base")["label"], F.array().cast("array<string>"))
@@ -97,12 +115,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 _DETECTIONS = "array<struct<start:int,end:int,priority:int,rule:int,label:string>>"
 
 
-def _suppresses(e: Column, d: Column) -> Column:
-    """Whether detection d lies within e and has to give way."""
-    inside = (e["start"] <= d["start"]) & (e["end"] >= d["end"])
-    longer = (e["end"] - e["start"]) > (d["end"] - d["start"])
-    same = (e["end"] - e["start"]) == (d["end"] - d["start"])
-    wins = (e["priority"] > d["priority"]) | (
-        (e["priority"] == d["priority"]) & (longer | (same & (e["rule"] < d["rule"])))
+def _placed(d: Column) -> Column:
+    """A detection so that those which contain another, and win where they stand alike, sort
+    before it: by start, longest first, then by priority and rule."""
+    return F.struct(
+        d["start"].alias("start"), (d["start"] - d["end"]).alias("shortness"), (-d["priority"]).alias("outranked"), d["rule"].alias("rule"),
+        d["end"].alias("end"), d["label"].alias("label"),
     )
-    return inside & wins
