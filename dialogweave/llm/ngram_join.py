@@ -95,6 +95,22 @@ class Signatures:
     def __init__(self, levels: bytes, rare: int, frequent: int, percent: int):
         self.levels = np.frombuffer(levels, np.uint8)
         self.rare, self.frequent, self.percent = rare, frequent, percent
+        self.plain = {
+            band for n in range(1, 16) if self._largest(n) > n for band in self._bands(n)
+            if -(-n * percent // 100) < 3 * self._groups(band) + 1
+        }
+
+    def _largest(self, n: int) -> int:
+        """The size of the largest set that may link with one of n."""
+        return n * 100 // self.percent
+
+    def _bands(self, n: int) -> list[int]:
+        """Size classes of a set of n and its partners: two sets that may link share that of the
+        larger."""
+        return sorted({n.bit_length(), self._largest(n).bit_length()})
+
+    def _groups(self, band: int) -> int:
+        return max(1, self.lacking(1 << (band - 1)) // 4)
 
     def lacking(self, n: int) -> int:
         """The most tokens of a set of n that a linked set may lack."""
@@ -102,8 +118,7 @@ class Signatures:
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         n = len(tokens)
-        most = n * 100 // self.percent  # the size of the largest linked set
-        if most <= n:  # only equal sets link, and these are one node
+        if self._largest(n) <= n:  # only equal sets link, and these are one node
             return np.zeros(0, np.int64)
         need = self.lacking(n) + 1
         level = self.levels[(tokens >> U(64 - COUNTERS_LOG)).astype(np.int64)]
@@ -113,14 +128,19 @@ class Signatures:
         singles = int(np.searchsorted(kind, 2))
         keys = [ordered[: min(need, singles)]]
         if singles < need:
-            bands = {n.bit_length(), most.bit_length()}
-            for band in sorted(bands):
+            for band in self._bands(n):
                 keys.append(self._combined(ordered[singles:], kind[singles:], need - singles, band))
         return np.unique(mix(np.concatenate(keys))).astype(np.int64)
 
     def _combined(self, tokens: np.ndarray, kind: np.ndarray, need: int, band: int) -> np.ndarray:
-        """Keys of the pairs and triples of the extended prefix."""
-        groups = max(1, self.lacking(1 << (band - 1)) // 4)
+        """Keys of the pairs and triples of the extended prefix.
+
+        A group of class k adds k - 1 fewer than it has tokens, 3 a pair of groups at most. In the
+        ``plain`` bands (low similarity, fewer than 16 tokens) a set may have too few for that;
+        there single tokens are keys whatever their class."""
+        if band in self.plain:
+            return mix(mix(tokens[:need] + U(band)) + U(1))
+        groups = self._groups(band)
         held: dict[tuple[int, int], list[int]] = {}
         for token, k in zip(tokens.tolist(), kind.tolist(), strict=True):
             group = held.setdefault((k, (token >> 7) % groups), [])
