@@ -61,7 +61,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches over all documents: an estimate by length when a document
     arrives, the exact count in its place, and the deletion of copies of earlier texts. The
-    second batch is then sent again, which must change nothing. A change is named by the number
+    second batch is then sent again, which must change nothing; before the third, the first two
+    are compacted into the maintained total. A change is named by the number
     its row got when the counts were written: rows may lack or repeat a doc_id, each counts."""
     docs = table(spark, sf_dir, "documents").withColumns({"digest": F.md5("text"), "row": F.monotonically_increasing_id()})
     keep = ["row", "doc_id", "source", "lang", "n_chars", "digest"]
@@ -83,6 +84,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("load", changes(counted, "insert", (none, zero), guess))
     revised = changes(counted, "revise", guess, exact)
     rollup.commit("count", revised)
+    rollup.compact()
     rollup.commit("copies", changes(copies, "delete", exact, (none, zero)))
     rollup.commit("count", revised)
     return rollup.totals()
