@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 import sys
 import types
 from collections.abc import Iterator
@@ -26,6 +27,9 @@ _MARK = "▁"
 #: Bytes a generation of the memo may hold, and the longest word it keeps.
 MEMO_BYTES = 64 << 20
 MEMO_WORD = 64
+WINDOW = 1 << 14  # starts of matches held at once
+_SLOT = 100  # bytes of a dictionary's entry beside its key and value
+_OTHER = "\0"  # between a word's ids and the text they decode to
 
 
 class PieceCodec:
@@ -56,22 +60,31 @@ class PieceCodec:
                 self.ids[piece] = i
                 self.scores[piece] = known.get_score(i)
         self.unknown = known.unk_id()
+        self.plain = {i: p.replace(_MARK, " ") for p, i in self.ids.items()} | {i: "" for i in self.hidden}
+        self.longest = max(map(len, self.ids))
         self.matcher = ahocorasick.Automaton()
         for piece in self.ids:
             self.matcher.add_word(piece, len(piece))
         self.matcher.make_automaton()
-        self.compatible: dict[tuple[str, str], bool] = {}
+        self.compatible: dict[tuple[str, str] | str, bool] = {}
         self.whole = _Words(self, cached)
         self.cached = cached
         self.split = self._splitter()
 
     def _splitter(self) -> re.Pattern | None:
         """Cuts between which no merge can happen: no piece holds a mark behind another
-        character, and none holds a line break or tab. Without this property: no cuts."""
+        character, and none holds a line break or tab. Without this property: no cuts. A word of
+        letters also ends before a sign that follows a letter in no piece."""
         if any(re.search(f"[^{_MARK}]{_MARK}", p) for p in self.ids):
             return None
         lone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
-        return re.compile(f"{_MARK}*[^{_MARK}{lone}]+|{_MARK}+|[{lone}]" if lone else f"{_MARK}*[^{_MARK}]+|{_MARK}+")
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        signs = [c for c in ".,;:!?" if not any(a + c in pairs for a in string.ascii_letters)]
+        letters = "".join(a for a in map(chr, range(0x250)) if a.isalpha() and not any(a + c in pairs for c in signs))
+        words = f"{_MARK}*+[^{_MARK}{lone}]++|{_MARK}++"
+        if signs:
+            words = f"{_MARK}*+[{letters}]++(?=[{''.join(signs)}])|{words}"
+        return re.compile(f"{words}|[{lone}]" if lone else words)
 
     def _merged(self, text: str) -> list[str]:
         """Merges from single characters: best score first, leftmost among equals."""
@@ -103,7 +116,7 @@ class PieceCodec:
     def fits(self, left: str, right: str) -> bool:
         """Whether merging the text of both from scratch keeps exactly these two tokens (with an
         empty right one: whether the left token comes out of its own text)."""
-        pair = (left, right)
+        pair = (left, right) if right else left
         known = self.compatible.get(pair)
         if known is None:
             if len(self.compatible) >= 300_000:
@@ -111,17 +124,21 @@ class PieceCodec:
             known = self.compatible[pair] = self._merged(left + right) == [left, right][: 1 + bool(right)]
         return known
 
+    def _ends(self, text: str, first: int, last: int) -> list[list[int]]:
+        """For each start from first to last the ends of the matches, ascending; a character of
+        no piece stands alone."""
+        ends = [[i] for i in range(first + 1, last + 1)]
+        for end, size in self.matcher.iter(text, first, min(len(text), last + self.longest)):
+            if size > 1 and end + 1 - size < last:
+                ends[end + 1 - size - first].append(end + 1)
+        return ends
+
     def tokens(self, text: str) -> list[str]:
         """The tokens of a piece of text, as strings."""
         n = len(text)
         if text in self.ids and self.fits(text, ""):
             return [text]
-        ends: list[list[int]] = [[] for _ in range(n)]
-        for end, size in self.matcher.iter(text):
-            ends[end + 1 - size].append(end + 1)
-        for i, found in enumerate(ends):  # ends ascend; a character of no piece stands alone
-            if not found or found[0] != i + 1:
-                found.insert(0, i + 1)
+        ends = self._ends(text, 0, n) if n <= WINDOW else _Windows(self, text)
         open_at = bytearray(b"\xff") * (n // 8 + 1)  # bit p: an encoding may continue at p
         out: list[tuple[int, int, int]] = []  # start, end, place in ends[start]
         at, choice = 0, len(ends[0]) - 1 if n else -1
@@ -160,8 +177,13 @@ class PieceCodec:
             return "", ""
         text = _MARK + text.replace(" ", _MARK)
         words = self.split.findall(text) if self.split else [text]
-        ids, texts = zip(*map(self.whole.__getitem__, words), strict=True)
-        return ",".join(ids), "".join(texts)[1:]
+        found = list(map(self.whole.__getitem__, words))
+        joined = ",".join(found)
+        if _OTHER not in joined:  # every word decodes to itself
+            return joined, text.replace(_MARK, " ")[1:]
+        parts = [f.partition(_OTHER) for f in found]
+        texts = [back if other else w.replace(_MARK, " ") for w, (_, other, back) in zip(words, parts, strict=True)]
+        return ",".join(p[0] for p in parts), "".join(texts)[1:]
 
     def encode(self, text: str | None) -> list[int]:
         joined = self.encode_joined(text)[0]
@@ -170,6 +192,10 @@ class PieceCodec:
     def decode_inner(self, ids: list[int]) -> str:
         """Pieces joined, marks as spaces; runs of byte tokens are
         read as UTF-8, each byte that is none becoming U+FFFD."""
+        try:
+            return "".join(map(self.plain.__getitem__, ids))
+        except KeyError:  # a byte token or the unknown one
+            pass
         parts, run = [], bytearray()
         for i in ids:
             byte = self.bytes_of.get(i)
@@ -193,8 +219,26 @@ class PieceCodec:
         return text[1:] if marked else text
 
 
+class _Windows:
+    """The matches of a long text, looked up a window of starts at a time: memory does not grow
+    with a text without blanks."""
+
+    def __init__(self, codec: PieceCodec, text: str):
+        self.codec, self.text, self.held = codec, text, {}
+
+    def __getitem__(self, start: int) -> list[int]:
+        number, place = divmod(start, WINDOW)
+        if number not in self.held:
+            if len(self.held) == 2:  # encoding moves forwards, and back by a few tokens
+                del self.held[min(self.held, key=lambda n: -abs(n - number))]
+            first = number * WINDOW
+            self.held[number] = self.codec._ends(self.text, first, min(len(self.text), first + WINDOW))
+        return self.held[number][place]
+
+
 class _Words(dict):
-    """Joined ids and decoded text of words, computed when first asked for.
+    """Joined ids of words, computed when first asked for; behind them the decoded text where it
+    is not the word itself.
 
     Two generations of at most ``most`` words and ``MEMO_BYTES`` each: when the younger is full
     it becomes the older, whose words come back when they are asked for. Words longer than
@@ -205,18 +249,20 @@ class _Words(dict):
         super().__init__()
         self.codec, self.most, self.older, self.size = codec, most, {}, 0
 
-    def __missing__(self, word: str) -> tuple[str, str]:
+    def __missing__(self, word: str) -> str:
         kept = self.older.pop(word, None)
         if kept is None:
             ids = self.codec._ids_of(word)
-            kept = (",".join(map(str, ids)), self.codec.decode_inner(ids))
+            kept, back = ",".join(map(str, ids)), self.codec.decode_inner(ids)
+            if back != word.replace(_MARK, " "):
+                kept += _OTHER + back
         if len(word) > MEMO_WORD:
             return kept
         if len(self) >= self.most or self.size >= MEMO_BYTES:
             self.older, self.size = dict(self), 0
             self.clear()
         self[word] = kept
-        self.size += 300 + len(kept[0]) + 4 * len(word)
+        self.size += _SLOT + sys.getsizeof(word) + sys.getsizeof(kept)
         return kept
 
 
