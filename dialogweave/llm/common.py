@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def give_back(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made. Only for those that nothing will read again: what was
+    made from them has been written itself, so a lost executor does not need them either."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -54,7 +69,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges(a long, b long), in any direction. Alternates large-star and small-star steps, so
     the number of rounds grows with the logarithm of the longest path; every step is written
-    to the shared folder, and no node's neighbours are gathered in one task.
+    to the shared folder, and no node's neighbours are gathered in one task. So is the result.
     """
     edges = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
@@ -62,13 +77,16 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before = _changes(edges)
     while before[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        give_back(last)
         after = _changes(edges)
         if after == before:
             break
         before = after
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    found = written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "roots")
+    give_back(edges)
+    return found
 
 
 def by_arrow(df: DataFrame, batches: Callable, schema: str) -> DataFrame:

@@ -11,11 +11,13 @@ that long documents have few combinations; each subclass counts as a class of it
 The order and the classes come from counts of all tokens of all documents in a table of fixed
 size (hashed counters). They need not be exact, only the same everywhere: the join is exact.
 
-Sets of equal documents are joined once. Candidates meet a bound from parity bitmaps (each
-token of the symmetric difference changes one bit at most), then an exact check. First every
-member of a key meets the key's smallest member; then members meet only where the links found
-so far leave them in different components. No key's members are gathered in one task and no
-group is expanded into all pairs.
+Sets of equal documents are joined once. Candidates meet bounds from parity bitmaps (each
+token of the symmetric difference changes one bit at most), a short one within the join of the
+keys and a longer one behind it, then an exact check. In turns every set is checked against one
+of the sets that are the pivots of its keys, another pivot each turn; keys whose members all lie
+in one component are done and leave. When a turn links few sets, the members of the keys still
+open meet where they lie in different components. No key's members are gathered in one task and
+no group is expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -29,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogweave.llm.common import components, shuffle_parts, written
+from dialogweave.llm.common import components, give_back, shuffle_parts, written
 from dialogweave.llm.textkit import U, mix, shingle_sets
 
 COUNTERS_LOG = 22
 _BLOCK = 1 << 14
+WORDS = 8  # of the short bitmap
+TURNS = 8  # at most; what they leave open is compared in full
+_SHORT = [f"s{i}" for i in range(WORDS)]
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -166,6 +171,21 @@ def parity_bits(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def short_bits(tokens: np.ndarray) -> np.ndarray:
+    """The same in ``WORDS`` longs whatever the number of tokens."""
+    odd = np.bincount((mix(tokens) >> U(8)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_link(a: str, b: str, percent: int) -> str:
+    """The SQL condition on sizes and short bitmaps of two rows; false only if they surely do not link."""
+    differ = " + ".join(f"bit_count({a}{s} ^ {b}{s})" for s in _SHORT)
+    return (
+        f"least({a}n, {b}n) * 100 >= greatest({a}n, {b}n) * {percent}"
+        f" and {100 + percent} * ({differ}) <= {100 - percent} * ({a}n + {b}n)"
+    )
+
+
 def _folded(bitmap: bytes, size: int) -> int:
     whole = np.frombuffer(bitmap, np.uint8)
     return int.from_bytes(np.bitwise_xor.reduce(whole.reshape(-1, size), axis=0).tobytes(), "little")
@@ -182,16 +202,17 @@ def may_link(na: int, a: bytes, nb: int, b: bytes, percent: int) -> bool:
 
 def _nodes(docs: DataFrame, size: int, make: Signatures) -> DataFrame:
     """Per row: its columns besides text (long), a hash of its text, the node of its set, the
-    set's size, bitmap and keys."""
+    set's size, bitmaps and keys."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, count, bitmap, keys = [], [], [], []
-            for tokens in shingle_sets(batch.column(len(kept) + 1), size):
+            node, count, bitmap, short, keys = [], [], [], np.zeros((batch.num_rows, WORDS), np.int64), []
+            for i, tokens in enumerate(shingle_sets(batch.column(len(kept) + 1), size)):
                 node.append(_node(tokens) if len(tokens) else None)
                 count.append(len(tokens))
                 bitmap.append(parity_bits(tokens))
+                short[i] = short_bits(tokens)
                 keys.append(make.of(tokens))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -199,13 +220,16 @@ def _nodes(docs: DataFrame, size: int, make: Signatures) -> DataFrame:
                     pa.array(node, pa.int64()),
                     pa.array(count, pa.int64()),
                     pa.array(bitmap, pa.binary()),
+                    *(pa.array(short[:, w]) for w in range(WORDS)),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=[*kept, "copy", "node", "n", "bits", "keys"],
+                names=[*kept, "copy", "node", "n", "bits", *_SHORT, "keys"],
             )
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*kept, F.xxhash64("text").alias("copy"), "text").mapInArrow(
-        run, ", ".join(f"{c} long" for c in [*kept, "copy", "node", "n"]) + ", bits binary, keys array<long>"
+        run, ", ".join(f"{c} long" for c in [*kept, "copy", "node", "n"])
+        + ", bits binary, " + ", ".join(f"{c} long" for c in _SHORT) + ", keys array<long>"
     )
 
 
@@ -239,15 +263,17 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perce
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     pairs = written(_hopeful(pairs, nodes, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    homes = nodes.join(wanted, "node").select("node", "doc_id", "copy")
+    # Written, so that Spark knows its size and shuffles the texts only if it is not small.
+    homes = written(nodes.join(wanted, "node").select("node", "doc_id", "copy"), "homes")
     texts = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash")).join(
         homes, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("copy"))
     )
@@ -257,7 +283,40 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perce
     left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
     right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b")
-    return written(joined.mapInArrow(check, "a long, b long"), "links")
+    links = written(joined.mapInArrow(check, "a long, b long"), "links")
+    give_back(pairs, homes, tokens)
+    return links
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of the keys whose members lie in several components, with their roots, written.
+    The given members are given back."""
+    placed = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    left = written(placed.join(several, "key", "left_semi"), "open")
+    give_back(members)
+    return left
+
+
+def _pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For every node one pair (a, b) with a pivot of its keys that may link with it and lies in
+    another component, if there is one. The pivot of a key is another member each turn."""
+    pivots = members.groupBy("key").agg(
+        F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root", "n", *_SHORT)).alias("p")
+    )
+    met = members.join(pivots, "key").where(f"root <> p.root and {_may_link('', 'p.', percent)}")
+    return met.groupBy("node").agg(F.min("p.node").alias("pivot")).select(
+        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
+    ).distinct()
+
+
+def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with a key in common that may link and lie in different components."""
+    other = members.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "root", "n", *_SHORT)))
+    return (
+        members.join(other, "key").where(f"node < o_node and root <> o_root and {_may_link('', 'o_', percent)}")
+        .select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    )
 
 
 def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -266,36 +325,40 @@ def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     if not 67 <= percent <= 100:
         raise ValueError("percent must be from 67 to 100")
     make = Signatures(*token_levels(docs, size), percent)
-    rows = written(_nodes(docs, size, make), "rows")
+    whole = written(_nodes(docs, size, make), "rows")
+    rows = written(whole.select("doc_id", "copy", "node", "n"), "rows")
     nodes = written(
-        rows.where("node is not null").groupBy("node").agg(
-            F.min(F.struct("doc_id", "copy")).alias("home"), F.first("n").alias("n"), F.first("bits").alias("bits"),
-            F.first("keys").alias("keys"),
-        ).select("node", "home.doc_id", "home.copy", "n", "bits", "keys"),
+        whole.where("node is not null").groupBy("node").agg(
+            F.min(F.struct("doc_id", "copy")).alias("home"), *(F.first(c).alias(c) for c in ("n", "bits", *_SHORT, "keys"))
+        ).select("node", "home.doc_id", "home.copy", "n", "bits", *_SHORT, "keys"),
         "nodes",
     )
+    give_back(whole)
     members = nodes.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    shared = shared.where("pivot <> last").select("key", "pivot")
-    members = written(members.join(shared, "key"), "members")
-    first = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _links(first, docs, nodes, size, percent)
-    roots = components(links)
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rest = written(
-        placed.where("node <> pivot").join(open_keys, "key", "left_semi")
-        .join(nodes.select("node", "n"), "node").select("key", "node", "n", "root"),
-        "rest",
-    )
-    other = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")))
-    second = (
-        rest.join(other, "key")
-        .where(f"node < node_b and root <> root_b and least(n, n_b) * 100 >= greatest(n, n_b) * {percent}")
-        .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    shared = members.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+    members = written(
+        members.join(shared, "key").join(nodes.select("node", "n", *_SHORT), "node").withColumn("root", F.col("node")), "open"
     )
-    more = _links(second, docs, nodes, size, percent)
-    return rows, components(links.union(more))
+    roots, most = None, 0
+    for turn in range(TURNS):
+        links = _links(_pivot_pairs(members, turn, percent), docs, nodes, size, percent)
+        found = links.count()
+        roots = _merged(roots, links)
+        members = _open(members, roots)
+        most = max(most, found)
+        if 4 * found <= most:
+            break
+    roots = _merged(roots, _links(_all_pairs(members, percent), docs, nodes, size, percent))
+    give_back(members, nodes)
+    return rows, roots
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of the components of all links so far. Both tables are given back."""
+    edges = links if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
+    merged = components(edges)
+    give_back(links, *([] if roots is None else [roots]))
+    return merged
 
 
 def jaccard_components(
@@ -328,16 +391,26 @@ def without_near_copies(
     """docs with one row of each component of linked rows (see ``jaccard_components``).
 
     That with the smallest id stays, one without id only where all are; among rows of one id
-    the least by a hash of the text, and any one of rows that agree in both. Rows are told
-    apart by a number of their own, not by their ids: ids may be NULL or repeat. NULL and
+    the least by a hash of the text, and any one of rows that agree in both. The decision is that
+    of an id with a text, so other texts under the same id, or without id, stay. NULL and
     wordless texts link with none and all stay."""
-    numbered = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
-    texts = numbered.select(
-        F.col("doc")[id_col].cast("long").alias("doc_id"), F.col("doc")[text_col].alias("text"), "row"
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows, roots = _linked(texts, size, percent)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "copy", "row")).alias("best")
-    firsts = rows.where("node is not null").groupBy("node").agg(best)
+    times = rows.where("node is not null").groupBy("node", "doc_id", "copy").agg(F.count("*").alias("times"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "copy", "times")).alias("best")
+    firsts = times.groupBy("node").agg(best)
     firsts = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best"))
-    stay = firsts.select("best.row").union(rows.where("node is null").select("row"))
-    return numbered.join(stay, "row", "left_semi").select("doc.*")
+    wordless = rows.where("node is null").select("doc_id", "copy").distinct()
+    stay = written(
+        firsts.select("best.doc_id", "best.copy", (F.col("best.times") > 1).alias("repeated"))
+        .union(wordless.withColumn("repeated", F.lit(False))),
+        "stay",
+    )
+    give_back(rows, roots)
+    named = docs.select(
+        F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash")
+    )
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("copy"))
+    once = named.join(stay.where("not repeated"), same, "left_semi").select("doc.*")
+    repeated = named.join(stay.where("repeated"), same, "left_semi")
+    return once.union(repeated.groupBy("id", "hash").agg(F.first("doc").alias("doc")).select("doc.*"))

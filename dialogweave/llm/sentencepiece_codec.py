@@ -16,6 +16,7 @@ import string
 import sys
 import types
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ _MARK = "▁"
 #: Bytes a generation of the memo may hold, and the longest word it keeps.
 MEMO_BYTES = 64 << 20
 MEMO_WORD = 64
+KEPT_WORDS = 100_000  # that stay when a task ends
 WINDOW = 1 << 14  # starts of matches held at once
 _SLOT = 100  # bytes of a dictionary's entry beside its key and value
 _OTHER = "\0"  # between a word's ids and the text they decode to
@@ -185,6 +187,12 @@ class PieceCodec:
         texts = [back if other else w.replace(_MARK, " ") for w, (_, other, back) in zip(words, parts, strict=True)]
         return ",".join(p[0] for p in parts), "".join(texts)[1:]
 
+    def end_task(self) -> None:
+        """Gives most of the memos back: between its tasks a worker holds some 30 MB of them, and
+        other operators' tasks have the rest."""
+        self.whole.shrink()
+        self.compatible = dict(islice(self.compatible.items(), KEPT_WORDS))
+
     def encode(self, text: str | None) -> list[int]:
         joined = self.encode_joined(text)[0]
         return list(map(int, joined.split(","))) if joined else []
@@ -262,9 +270,21 @@ class _Words(dict):
             self.older, self.size = dict(self), 0
             self.clear()
         self[word] = kept
-        self.size += _SLOT + sys.getsizeof(word) + sys.getsizeof(kept)
+        self.size += _bytes(word, kept)
         return kept
 
+    def shrink(self) -> None:
+        """Leaves the words that came first in this generation, which are the frequent ones."""
+        first = dict(islice(chain(self.items(), self.older.items()), KEPT_WORDS))
+        self.clear()
+        self.older = {}
+        self.update(first)
+        self.size = sum(map(_bytes, first, first.values()))
+
+
+def _bytes(word: str, kept: str) -> int:
+    return _SLOT + sys.getsizeof(word) + sys.getsizeof(kept)
+
 
 def process_codec(model: str) -> PieceCodec:
     """The codec of this Python process: workers keep it, with its memo, from task to task."""
@@ -321,6 +341,7 @@ def encode_documents(
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
                 names.append("token_ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        codec.end_task()
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(id_col, text_col).mapInArrow(run, schema + (", token_ids array<int>" if with_ids else ""))
