@@ -39,9 +39,67 @@ def stream_session_log(spark: SparkSession, path: str, files_per_batch: int = 10
 KEEP = "7 days"
 
 
+class _Replayed:
+    """What is known of a session while its rows of a micro-batch are handled.
+
+    Holds the entries per question and the answers of this micro-batch. Of the answers stored
+    before, single keys are looked up, and all are read only where an end arrives late."""
+
+    def __init__(self, shown: dict[str, tuple], latest: dict[str, tuple], answers=None):
+        self.shown, self.latest, self.added = shown, latest, {}
+        self._stored = answers
+        self.removed: set[tuple[str, int]] = set()
+
+    def show(self, question: str, seq: int, text: Optional[str]) -> bool:
+        if question in self.shown and self.shown[question][0] <= seq:
+            return False
+        self.shown[question] = (seq, text)
+        return True
+
+    def answer(self, question: str, seq: int, text: Optional[str]) -> bool:
+        newer = question not in self.latest or self.latest[question][0] < seq
+        if not newer and self._known((question, seq)):
+            return False
+        self.added[question, seq] = text
+        if newer:
+            self.latest[question] = (seq, text)
+        return True
+
+    def _known(self, key: tuple[str, int]) -> bool:
+        if key in self.added or self.latest[key[0]][0] == key[1]:
+            return True
+        return self._stored is not None and key not in self.removed and self._stored.containsKey(key)
+
+    def cut(self, end: int) -> None:
+        """Takes back what lies behind the end."""
+        self.shown = {question: first for question, first in self.shown.items() if first[0] < end}
+        if all(last[0] < end for last in self.latest.values()):
+            return
+        self.added = {key: text for key, text in self.added.items() if key[1] < end}
+        left = [(*key, text) for key, text in self.added.items()]
+        for (question, seq), (text,) in self._stored.iterator() if self._stored is not None else ():
+            if seq >= end:
+                self.removed.add((question, seq))
+            else:
+                left.append((question, seq, text))
+        self.latest = {}
+        for question, seq, text in left:
+            if question not in self.latest or self.latest[question][0] < seq:
+                self.latest[question] = (seq, text)
+
+
+def _store_changes(state, before: dict[str, tuple], after: dict[str, tuple]) -> None:
+    for question in before.keys() - after.keys():
+        state.removeKey((question,))
+    for question, entry in after.items():
+        if before.get(question) != entry:
+            state.updateValue((question,), entry)
+
+
 class _SessionReplay(StatefulProcessor):
     """The state of a session, one entry per question and per answer; a micro-batch writes the
-    entries that its events change and no others.
+    entries that its events change and no others, each once. Every access is a message to the
+    state server, so a session that begins reads nothing but that it is not there.
 
     The state does not depend on the order of arrival: per question the first showing and
     all answers by ``seq``, and the first terminal event, behind which nothing counts. All
@@ -59,44 +117,13 @@ class _SessionReplay(StatefulProcessor):
         self._answers = handle.getMapState("answers", "question_id string, seq bigint", "text string")
         self._latest = handle.getMapState("latest", "question_id string", "seq bigint, text string")
 
-    def _show(self, question: str, seq: int, text: Optional[str]) -> bool:
-        first = self._shown.getValue((question,)) if self._shown.containsKey((question,)) else None
-        if first is not None and first[0] <= seq:
-            return False
-        self._shown.updateValue((question,), (seq, text))
-        return True
-
-    def _answer(self, question: str, seq: int, text: Optional[str]) -> bool:
-        if self._answers.containsKey((question, seq)):
-            return False
-        self._answers.updateValue((question, seq), (text,))
-        latest = self._latest.getValue((question,)) if self._latest.containsKey((question,)) else None
-        if latest is None or latest[0] < seq:
-            self._latest.updateValue((question,), (seq, text))
-        return True
-
-    def _cut(self, end: int) -> None:
-        """Takes back what lies behind the end; only an end that arrives late has to."""
-        for key, first in list(self._shown.iterator()):
-            if first[0] >= end:
-                self._shown.removeKey(tuple(key))
-        if all(value[0] < end for _, value in self._latest.iterator()):
-            return
-        left: dict[str, tuple] = {}
-        for key, value in list(self._answers.iterator()):
-            if key[1] >= end:
-                self._answers.removeKey(tuple(key))
-            elif key[0] not in left or left[key[0]][0] < key[1]:
-                left[key[0]] = (key[1], value[0])
-        for key, _ in list(self._latest.iterator()):
-            if key[0] in left:
-                self._latest.updateValue(tuple(key), left[key[0]])
-            else:
-                self._latest.removeKey(tuple(key))
-
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         stored = self._session.get()
         last, end, status, reason, ended, version = tuple(stored) if stored else (None, None, "open", None, None, 0)
+        shown, latest = ({}, {}) if stored is None else (
+            {question[0]: tuple(entry) for question, entry in state.iterator()} for state in (self._shown, self._latest)
+        )
+        known = _Replayed(dict(shown), dict(latest), None if stored is None else self._answers)
         before, changed = last, stored is None
         for row in rows:
             last = row.seq if last is None else max(last, row.seq)
@@ -107,26 +134,31 @@ class _SessionReplay(StatefulProcessor):
                     self._handle.registerTimer(row.at + 1)
                 end, status, reason = row.seq, row.type.removeprefix("session_"), row.reason
                 ended = row.ts if status == "finished" else None
-                self._cut(end)
+                known.cut(end)
                 changed = True
             elif row.question_id is None:
                 continue
             elif row.type == "standard_question_shown":
-                changed |= self._show(row.question_id, row.seq, row.text)
+                changed |= known.show(row.question_id, row.seq, row.text)
             elif row.type == "standard_answer_given":
-                changed |= self._answer(row.question_id, row.seq, row.text)
+                changed |= known.answer(row.question_id, row.seq, row.text)
         if not changed and last == before:
             return
         version += 1
         self._session.update((last, end, status, reason, ended, version))
-        shown = sorted(((first[0], question[0], first[1]) for question, first in self._shown.iterator()))
+        _store_changes(self._shown, shown, known.shown)
+        _store_changes(self._latest, latest, known.latest)
+        for place in known.removed:
+            self._answers.removeKey(place)
+        for place, text in known.added.items():
+            self._answers.updateValue(place, (text,))
         yield Row(
             session_id=key[0],
             status=status,
             reason=reason,
             created_at=ended,
-            questions=[Row(id=question, text=text) for _, question, text in shown],
-            answers=[Row(question_id=q[0], answer=a[1]) for q, a in sorted(self._latest.iterator(), key=lambda e: e[0][0])],
+            questions=[Row(id=q, text=text) for _, q, text in sorted((seq, q, text) for q, (seq, text) in known.shown.items())],
+            answers=[Row(question_id=q, answer=known.latest[q][1]) for q in sorted(known.latest)],
             last_seq=last,
             version=version,
         )
