@@ -9,6 +9,8 @@ second source, and a reply resumes the conversation it belongs to.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
+from collections import deque
 from typing import Iterator, Optional, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
@@ -30,26 +32,37 @@ _COLUMNS = ("conversation_id", "seq", "role", "content", "mode", "question_id",
 REPLIES = "conversation_id string, input_seq bigint, content string, error string"
 
 
+def _range_of(ranges: list[list[int]], seq: int) -> int:
+    """The place of the last range that begins at ``seq`` or before, -1 if there is none."""
+    return bisect_right(ranges, seq, key=lambda r: r[0]) - 1
+
+
 def _with_range(ranges: list[list[int]], seq: int) -> list[list[int]]:
-    """Sorted ranges of numbers with one more; neighbours grow together."""
-    out: list[list[int]] = []
-    for low, high in sorted([*ranges, [seq, seq]]):
-        if out and low <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return out
+    """Sorted ranges of numbers with one more, in place; neighbours grow together."""
+    at = _range_of(ranges, seq)
+    if at >= 0 and seq <= ranges[at][1]:
+        return ranges
+    follows = at >= 0 and ranges[at][1] + 1 == seq
+    leads = at + 1 < len(ranges) and ranges[at + 1][0] == seq + 1
+    if follows:
+        ranges[at][1] = ranges.pop(at + 1)[1] if leads else seq
+    elif leads:
+        ranges[at + 1][0] = seq
+    else:
+        ranges.insert(at + 1, [seq, seq])
+    return ranges
 
 
 class _Conversation:
     """What a conversation's state holds, while its rows of a micro-batch are handled."""
 
-    def __init__(self, flow, words: dict[str, str], stored, recent, waiting):
+    def __init__(self, flow, words: dict[str, str], stored, taken, waiting):
         self.flow, self.words = flow, words
-        values = tuple(stored) if stored else (None, 0, 0, False, "{}", None, "[]")
+        values = tuple(stored) if stored else (None, 0, 0, False, "{}", None, "[]", False)
         self.last, self.number, self.index, self.ended = values[:4]
-        self.answers, self.pending, self.taken = json.loads(values[4]), values[5], json.loads(values[6])
-        self.recent, self.waiting = recent, waiting
+        self.answers, self.pending = json.loads(values[4]), values[5]
+        self.recent = [tuple(m) for m in json.loads(values[6])]
+        self.taken, self.waiting = taken, deque(waiting)
         self.out: list[Row] = []
 
     def say(self, cause: int, role: str, content: Optional[str], mode=None, question=None, channel=None, reask=None, error=None) -> None:
@@ -106,11 +119,11 @@ class _Conversation:
         self.say(seq, "assistant", content, "chat", error=error)
         self.ask(seq, reask=True)
         while self.waiting and self.pending is None:
-            self.take(*self.waiting.pop(0))
+            self.take(*self.waiting.popleft())
 
     def accept(self, seq: int, mode: str, text: str) -> None:
-        known = any(low <= seq <= high for low, high in self.taken)
-        if known:
+        at = _range_of(self.taken, seq)
+        if at >= 0 and seq <= self.taken[at][1]:
             return
         late = self.last is not None and seq < self.last
         self.taken = _with_range(self.taken, seq)
@@ -126,44 +139,50 @@ class _Conversation:
             self.waiting.append((seq, mode, text))
 
     def state(self) -> tuple:
-        return (self.last, self.number, self.index, self.ended, json.dumps(self.answers), self.pending, json.dumps(self.taken))
+        return (
+            self.last, self.number, self.index, self.ended, json.dumps(self.answers), self.pending, json.dumps(self.recent),
+            bool(self.waiting),
+        )
 
 
 class _Dialogue(StatefulProcessor):
-    """State per conversation: progress, the answers (bounded by the flow), the last
+    """State per conversation: progress with the answers (bounded by the flow) and the last
     ``FRAME_MESSAGES`` messages, the inputs queued behind an open request, and which inputs were
-    taken, as ranges of their numbers."""
+    taken, as ranges of their numbers. Every access is a message to the state server: the queue is
+    read only where there is one, what was taken only if inputs come, not for replies."""
 
     def __init__(self, flow: Sequence[tuple[str, str]], words: dict[str, str]):
         self._flow, self._words = flow, words
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._progress = handle.getValueState(
-            "progress", "last bigint, number bigint, index bigint, ended boolean, answers string, pending bigint, taken string"
+            "progress",
+            "last bigint, number bigint, index bigint, ended boolean, answers string, pending bigint, recent string, queued boolean",
         )
-        self._recent = handle.getListState("recent", "role string, content string, mode string")
-        self._waiting = handle.getListState("waiting", "seq bigint, mode string, text string")
+        self._taken = handle.getValueState("taken", "ranges string")
+        self._waiting = handle.getValueState("waiting", "inputs string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        stored = self._progress.get()
-        recent = [tuple(m) for m in self._recent.get()] if stored else []
-        waiting = [tuple(w) for w in self._waiting.get()] if stored else []
-        talk = _Conversation(self._flow, self._words, stored, recent, waiting)
-        queued = list(talk.waiting)
         # Replies first: they belong to inputs of earlier micro-batches.
-        for row in sorted(rows, key=lambda r: (not r.is_reply, r.seq)):
+        rows = sorted(rows, key=lambda r: (not r.is_reply, r.seq))
+        stored = self._progress.get()
+        inputs = not rows[-1].is_reply
+        taken = self._taken.get() if stored and inputs else None
+        queued = json.loads(self._waiting.get()[0]) if stored and stored[7] else []
+        talk = _Conversation(self._flow, self._words, stored, json.loads(taken[0]) if taken else [], queued)
+        for row in rows:
             if row.is_reply:
                 talk.resume(row.seq, row.text, row.error)
             else:
                 talk.accept(row.seq, row.mode, row.text)
         self._progress.update(talk.state())
-        if talk.recent != recent:
-            self._recent.put(talk.recent)
-        if talk.waiting != queued:
-            if talk.waiting:
-                self._waiting.put(talk.waiting)
-            else:
-                self._waiting.clear()
+        if inputs:
+            self._taken.update((json.dumps(talk.taken),))
+        waiting = [list(w) for w in talk.waiting]
+        if waiting and waiting != queued:
+            self._waiting.update((json.dumps(waiting),))
+        elif queued and not waiting:
+            self._waiting.clear()
         for row in talk.out:
             yield Row(*_COLUMNS)(key[0], *row)
 
