@@ -719,15 +719,23 @@ def stream_interview(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("conversation_id", F.col("conversation_id").cast("bigint"))
 
 
+def _files(spark: SparkSession, folder: str) -> int:
+    return len(spark.read.text(folder).inputFiles())
+
+
 def _landed(spark: SparkSession, sf: str, waves: int) -> DataFrame:
-    """The events as a stream of several files in the order of time, one a micro-batch."""
+    """The events as a stream of several waves in the order of time, one a micro-batch.
+
+    A wave's files go by user, as an input behind a later one of its conversation is an error."""
     folder = shared_folder(spark, "waves")
     events = spark.read.parquet(f"{sf}/events.parquet")
-    most = events.agg(F.max("event_id")).first()[0] or 0
+    most, files = events.agg(F.max("event_id")).first()[0] or 0, 1
     for i in range(waves):
-        events.where(F.floor(F.col("event_id") * waves / (most + 1)) == i).coalesce(1).write.parquet(f"{folder}/wave{i}")
+        wave = events.where(F.floor(F.col("event_id") * waves / (most + 1)) == i)
+        wave.repartition("user_id").write.parquet(f"{folder}/wave{i}")
+        files = max(files, len(spark.read.schema(events.schema).parquet(f"{folder}/wave{i}").inputFiles()))
     return (
-        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files)
         .option("recursiveFileLookup", "true").parquet(folder)
     )
 
@@ -742,13 +750,20 @@ def stream_dialogue(spark: SparkSession, sf: str) -> DataFrame:
     return said.withColumn("conversation_id", F.col("conversation_id").cast("bigint"))
 
 
+def _files_per_batch(spark: SparkSession, files: int, least: int) -> int:
+    """Files enough to occupy the cores, few enough that a micro-batch stays of bounded size."""
+    return max(least, min(files, spark.sparkContext.defaultParallelism))
+
+
 def stream_session_waves(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of a day in several micro-batches; ended ones leave the state a day later."""
     folder = shared_folder(spark, "landing")
     events = v.session_events(spark, sf)
-    for low, high in ((1, 10), (11, 20), (21, 31)):
-        sinks.append_session_log(events.where(F.day("ts").between(low, high)).coalesce(2), folder)
-    stream = stream_sessions_module.stream_session_log(spark, folder, files_per_batch=2)
+    waves = ((1, 10), (11, 20), (21, 31))
+    for low, high in waves:
+        sinks.append_session_log(events.where(F.day("ts").between(low, high)), folder)
+    files = _files_per_batch(spark, -(-_files(spark, folder) // len(waves)), 2)
+    stream = stream_sessions_module.stream_session_log(spark, folder, files_per_batch=files)
     rows = _drain(spark, stream_sessions_module.stream_sessions(stream, keep="12 days"), "update", "stream-waves")
     return _current_sessions(rows)
 
@@ -756,7 +771,8 @@ def stream_session_waves(spark: SparkSession, sf: str) -> DataFrame:
 def stream_session_log(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "landing")
     sinks.append_session_log(v.session_events(spark, sf), folder)
-    events = stream_sessions_module.stream_session_log(spark, folder, files_per_batch=3)
+    files = _files_per_batch(spark, _files(spark, folder) // 3, 3)
+    events = stream_sessions_module.stream_session_log(spark, folder, files_per_batch=files)
     # Files go by session, so a micro-batch may lie as far back as the log is long.
     rows = _drain(spark, stream_sessions_module.stream_sessions(events, keep="60 days"), "update", "stream-sessions")
     return _current_sessions(rows)
