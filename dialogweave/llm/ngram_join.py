@@ -16,7 +16,8 @@ token of the symmetric difference changes one bit at most), a short one within t
 keys and a longer one behind it, then an exact check. In turns every set is checked against one
 of the sets that are the pivots of its keys, another pivot each turn; keys whose members all lie
 in one component are done and leave. When a turn links few sets, the members of the keys still
-open meet where they lie in different components. No key's members are gathered in one task and
+open meet where they lie in different components, a pair at the first key in common and seldom
+again. No key's members are gathered in one task and
 no group is expanded into all pairs.
 """
 
@@ -28,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogweave.llm.common import components, give_back, shuffle_parts, written
@@ -37,6 +38,7 @@ from dialogweave.llm.textkit import U, mix, shingle_sets
 COUNTERS_LOG = 22
 _BLOCK = 1 << 14
 WORDS = 8  # of the short bitmap
+BEFORE = 8  # keys of a set that its row at a key carries in the full join
 TURNS = 8  # at most; what they leave open is compared in full
 _SHORT = [f"s{i}" for i in range(WORDS)]
 
@@ -310,12 +312,19 @@ def _pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     ).distinct()
 
 
-def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with a key in common that may link and lie in different components."""
-    other = members.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "root", "n", *_SHORT)))
+def _met(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with a key in common that may link and lie in different components.
+
+    Sets that are alike have most keys in common and would meet at each. So a row carries the
+    ``BEFORE`` keys before its own, and two rows meet only if these have none in common: always at
+    the first key that the two sets share, rarely at another."""
+    order = Window.partitionBy("node").orderBy("key").rowsBetween(-BEFORE, -1)
+    members = members.select("key", "node", "root", "n", *_SHORT, F.collect_list("key").over(order).alias("before"))
+    other = members.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "root", "n", *_SHORT, "before")))
+    several = f"node < o_node and root <> o_root and {_may_link('', 'o_', percent)}"
     return (
-        members.join(other, "key").where(f"node < o_node and root <> o_root and {_may_link('', 'o_', percent)}")
-        .select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+        members.join(other, "key").where(f"{several} and not arrays_overlap(before, o_before)")
+        .select(F.col("node").alias("a"), F.col("o_node").alias("b"))
     )
 
 
@@ -348,7 +357,7 @@ def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
         most = max(most, found)
         if 4 * found <= most:
             break
-    roots = _merged(roots, _links(_all_pairs(members, percent), docs, nodes, size, percent))
+    roots = _merged(roots, _links(_met(members, percent).distinct(), docs, nodes, size, percent))
     give_back(members, nodes)
     return rows, roots
 
