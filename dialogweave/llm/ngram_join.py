@@ -13,11 +13,11 @@ size (hashed counters). They need not be exact, only the same everywhere: the jo
 
 Sets of equal documents are joined once. Candidates meet bounds from parity bitmaps (each
 token of the symmetric difference changes one bit at most), a short one within the join of the
-keys and a longer one behind it, then an exact check. In turns every set is checked against one
-of the sets that are the pivots of its keys, another pivot each turn; keys whose members all lie
-in one component are done and leave. When a turn links few sets, the members of the keys still
-open meet where they lie in different components, a pair at the first key in common and seldom
-again. No key's members are gathered in one task and
+keys and a longer one behind it, then an exact check. In turns every set is checked against two
+of the sets that are the pivots of its keys, others each turn; between turns the components are
+brought together by one star step, and keys whose members all lie in one are done. When a turn
+links few sets, the members of the keys still open meet where they lie in different components,
+a pair at the first key in common and seldom again. No key's members are gathered in one task and
 no group is expanded into all pairs.
 """
 
@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialogweave.llm.common import components, give_back, shuffle_parts, written
+from dialogweave.llm.common import components, give_back, nearer, shuffle_parts, written
 from dialogweave.llm.textkit import U, mix, shingle_sets
 
 COUNTERS_LOG = 22
 _BLOCK = 1 << 14
 WORDS = 8  # of the short bitmap
 BEFORE = 8  # keys of a set that its row at a key carries in the full join
+PIVOTS = 2  # of a key and turn
 TURNS = 8  # at most; what they leave open is compared in full
 _SHORT = [f"s{i}" for i in range(WORDS)]
 
@@ -235,7 +236,7 @@ def _nodes(docs: DataFrame, size: int, make: Signatures) -> DataFrame:
     )
 
 
-def _hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _hopeful(pairs: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the bound of the bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,14 +244,10 @@ def _hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
             yield batch.select(["a", "b"]).filter(pa.array([may_link(*row, percent) for row in rows], pa.bool_()))
 
-    side = nodes.select("node", "n", "bits")
-    left = side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    right = side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
-        .select("a", "b", "na", "bits_a", "nb", "bits_b")
-        .mapInArrow(run, "a long, b long")
+    left = homes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    right = homes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(
+        run, "a long, b long"
     )
 
 
@@ -272,10 +269,16 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perce
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             pa.default_memory_pool().release_unused()
 
-    pairs = written(_hopeful(pairs, nodes, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    # Written, so that Spark knows its size and shuffles the texts only if it is not small.
-    homes = written(nodes.join(wanted, "node").select("node", "doc_id", "copy"), "homes")
+    def of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+        return nodes.join(wanted, "node", "left_semi")
+
+    # Written, so that Spark knows their sizes and shuffles the larger side only if none is small.
+    met = written(pairs, "met")
+    ends = written(of(met, nodes).select("node", "doc_id", "copy", "n", "bits"), "ends")
+    pairs = written(_hopeful(met, ends, percent), "pairs")
+    homes = written(of(pairs, ends).select("node", "doc_id", "copy"), "homes")
+    give_back(met, ends)
     texts = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash")).join(
         homes, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("copy"))
     )
@@ -290,26 +293,41 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perce
     return links
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of the keys whose members lie in several components, with their roots, written.
-    The given members are given back."""
-    placed = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = written(placed.join(several, "key", "left_semi"), "open")
-    give_back(members)
-    return left
+def _placed(members: DataFrame, nodes: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """members(key, node) with the nodes' sizes, short bitmaps and roots: the least node that an
+    edge leads to, or the node itself."""
+    side = nodes.select("node", "n", *_SHORT, F.col("node").alias("root"))
+    if edges is not None:
+        least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+        side = side.join(least, "node", "left").withColumn("root", F.coalesce("least", "root")).drop("least")
+    return members.join(side, "node")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of the keys whose members lie in several components, written."""
+    several = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return written(members.join(several, "key", "left_semi"), "open")
 
 
 def _pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """For every node one pair (a, b) with a pivot of its keys that may link with it and lies in
-    another component, if there is one. The pivot of a key is another member each turn."""
+    """For every node up to ``PIVOTS`` pairs (a, b) with a pivot of its keys that may link with it
+    and lies in another component. The pivots of a key are other members each turn. Keys whose
+    members all lie in one component have none."""
+    marks = range(turn * PIVOTS, (turn + 1) * PIVOTS)
     pivots = members.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root", "n", *_SHORT)).alias("p")
-    )
-    met = members.join(pivots, "key").where(f"root <> p.root and {_may_link('', 'p.', percent)}")
-    return met.groupBy("node").agg(F.min("p.node").alias("pivot")).select(
-        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
-    ).distinct()
+        F.min("root").alias("x"),
+        F.max("root").alias("y"),
+        *(
+            F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "root", "n", *_SHORT)).alias(f"p{k}")
+            for k in marks
+        ),
+    ).where("x <> y").drop("x", "y")
+    found = members.join(pivots, "key").groupBy("node").agg(*(
+        F.min(F.expr(f"if(root <> p{k}.root and {_may_link('', f'p{k}.', percent)}, p{k}.node, null)")).alias(f"p{k}")
+        for k in marks
+    ))
+    pairs = found.select("node", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in marks)))).alias("pivot"))
+    return pairs.where("pivot is not null").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
 
 def _met(members: DataFrame, percent: int) -> DataFrame:
@@ -344,21 +362,23 @@ def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     )
     give_back(whole)
     members = nodes.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    members = written(
-        members.join(shared, "key").join(nodes.select("node", "n", *_SHORT), "node").withColumn("root", F.col("node")), "open"
-    )
-    roots, most = None, 0
+    # A node has a key once, so a key that occurs twice has two nodes.
+    shared = members.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    members = written(members.join(shared, "key", "left_semi"), "members")
+    edges, most = None, 0
     for turn in range(TURNS):
-        links = _links(_pivot_pairs(members, turn, percent), docs, nodes, size, percent)
+        links = _links(_pivot_pairs(_placed(members, nodes, edges), turn, percent), docs, nodes, size, percent)
         found = links.count()
-        roots = _merged(roots, links)
-        members = _open(members, roots)
+        last, edges = edges, nearer(links if edges is None else edges.union(links))
+        give_back(links, *([] if last is None else [last]))
         most = max(most, found)
         if 4 * found <= most:
             break
-    roots = _merged(roots, _links(_met(members, percent).distinct(), docs, nodes, size, percent))
-    give_back(members, nodes)
+    roots = _merged(None, edges)
+    left = _open(_placed(members, nodes, roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    give_back(members)
+    roots = _merged(roots, _links(_met(left, percent).distinct(), docs, nodes, size, percent))
+    give_back(left, nodes)
     return rows, roots
 
 
