@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,5 +94,13 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows: what is made for each row is held for few at once,
+    and a worker keeps no large heap from task to task."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def by_arrow(df: DataFrame, batches: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(batches, schema)

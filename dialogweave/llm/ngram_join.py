@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialogweave.llm.common import components, give_back, nearer, shuffle_parts, written
+from dialogweave.llm.common import components, give_back, nearer, pieces, shuffle_parts, written
 from dialogweave.llm.textkit import U, mix, shingle_sets
 
 COUNTERS_LOG = 22
@@ -209,7 +209,7 @@ def _nodes(docs: DataFrame, size: int, make: Signatures) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             node, count, bitmap, short, keys = [], [], [], np.zeros((batch.num_rows, WORDS), np.int64), []
             for i, tokens in enumerate(shingle_sets(batch.column(len(kept) + 1), size)):
                 node.append(_node(tokens) if len(tokens) else None)
@@ -255,7 +255,7 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perce
     """The pairs whose sets really link, written. Whole sets are made for their members only."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             packed = [t.tobytes() for t in shingle_sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "tokens"])
 

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from dialogweave.llm.common import pieces
+
 _MARK = "▁"
 
 
@@ -326,7 +328,7 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = process_codec(model)
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in pieces(batches):
             counts, digests, decoded, lists = [], [], [], []
             for text in batch.column(1).to_pylist():
                 joined, back = codec.encode_joined(text)

@@ -3,9 +3,12 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType, StructType
 
-from dialogweave.llm import common, ngram_join
+from dialogweave.llm import common, ngram_join, sentencepiece_codec
+from dialogweave.llm.queries import tokenizer
 from tests.llm.test_jaccard_turns import _wanted
 
 
@@ -73,3 +76,25 @@ def test_tables_of_a_turn(spark, made):
     assert made["open"] == 1 and made["roots"] == 2
     turns = made["links"] - 1
     assert turns >= 1 and made["edges"] <= turns + 7
+
+
+def test_what_is_made_of_rows_comes_in_pieces():
+    table = pa.table({"id": range(2500), "text": [f"t{i}" for i in range(2500)]})
+    got = list(common.pieces(iter([*table.to_batches(), *table.slice(0, 0).to_batches(), *table.slice(7, 3).to_batches()])))
+    assert [b.num_rows for b in got] == [1024, 1024, 452, 3]
+    assert sum((b.column(0).to_pylist() for b in got), []) == [*range(2500), 7, 8, 9]
+    held = []
+
+    class Docs:
+        schema = StructType().add("id", LongType())
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = sentencepiece_codec.encode_documents(Docs(), tokenizer("piece_bpe_32k.model"), id_col="id", with_ids=True)
+    for batch in run(iter(table.to_batches())):
+        held.append(batch.num_rows)
+    assert held == [1024, 1024, 452]
