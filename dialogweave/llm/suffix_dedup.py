@@ -12,12 +12,14 @@
    neighbours in this order show which windows are equal, and the smallest document of each.
 4. Blocks take the removed spans back and cut them.
 
-Texts are shuffled once; the same exchange serves steps 1, 2 and 4.
+Texts are shuffled once; the same exchange serves steps 1, 2 and 4. They travel compressed, each
+by itself; anchors, pieces and spans travel as compressed columns.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialogweave.llm.common import shuffle_parts, written
+from dialogweave.llm.common import by_arrow, pieces, shuffle_parts, written
 from dialogweave.llm.textkit import U, between, flat, mix, prefix_hashes, slices
 
 GRAM = 24
@@ -35,6 +37,50 @@ BLOCK_ROWS = 512
 CHUNK = 2 << 20
 
 
+def _words(data: np.ndarray, size: int) -> np.ndarray:
+    """The 8 bytes from each of ``size`` places on as a big-endian number, zeros after the end."""
+    words = np.zeros(size + 8, U)
+    words[: len(data)] = data
+    for step in (1, 2, 4):
+        words = (words[:-step] << U(8 * step)) | words[step:]
+    return words[:size]
+
+
+def _ends_at(first: int, depth: int) -> list[int]:
+    """Offsets of the words that cover the bytes from ``first`` to ``depth``."""
+    return [*range(first, depth - 8, 8), depth - 8]
+
+
+def _sorted_places(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """The places in order of the ``depth`` bytes from there on.
+
+    By their first word; then five bytes at a time, only groups of equal ones that differ yet."""
+    key = words[places]
+    order = np.argsort(key)
+    places, key = places[order], key[order]
+    new = np.ones(len(places), bool)  # whether a place differs from the one before
+    new[1:] = key[1:] != key[:-1]
+    for at in range(8, depth, 5):
+        after = np.flatnonzero(~new)
+        differ = np.zeros(len(after), bool)
+        for offset in _ends_at(at, depth):
+            differ |= words[places[after] + offset] != words[places[after - 1] + offset]
+        if not differ.any():
+            break
+        group = np.cumsum(new) - 1
+        unsorted = np.zeros(group[-1] + 1, bool)
+        unsorted[group[after[differ]]] = True
+        members = np.flatnonzero(unsorted[group])
+        group = (np.cumsum(unsorted) - 1)[group[members]].astype(U)
+        key = words[places[members] + at] >> U(24)
+        whole = (group << U(40)) | key
+        order = np.argsort(whole) if group[-1] < 1 << 24 else np.lexsort((key, group))
+        places[members] = places[members][order]
+        key = key[order]
+        new[members[1:]] |= key[1:] != key[:-1]
+    return places
+
+
 def two_stage_order(data: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes of ``data`` in order of their first ``depth`` bytes at least.
 
@@ -49,13 +95,8 @@ def two_stage_order(data: np.ndarray, depth: int) -> np.ndarray:
     rises = np.append(data[change] < data[change + 1], False)
     smaller = rises[run_of]
     distance = run_end[run_of] - np.arange(n)
-    padded = np.append(data, np.zeros(depth + 16, np.uint8)).astype(U)
-    words = np.zeros(n + depth + 8, U)
-    for i in range(8):
-        words = (words << U(8)) | padded[i : i + len(words)]
-    direct = np.flatnonzero(smaller)
-    keys = [words[direct + at] for at in range(0, depth, 8)]
-    direct = direct[np.lexsort(keys[::-1])]
+    words = _words(data, n + depth + 8)
+    direct = _sorted_places(words, np.flatnonzero(smaller), depth)
     counts = np.bincount(data, minlength=256)
     bucket = np.concatenate([[0], np.cumsum(counts)])
     order = np.empty(n, np.int64)
@@ -63,7 +104,7 @@ def two_stage_order(data: np.ndarray, depth: int) -> np.ndarray:
     direct_of = np.bincount(data[direct], minlength=256)
     at = 0
     larger = np.flatnonzero(~smaller)
-    larger = larger[np.lexsort((distance[larger], data[larger]))]
+    larger = larger[np.argsort((data[larger].astype(np.int64) << 48) | distance[larger])]
     larger_of = np.concatenate([[0], np.cumsum(np.bincount(data[larger], minlength=256))])
     for byte in np.flatnonzero(counts):
         put = bucket[byte]
@@ -72,7 +113,7 @@ def two_stage_order(data: np.ndarray, depth: int) -> np.ndarray:
         edges = np.concatenate([[0], np.flatnonzero(steps[1:] != steps[:-1]) + 1, [len(level)]])
         for first, last in zip(edges[:-1], edges[1:], strict=True):
             part = level[first:last]
-            part = part[np.argsort(place[part + 1], kind="stable")]
+            part = part[np.argsort(place[part + 1])]
             order[put : put + len(part)] = part
             place[part] = np.arange(put, put + len(part))
             put += len(part)
@@ -99,9 +140,10 @@ def least_documents(texts: list[bytes], documents: np.ndarray, length: int) -> t
     order = order[wanted[order]]
     left, right = order[:-1], order[1:]
     same = np.ones(len(left), bool)  # whether neighbours' common prefix reaches the length
-    for i in range(length):
+    words = _words(data, len(data))
+    for i in _ends_at(0, length):
         hold = np.flatnonzero(same) if i else slice(None)
-        same[hold] = data[left[hold] + i] == data[right[hold] + i]
+        same[hold] = words[left[hold] + i] == words[right[hold] + i]
     heads = np.flatnonzero(np.append(True, ~same))
     least = np.minimum.reduceat(documents[owner[order]], heads)
     spread = np.repeat(least, np.diff(np.append(heads, len(order))))
@@ -115,14 +157,14 @@ class Block:
     """The documents of one block in a fixed order, without those that copy smaller ones."""
 
     def __init__(self, rows: pa.Table, copies: set[str], length: int):
-        texts = rows.column("text").combine_chunks()
         ids = rows.column("doc_id").to_pylist()
         digests = rows.column("digest").to_pylist()
         none = -(1 << 63)
         self.order = sorted(range(len(ids)), key=lambda i: (none if ids[i] is None else ids[i], digests[i] or ""))
         self.rows = rows.take(pa.array(self.order, pa.int64()))
         self.ids = [ids[i] for i in self.order]
-        self.data, self.offsets = flat(self.rows.column("text"))
+        self.texts = [None if t is None else _grown(t) for t in self.rows.column("text").to_pylist()]
+        self.data, self.offsets = flat(pa.array(self.texts, pa.large_binary()))
         self.length = length
         self.sizes = np.diff(self.offsets)
         self.copied = np.array([f"{ids[i]}:{digests[i]}" in copies for i in self.order], bool)
@@ -156,26 +198,62 @@ class Block:
             stop = valid.copy()
             stop[:-1] &= ~valid[1:] | start[1:]
             starts, stops = np.flatnonzero(start), np.flatnonzero(stop)
-            yield anchors[starts], row[starts], starts + base, stops - starts + 1, sums, int(base)
+            yield _short(anchors[starts]), row[starts], starts + base, stops - starts + 1, sums, int(base)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of 40 bits. Where two that differ become one, more texts meet and no others are cut."""
+    return mix(hashes) >> U(24)
+
 
+def _shrunk(data: bytes) -> bytes:
+    return struct.pack("<q", len(data)) + pa.compress(data, codec="zstd", asbytes=True)
 
-def _pack(values: np.ndarray, kind: type) -> bytes:
-    return values.astype(kind).tobytes()
+
+def _grown(data: bytes) -> bytes:
+    return pa.decompress(data[8:], struct.unpack_from("<q", data)[0], codec="zstd", asbytes=True)
+
+
+def _pack(columns: list[np.ndarray], kinds: list[type]) -> bytes:
+    """Columns of equal lengths, compressed: differences of neighbours, by their first, second,
+    ... bytes, as most of these are alike."""
+    out = []
+    for values, kind in zip(columns, kinds, strict=True):
+        steps = np.diff(values.astype(kind), prepend=kind(0))
+        out.append(steps.view(np.uint8).reshape(len(steps), steps.itemsize).T.tobytes())
+    return _shrunk(b"".join(out))
 
 
-def _unpack(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    found = [np.frombuffer(b, kind) for b in column.to_pylist() if b]
-    return np.concatenate(found) if found else np.zeros(0, kind)
+def _unpack(packed: list[bytes], kinds: list[type]) -> list[np.ndarray]:
+    """The columns of all that ``_pack`` made of some, one after the other."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    found: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for data in map(_grown, packed):
+        n, at = len(data) // width, 0
+        for column, kind in zip(found, kinds, strict=True):
+            size = np.dtype(kind).itemsize
+            planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+            column.append(np.cumsum(np.ascontiguousarray(planes.T).view(kind)[:, 0], dtype=kind))
+            at += n * size
+    return [np.concatenate(c) for c in found]
+
+
+def _held(column: pa.ChunkedArray) -> list[bytes]:
+    return [b for b in column.to_pylist() if b is not None]
 
 
 def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> U(40)) % U(buckets)).astype(np.int64)
+    return ((keys >> U(8)) % U(buckets)).astype(np.int64)
 
 
-_ANCHORS = "bucket int, block int, anchors binary, docs binary"
-_BACK = "block int, copy string, anchors binary, popular binary"
-_TEXTS = "bucket int, block int, row binary, start binary, size binary, doc binary, sub binary, texts binary, settled boolean"
-_SPANS = "block int, row binary, start binary, stop binary"
+_ANCHORS = "bucket int, block int, anchors binary"
+_ANCHOR = [U, np.uint16]  # anchor, number of documents
+_BACK = "block int, copy string, anchors binary"
+_RETURNED = [U, np.uint8]  # anchor, whether very many documents have it
+_TEXTS = "bucket int, block int, places binary, texts binary"  # texts: null for spans that are settled
+_PIECE = [np.int32, np.int32, np.int32, np.int64, np.uint8]  # row, start, size, doc_id, part of the bucket
+_SPANS = "block int, spans binary"
+_SPAN = [np.int32, np.int32, np.int32]  # row, start, stop
 
 
 def _arrow(schema: str, rows: list[tuple]) -> pa.Table:
@@ -214,16 +292,17 @@ def _send_anchors(length: int, buckets: int):
         for b in range(buckets):
             part = order[edges[b] : edges[b + 1]]
             if len(part):
-                out.append((b, number, _pack(anchors[part], U), _pack(np.minimum(docs[part], 65535), np.uint16)))
+                out.append((b, number, _pack([anchors[part], np.minimum(docs[part], 65535)], _ANCHOR)))
         return _arrow(_ANCHORS, out)
 
     return run
 
 
 def _return_anchors(rows: pa.Table) -> pa.Table:
-    blocks, packed = rows.column("block").to_pylist(), rows.column("anchors").to_pylist()
-    owner = np.repeat(np.array(blocks, np.int64), [len(p) // 8 for p in packed])
-    anchors, docs = _unpack(rows.column("anchors"), U), _unpack(rows.column("docs"), np.uint16).astype(np.int64)
+    parts = [_unpack([p], _ANCHOR) for p in rows.column("anchors").to_pylist()]
+    owner = np.repeat(np.array(rows.column("block").to_pylist(), np.int64), [len(p[0]) for p in parts])
+    anchors, docs = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    docs = docs.astype(np.int64)
     order = np.argsort(anchors, kind="stable")
     anchors, docs, owner = anchors[order], docs[order], owner[order]
     heads = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
@@ -234,18 +313,17 @@ def _return_anchors(rows: pa.Table) -> pa.Table:
     edges = np.flatnonzero(np.append(True, owner[again][1:] != owner[again][:-1])) if len(again) else []
     for first, last in zip(edges, np.append(edges[1:], len(again)), strict=True) if len(again) else []:
         part = again[first:last]
-        out.append((int(owner[part[0]]), None, _pack(anchors[part], U), _pack(total[part] > POPULAR, bool)))
+        out.append((int(owner[part[0]]), None, _pack([anchors[part], total[part] > POPULAR], _RETURNED)))
     return _arrow(_BACK, out)
 
 
 def _send_texts(length: int, buckets: int):
     def run(rows: pa.Table, side: pa.Table) -> pa.Table:
-        again = _unpack(side.column("anchors"), U)
+        again, popular = _unpack(_held(side.column("anchors")), _RETURNED)
         if not rows.num_rows or not len(again):
             return _arrow(_TEXTS, [])
-        popular = _unpack(side.column("popular"), bool)
         order = np.argsort(again)
-        again, popular = again[order], popular[order]
+        again, popular = again[order], popular[order].astype(bool)
         block = Block(rows, _copies(side), length)
         number = rows.column("block")[0].as_py()
         first_with: dict[bytes, int] = {}
@@ -261,7 +339,7 @@ def _send_texts(length: int, buckets: int):
                 each = np.repeat(np.flatnonzero(wide), count[wide])
                 shift = np.arange(len(each)) - np.repeat(np.cumsum(count[wide]) - count[wide], count[wide])
                 places = start[each] + shift
-                whole = mix(between(sums, places - base, places - base + length))
+                whole = _short(between(sums, places - base, places - base + length))
                 keep = ~wide
                 keys = np.concatenate([keys[keep], whole])
                 row = np.concatenate([row[keep], row[each]])
@@ -282,11 +360,7 @@ def _send_texts(length: int, buckets: int):
                     sent.append((b, s, r, at_row, text, doc))
         out = []
         if settled:
-            done = np.array(settled, np.int64)
-            none = b""
-            out.append(
-                (number % buckets, number, _pack(done[:, 0], np.int32), _pack(done[:, 1], np.int32), _pack(done[:, 2], np.int32), none, none, none, True)
-            )
+            out.append((number % buckets, number, _pack(list(np.array(settled, np.int64).T), _SPAN), None))
         sent.sort(key=lambda x: x[0])
         first = 0
         while first < len(sent):
@@ -294,10 +368,8 @@ def _send_texts(length: int, buckets: int):
             while last < len(sent) and sent[last][0] == sent[first][0]:
                 last += 1
             _, subs, rws, starts, texts, docs = zip(*sent[first:last], strict=True)
-            sizes = np.array([len(t) for t in texts])
-            out.append(
-                (sent[first][0], number, _pack(np.array(rws), np.int32), _pack(np.array(starts), np.int32), _pack(sizes, np.int32), _pack(np.array(docs, np.int64), np.int64), _pack(np.array(subs), np.uint8), b"".join(texts), False)
-            )
+            columns = [np.array(c, np.int64) for c in (rws, starts, [len(t) for t in texts], docs, subs)]
+            out.append((sent[first][0], number, _pack(columns, _PIECE), _shrunk(b"".join(texts))))
             first = last
         return _arrow(_TEXTS, out)
 
@@ -306,27 +378,22 @@ def _send_texts(length: int, buckets: int):
 
 def _find_spans(length: int):
     def run(rows: pa.Table) -> pa.Table:
-        done = rows.column("settled").to_pylist()
         out = []
-        blocks, row, start, size, doc, sub, texts = [], [], [], [], [], [], []
-        for i, settled in enumerate(done):
-            r = {c: rows.column(c)[i].as_py() for c in rows.column_names}
-            if settled:
-                out.append((r["block"], r["row"], r["start"], r["size"]))
+        blocks, columns, texts = [], [], []
+        for block, places, packed in zip(*(rows.column(c).to_pylist() for c in ("block", "places", "texts")), strict=True):
+            if packed is None:
+                out.append((block, places))
                 continue
-            sizes = np.frombuffer(r["size"], np.int32)
-            row.append(np.frombuffer(r["row"], np.int32))
-            start.append(np.frombuffer(r["start"], np.int32))
-            doc.append(np.frombuffer(r["doc"], np.int64))
-            sub.append(np.frombuffer(r["sub"], np.uint8))
-            size.append(sizes)
-            blocks.append(np.full(len(sizes), r["block"], np.int64))
-            at = 0
+            columns.append(_unpack([places], _PIECE))
+            sizes = columns[-1][2]
+            blocks.append(np.full(len(sizes), block, np.int64))
+            whole, at = _grown(packed), 0
             for s in sizes.tolist():
-                texts.append(r["texts"][at : at + s])
+                texts.append(whole[at : at + s])
                 at += s
         if texts:
-            blocks, row, start, size, doc, sub = map(np.concatenate, (blocks, row, start, size, doc, sub))
+            blocks = np.concatenate(blocks)
+            row, start, size, doc, sub = (np.concatenate(c) for c in zip(*columns, strict=True))
             parts = max(1, int(size.sum()) // CHUNK)
             found = []
             for part in range(parts):
@@ -371,7 +438,7 @@ def _spans_by_block(blocks: np.ndarray, row: np.ndarray, found: list[np.ndarray]
     edges = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
     for first, last in zip(edges, np.append(edges[1:], len(home)), strict=True):
         part = spans[first:last]
-        yield int(home[first]), _pack(row[part[:, 0]], np.int32), _pack(part[:, 1], np.int32), _pack(part[:, 2], np.int32)
+        yield int(home[first]), _pack([row[part[:, 0]], part[:, 1], part[:, 2]], _SPAN)
 
 
 def _cut(length: int, text_col: str | None, extra: list[str]):
@@ -382,7 +449,7 @@ def _cut(length: int, text_col: str | None, extra: list[str]):
         block = Block(rows, copies, length)
         gone = np.zeros(len(block.data) + 1, np.int32)
         base = block.offsets[:-1]
-        row, start, stop = (_unpack(side.column(c), np.int32) for c in ("row", "start", "stop"))
+        row, start, stop = _unpack(_held(side.column("spans")), _SPAN)
         np.add.at(gone, base[row] + start, 1)
         np.add.at(gone, base[row] + stop, -1)
         whole = np.flatnonzero(block.copied & (block.sizes >= length))
@@ -405,8 +472,7 @@ def _cut(length: int, text_col: str | None, extra: list[str]):
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
         untouched = [r == 0 for r in removed]
-        texts = block.rows.column("text").to_pylist()
-        values = [t if same else k for t, same, k in zip(texts, untouched, kept, strict=True)]
+        values = [k if not same else None if t is None else t.decode() for t, same, k in zip(block.texts, untouched, kept, strict=True)]
         columns = [pa.array(values, pa.string()) if c == text_col else block.rows.column(f"x{i}") for i, c in enumerate(extra)]
         return pa.table(columns, names=extra)
 
@@ -426,6 +492,19 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _squeezed(docs: DataFrame) -> DataFrame:
+    """docs with compressed texts; NULL stays."""
+    fields = [T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema.fields]
+    at = docs.columns.index("text")
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(rows):
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            yield batch.set_column(at, "text", pa.array([None if t is None else _shrunk(t) for t in texts], pa.binary()))
+
+    return by_arrow(docs, batches, T.StructType(fields))
+
+
 def _run(docs: DataFrame, length: int, id_col: str, text_col: str, as_documents: bool) -> DataFrame:
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
@@ -438,15 +517,14 @@ def _run(docs: DataFrame, length: int, id_col: str, text_col: str, as_documents:
     twice = narrow.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = written(
         narrow.join(twice, "digest").where("doc_id > least").select("block", F.concat_ws(":", "doc_id", "digest").alias("copy")).distinct(), "copies"
-    ).select("block", "copy", F.lit(None).cast("binary").alias("anchors"), F.lit(None).cast("binary").alias("popular"))
-    by_block = docs.groupBy("block")
+    ).select("block", "copy", F.lit(None).cast("binary").alias("anchors"))
+    by_block = _squeezed(docs).groupBy("block")
     anchors = by_block.cogroup(copies.groupBy("block")).applyInArrow(_send_anchors(length, buckets), _ANCHORS)
     back = anchors.groupBy("bucket").applyInArrow(_return_anchors, _BACK)
     texts = by_block.cogroup(back.union(copies).groupBy("block")).applyInArrow(_send_texts(length, buckets), _TEXTS)
     spans = texts.groupBy("bucket").applyInArrow(_find_spans(length), _SPANS)
-    none = F.lit(None).cast("binary")
     spans = spans.withColumn("copy", F.lit(None).cast("string")).union(
-        copies.select("block", none.alias("row"), none.alias("start"), none.alias("stop"), "copy")
+        copies.select("block", F.lit(None).cast("binary").alias("spans"), "copy")
     )
     out = T.StructType([T.StructField(c, fields[c]) for c in columns])
     return by_block.cogroup(spans.groupBy("block")).applyInArrow(
