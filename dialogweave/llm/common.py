@@ -19,11 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage and survives lost executors."""
+    """The rows as a table in the shared folder: cuts lineage and survives lost executors. The
+    shuffle files of the job that writes it go with the job, as nothing reads them again."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.parquet(path)
+    before = spark.conf.get(_FREED, "false")
+    spark.conf.set(_FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREED, before)
     table = spark.read.schema(df.schema).parquet(path)
     _PATHS[table] = path
     return table

@@ -12,8 +12,9 @@
    neighbours in this order show which windows are equal, and the smallest document of each.
 4. Blocks take the removed spans back and cut them.
 
-Texts are shuffled once; the same exchange serves steps 1, 2 and 4. They travel compressed, each
-by itself; anchors, pieces and spans travel as compressed columns.
+Texts are shuffled for step 1, and once more for steps 2 and 4, which share the exchange: thus the
+anchors of step 1 are gone from disk before the pieces of step 2 come. Texts travel compressed,
+each by itself; anchors, pieces and spans as compressed columns.
 """
 
 from __future__ import annotations
@@ -520,7 +521,8 @@ def _run(docs: DataFrame, length: int, id_col: str, text_col: str, as_documents:
     ).select("block", "copy", F.lit(None).cast("binary").alias("anchors"))
     by_block = _squeezed(docs).groupBy("block")
     anchors = by_block.cogroup(copies.groupBy("block")).applyInArrow(_send_anchors(length, buckets), _ANCHORS)
-    back = anchors.groupBy("bucket").applyInArrow(_return_anchors, _BACK)
+    # Written, so that the anchors are off the disk before the pieces come.
+    back = written(anchors.groupBy("bucket").applyInArrow(_return_anchors, _BACK), "anchors")
     texts = by_block.cogroup(back.union(copies).groupBy("block")).applyInArrow(_send_texts(length, buckets), _TEXTS)
     spans = texts.groupBy("bucket").applyInArrow(_find_spans(length), _SPANS)
     spans = spans.withColumn("copy", F.lit(None).cast("string")).union(
